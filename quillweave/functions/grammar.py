@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillweave.functions.text import let
+from quillweave.functions.binding import let
 
 TAG_TYPE = "array<struct<id:string,desc:string,content:string>>"
 
@@ -107,15 +107,17 @@ class TagGrammar:
         """
 
         def one(t: Column) -> Column:
-            head = F.regexp_extract(t, self.head_pattern, 0)
-            size = F.char_length(t) - F.char_length(head) - len(self.close)
-            return F.struct(
-                F.nullif(F.regexp_extract(t, self.head_pattern, 1), F.lit("")).alias("id"),
-                unescape_attr(
-                    F.when(head.contains(' desc="'), F.regexp_extract(t, self.head_pattern, 2))
-                ).alias("desc"),
-                F.substring(t, F.char_length(head) + 1, size).alias("content"),
-            )
+            def parts(head: Column) -> Column:
+                number = F.regexp_extract(head, self.head_pattern, 1)
+                desc = F.regexp_extract(head, self.head_pattern, 2)
+                size = F.char_length(t) - F.char_length(head) - len(self.close)
+                return F.struct(
+                    F.nullif(number, F.lit("")).alias("id"),
+                    unescape_attr(F.when(head.contains(' desc="'), desc)).alias("desc"),
+                    F.substring(t, F.char_length(head) + 1, size).alias("content"),
+                )
+
+            return let(F.regexp_extract(t, self.head_pattern, 0), parts)
 
         found = F.regexp_extract_all(c, F.lit(self.pattern), F.lit(0))
         return F.transform(found, one).cast(TAG_TYPE)
@@ -124,37 +126,49 @@ class TagGrammar:
     def is_valid_pair(self, query: Column, response: Column) -> Column:
         """Never null.  Both texts wrapped; the response is nothing but tags numbered
         ``0..k-1``; the query has ``k`` tags, and those with an id carry their own
-        ordinal; no delimiter inside any content or in the query's free text."""
-        dirty = self.delimiter_pattern
-        free_text = F.regexp_replace(self._body(query, self.query_wrap), self.pattern, "")
-        rest = F.regexp_replace(self._body(response, self.response_wrap), self.pattern, "")
+        ordinal; no delimiter inside any content or in the query's free text.
 
-        def numbered(t: Column, i: Column) -> Column:
-            return t["id"].eqNullSafe(i.cast("string"))
+        One parse of each text gives the ids.  A text with k parsed tags and 2k + 2
+        delimiters in all (tag ends and wrapper) has none left over for its contents.
+        """
 
-        def own_number(t: Column, i: Column) -> Column:
-            return t["id"].isNull() | numbered(t, i)
+        def ids(c: Column) -> Column:
+            return F.regexp_extract_all(c, F.lit(self.pattern), F.lit(1))
 
-        def clean(t: Column) -> Column:
-            return ~t["content"].rlike(dirty)
+        def delimiters(c: Column) -> Column:
+            return F.regexp_count(c, F.lit(self.delimiter_pattern))
 
-        def tags_agree(both: Column) -> Column:
+        def times(c: Column, text: str) -> Column:
+            left = F.char_length(F.replace(c, F.lit(text), F.lit("")))
+            return (F.char_length(c) - left) / len(text)
+
+        first, last = f"<|{self.response_wrap}|>", f"<|/{self.response_wrap}|>"
+        seam = f"{self.close}<|{self.tag}"
+
+        def numbers_agree(both: Column) -> Column:
             q, r = both["q"], both["r"]
+            k = F.size(r)
+            only_tags = F.when(k == 0, response == F.lit(first + last)).otherwise(
+                response.startswith(F.lit(f"{first}<|{self.tag}"))
+                & response.endswith(F.lit(self.close + last))
+                & (times(response, seam) == k - 1)
+            )
+            in_order = F.transform(r, lambda x, i: x == i.cast("string"))
+            own = F.transform(q, lambda x, i: (x == "") | (x == i.cast("string")))
             return (
-                (F.size(q) == F.size(r))
-                & F.forall(F.transform(r, numbered), lambda x: x)
-                & F.forall(F.transform(q, own_number), lambda x: x)
-                & F.forall(r, clean)
-                & F.forall(q, clean)
+                (F.size(q) == k)
+                & only_tags
+                & F.forall(in_order, lambda x: x)
+                & F.forall(own, lambda x: x)
+                & (delimiters(query) == 2 * k + 2)
+                & (delimiters(response) == 2 * k + 2)
             )
 
-        both = F.struct(self.tags(query).alias("q"), self.tags(response).alias("r"))
+        both = F.struct(ids(query).alias("q"), ids(response).alias("r"))
         ok = (
             self._is_wrapped(query, self.query_wrap)
             & self._is_wrapped(response, self.response_wrap)
-            & (rest == "")
-            & ~free_text.rlike(dirty)
-            & let(both, tags_agree)
+            & let(both, numbers_agree)
         )
         return F.coalesce(ok, F.lit(False))
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillweave.functions.binding import let
+
 HASH_BITS = 60
 HASH_SPAN = float(1 << HASH_BITS)
 
@@ -68,5 +70,5 @@ def poisson(lam: float, *parts) -> Column:
     steps = poisson_cdf(lam)
     if not steps:
         return F.lit(0)
-    u = unit(*parts)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in steps]), lambda c: c <= u))
+    table = F.array(*[F.lit(c) for c in steps])
+    return let(unit(*parts), lambda u: F.size(F.filter(table, lambda c: c <= u)))

@@ -35,11 +35,6 @@ def joined_answer(first: Column, last: Column) -> Column:
     return F.when(both, F.concat(first, F.lit(ANSWER_JOIN), last)).otherwise(F.concat(first, last))
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once for use in ``body``; a lambda would else evaluate it per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fill(template: str, *values: Column) -> Column:
     """Put values into the ``{}`` places of a template."""
     pieces = template.split("{}")

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillweave.functions import fixed
+from quillweave.functions.binding import let
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
 from quillweave.functions.grammar import TagGrammar
 from quillweave.functions.hashing import below, choose, flag, poisson
-from quillweave.functions.text import before, fill, fill_choice, let, strip
+from quillweave.functions.text import before, fill, fill_choice, strip
 from quillweave.functions.wording import DEFAULT as DEFAULT_WORDING
 from quillweave.functions.wording import Wording
 from quillweave.operators.gate import pinned

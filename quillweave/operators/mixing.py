@@ -23,7 +23,7 @@ from quillweave.operators.sampling import (
     draw_keys,
     draw_table,
     hash_rank,
-    pool_sizes,
+    histogram,
     small_enough,
 )
 
@@ -166,7 +166,9 @@ def mix(
     """Columns of ``df`` plus ``pool``, ``draw`` and ``pos`` (0-based place in the mixture)."""
     seed = recipe.salt_seed if seed is None else seed
     keys = keyed_pools(df, recipe, key, subset)
-    sizes = pool_sizes(keys, F.col("pool"))
+    unique = [c for c in keys.columns if c != "pool"]
+    counts = histogram(keys, unique, F.col("pool"), seed=seed, salt="pool")
+    sizes = counts.sizes
     quotas = recipe.amounts(sizes) if callable(recipe.amounts) else dict(recipe.amounts)
     negative = [n for n, k in quotas.items() if k < 0]
     if negative:
@@ -182,8 +184,7 @@ def mix(
         if not replace[name] and k > sizes.get(name, 0):
             raise SampleTooLarge(f"{name}: {k} rows wanted, {sizes.get(name, 0)} there")
 
-    unique = [*key, *(["copy"] if "copy" in keys.columns else [])]
-    drawn = draw_keys(keys, unique, quotas, replace=replace, sizes=sizes, seed=seed)
+    drawn = draw_keys(keys, counts, quotas, replace)
     # the order depends on the draw numbers only, so it is ranked before any row is fetched
     numbers = draw_table(df.sparkSession, quotas, sizes, replace, seed=seed).select("pool", "draw")
     order = hash_rank(numbers, ["pool", "draw"], seed=seed, salt="mix", out="pos")

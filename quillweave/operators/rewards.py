@@ -11,9 +11,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillweave.functions.binding import let
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
 from quillweave.functions.grammar import TagGrammar
-from quillweave.functions.text import let, strip
+from quillweave.functions.text import strip
 from quillweave.operators.gate import pinned
 
 

@@ -3,27 +3,31 @@
 Order inside a pool is the order of ``(hash60(seed, salt, key), key)``, so it depends on
 nothing but the row keys.  Three building blocks:
 
+* ``histogram``      rows per pool and leading hash digit, the only numbers the driver sees
+* ``first_k``        a predicate for the first k rows of each pool; rows are selected
+                     map-side with no shuffle at all
 * ``hash_rank``      dense 0-based rank, windowed over hash buckets (never over a pool)
-* ``first_k``        a predicate for the first k rows of each pool; found by counting
-                     hash digits, so rows are selected map-side with no shuffle at all
-* ``draw_table``     k draws with replacement as (pool, draw, position)
+* ``draw_table``     k draws as (pool, draw, rank of the row drawn)
 
-Keys must be unique within a pool.  Pools are declared lists (tiers, subsets), so the
-per-pool numbers that reach the driver stay few; ``MAX_POOLS`` checks that.
+Keys must be unique within a pool.  Pools are declared lists (tiers, subsets), so their
+histograms stay small; ``MAX_CELLS`` checks that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillweave.functions.hashing import HASH_BITS, hash60
 
 BUCKET_BITS = 12
-MAX_POOLS = 2048
+MAX_CELLS = 1_000_000
 SMALL_BUCKET = 20_000
 BROADCAST_ROWS = 1_000_000
 
@@ -32,27 +36,103 @@ class SampleTooLarge(ValueError):
     """More rows wanted without replacement than the pool holds."""
 
 
+# ---- pools -----------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Histogram:
+    """Rows per pool and leading hash digit: at most ``2**bits`` numbers per pool.
+
+    One scan of the key columns gives it, and everything else about an exact sample (pool
+    sizes, where the k-th row lies, rank offsets) follows from it on the driver.
+    """
+
+    key: tuple[str, ...]
+    seed: int
+    salt: str
+    bits: int
+    cells: Mapping[str, Mapping[int, int]]
+
+    @property
+    def sizes(self) -> dict[str, int]:
+        return {pool: sum(cells.values()) for pool, cells in self.cells.items()}
+
+    def offsets(self, spark: SparkSession) -> DataFrame:
+        """Rows before each cell: columns ``pool``, ``_b``, ``_off``."""
+        rows = []
+        for pool, cells in self.cells.items():
+            seen = 0
+            for digit in sorted(cells):
+                rows.append((pool, digit, seen))
+                seen += cells[digit]
+        return spark.createDataFrame(
+            pd.DataFrame(rows, columns=["pool", "_b", "_off"]), "pool string, _b bigint, _off bigint"
+        )
+
+
+def histogram(
+    df: DataFrame,
+    key: Sequence[str],
+    pool: Column,
+    *,
+    seed: int = 0,
+    salt: str = "order",
+    bits: int = BUCKET_BITS,
+) -> Histogram:
+    """Count rows by pool and leading hash digit (null pools are outside every pool)."""
+    digit = F.shiftright(hash60(seed, salt, *[F.col(k) for k in key]), HASH_BITS - bits)
+    counted = (
+        df.select(pool.alias("_p"), digit.alias("_b"))
+        .filter("_p is not null")
+        .groupBy("_p", "_b")
+        .count()
+        .limit(MAX_CELLS + 1)
+        .toPandas()
+    )
+    if len(counted) > MAX_CELLS:
+        raise ValueError("too many pools to count on the driver; rank with hash_rank instead")
+    cells: dict[str, dict[int, int]] = {}
+    for name, b, n in counted.itertuples(index=False):
+        cells.setdefault(name, {})[int(b)] = int(n)
+    return Histogram(tuple(key), seed, salt, bits, cells)
+
+
+def per_pool(pool: Column, values: Mapping[str, object]) -> Column:
+    """Literal chosen by pool name; null for other pools."""
+    if not values:
+        return F.lit(None)
+    out = None
+    for name, value in values.items():
+        out = (F.when if out is None else out.when)(pool == F.lit(name), F.lit(value))
+    return out
+
+
 # ---- ranks ---------------------------------------------------------------------------
 def bucketed_rank(
-    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str
+    df: DataFrame,
+    by: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    out: str,
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Dense 0-based rank within ``by``, for a ``bucket`` that is monotone in ``order``.
 
-    One exchange of ``df`` on (by, bucket); the bucket counts are aggregated map-side from
-    pruned columns and joined back on the same keys, so they need no exchange of ``df``.
+    One exchange of ``df`` on (by, bucket).  Without given ``offsets`` the bucket counts
+    are aggregated map-side from pruned columns and joined back on the same keys, so they
+    need no exchange of ``df`` either.
     """
     staged = df.withColumn("_b", bucket)
-    cells = staged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 2**BUCKET_BITS cells per group, hence a small window
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = cells.select(
-        *[F.col(c).alias(f"_o_{c}") for c in (*by, "_b")],
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
-    )
+    if offsets is None:
+        cells = staged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        # at most 2**BUCKET_BITS cells per group, hence a small window
+        earlier = (
+            Window.partitionBy(*(by or [F.lit(0)]))
+            .orderBy("_b")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        offsets = cells.select(
+            *by, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
+        )
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in (*by, "_b")], "_off")
     inner = Window.partitionBy(*by, "_b").orderBy(*order)
     ranked = staged.withColumn("_rn", F.row_number().over(inner))
     same = reduce(
@@ -72,12 +152,13 @@ def hash_rank(
     salt: str = "order",
     out: str = "rank",
     bits: int = BUCKET_BITS,
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Seeded shuffle order as a ``rank`` column (0-based, dense, per ``by`` group)."""
     staged = df.withColumn("_h", hash60(seed, salt, *[F.col(k) for k in key]))
     bucket = F.shiftright("_h", HASH_BITS - bits)
     order = [F.col("_h"), *[F.col(k) for k in key]]
-    return bucketed_rank(staged, by, bucket, order, out).drop("_h")
+    return bucketed_rank(staged, by, bucket, order, out, offsets).drop("_h")
 
 
 def dense_position(
@@ -90,91 +171,59 @@ def dense_position(
     return bucketed_rank(df, by, F.floor(F.col(order) / span), [F.col(order)], out)
 
 
-# ---- pool sizes ----------------------------------------------------------------------
-def pool_sizes(df: DataFrame, pool: Column) -> dict[str, int]:
-    """Rows per pool (null pools are outside every pool)."""
-    counted = df.select(pool.alias("_p")).filter("_p is not null").groupBy("_p").count()
-    rows = counted.limit(MAX_POOLS + 1).collect()
-    if len(rows) > MAX_POOLS:
-        raise ValueError(f"more than {MAX_POOLS} pools; rank with hash_rank instead")
-    return {r["_p"]: r["count"] for r in rows}
-
-
-def per_pool(pool: Column, values: Mapping[str, object]) -> Column:
-    """Literal chosen by pool name; null for other pools."""
-    if not values:
-        return F.lit(None)
-    out = None
-    for name, value in values.items():
-        out = (F.when if out is None else out.when)(pool == F.lit(name), F.lit(value))
-    return out
-
-
 # ---- first k of each pool --------------------------------------------------------------
-def first_k(
-    df: DataFrame,
-    key: Sequence[str],
-    want: Mapping[str, int],
-    *,
-    pool: Column | None = None,
-    sizes: Mapping[str, int] | None = None,
-    seed: int = 0,
-    salt: str = "order",
-    bits: int = BUCKET_BITS,
-) -> Column:
+def first_k(df: DataFrame, pool: Column, counts: Histogram, want: Mapping[str, int]) -> Column:
     """Predicate: the row is among the first ``want[pool]`` rows of its pool in hash order.
 
-    The k-th smallest hash is found digit by digit: count rows per leading digit, keep the
-    digit that holds the k-th row, go one digit deeper inside it until few rows are left.
-    Each step is a scan of the key columns with a map-side aggregate of at most
-    ``2**bits`` cells per pool.  Applying the result needs neither shuffle nor join.
+    The k-th smallest hash is found digit by digit: the histogram tells which leading digit
+    holds the k-th row; while more than a few rows share it, they are counted by their next
+    digit (a scan with a map-side aggregate of at most ``2**bits`` cells per pool).
+    Applying the result needs neither shuffle nor join.
     """
-    pool = F.lit("all") if pool is None else pool
-    sizes = pool_sizes(df, pool) if sizes is None else sizes
+    key, sizes = counts.key, counts.sizes
     for name, k in want.items():
         if k > sizes.get(name, 0):
             raise SampleTooLarge(f"{name}: {k} rows wanted, {sizes.get(name, 0)} there")
-    h = hash60(seed, salt, *[F.col(c) for c in key])
     row_key = [F.col(c) for c in key]
+    h = hash60(counts.seed, counts.salt, *row_key)
     staged = df.select(pool.alias("_p"), h.alias("_h"), *row_key)
-    # pool -> [bits already fixed, their value, rows wanted inside, rows inside]
-    open_ = {n: [0, 0, k, sizes[n]] for n, k in want.items() if 0 < k < sizes[n]}
+    # pool -> (bits already fixed, their value, rows wanted inside, rows inside)
+    found = {
+        name: _descend(counts.cells[name], k, counts.bits)
+        for name, k in want.items()
+        if 0 < k < sizes[name]
+    }
 
     def inside(name: str) -> Column:
-        depth, value = open_[name][:2]
-        here = F.col("_p") == F.lit(name)
-        return here if depth == 0 else here & (F.shiftright("_h", HASH_BITS - depth) == value)
-
-    while deep := [n for n, s in open_.items() if s[3] > SMALL_BUCKET and s[0] < HASH_BITS]:
-        depth = open_[deep[0]][0]
-        level = [n for n in deep if open_[n][0] == depth]
-        step = min(bits, HASH_BITS - depth)
+        depth, value = found[name][:2]
+        return (F.col("_p") == F.lit(name)) & (F.shiftright("_h", HASH_BITS - depth) == value)
+
+    while deep := [n for n, s in found.items() if s[3] > SMALL_BUCKET and s[0] < HASH_BITS]:
+        depth = found[deep[0]][0]
+        level = [n for n in deep if found[n][0] == depth]
+        step = min(counts.bits, HASH_BITS - depth)
         digit = F.shiftright("_h", HASH_BITS - depth - step)
-        cells = (
+        rows = (
             staged.filter(reduce(lambda a, b: a | b, [inside(n) for n in level]))
             .groupBy("_p", digit.alias("_d"))
             .count()
             .collect()
         )
         for name in level:
-            left = open_[name][2]
-            for row in sorted((r for r in cells if r["_p"] == name), key=lambda r: r["_d"]):
-                if left <= row["count"]:
-                    open_[name] = [depth + step, row["_d"], left, row["count"]]
-                    break
-                left -= row["count"]
+            cells = {r["_d"]: r["count"] for r in rows if r["_p"] == name}
+            found[name] = _descend(cells, found[name][2], depth + step)
 
     cuts = {}
-    if open_:
+    if found:
         nth = Window.partitionBy("_p").orderBy("_h", *key)
-        wanted = per_pool(F.col("_p"), {n: s[2] for n, s in open_.items()})
-        found = (
-            staged.filter(reduce(lambda a, b: a | b, [inside(n) for n in open_]))
+        wanted = per_pool(F.col("_p"), {n: s[2] for n, s in found.items()})
+        last_rows = (
+            staged.filter(reduce(lambda a, b: a | b, [inside(n) for n in found]))
             .withColumn("_rn", F.row_number().over(nth))
             .filter(F.col("_rn") == wanted)
             .collect()
         )
-        cuts = {r["_p"]: r for r in found}
+        cuts = {r["_p"]: r for r in last_rows}
 
     out = None
     for name, k in want.items():
@@ -188,6 +237,15 @@ def first_k(
     return F.lit(False) if out is None else F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
 
 
+def _descend(cells: Mapping[int, int], k: int, depth: int) -> tuple[int, int, int, int]:
+    """Cell that holds the ``k``-th row, and which row of the cell it is."""
+    for digit in sorted(cells):
+        if k <= cells[digit]:
+            return depth, digit, k, cells[digit]
+        k -= cells[digit]
+    raise AssertionError("fewer rows than counted; the table changed between scans")
+
+
 def _up_to(columns: list[Column], values: list) -> Column:
     """Lexicographic ``columns <= values``."""
     here, value = columns[0], F.lit(values[0])
@@ -196,9 +254,23 @@ def _up_to(columns: list[Column], values: list) -> Column:
     return (here < value) | ((here == value) & _up_to(columns[1:], values[1:]))
 
 
+def sample_per_pool(
+    df: DataFrame,
+    key: Sequence[str],
+    pool: Column,
+    amounts: Callable[[Mapping[str, int]], Mapping[str, int]],
+    *,
+    seed: int = 0,
+    salt: str = "order",
+) -> DataFrame:
+    """Exactly ``amounts(sizes)`` rows of each pool, without replacement."""
+    counts = histogram(df, key, pool, seed=seed, salt=salt)
+    return df.filter(first_k(df, pool, counts, amounts(counts.sizes)))
+
+
 def head_n(df: DataFrame, key: Sequence[str], n: int, *, seed: int = 0, salt: str = "order"):
     """First ``n`` rows of the seeded shuffle; also an exact sample without replacement."""
-    return df.filter(first_k(df, key, {"all": n}, seed=seed, salt=salt))
+    return sample_per_pool(df, key, F.lit("all"), lambda _: {"all": n}, seed=seed, salt=salt)
 
 
 sample_without_replacement = head_n
@@ -215,9 +287,9 @@ def split_by_share(
     out: str = "split",
 ) -> DataFrame:
     """Label ``test`` for ``ceil(percent% of n)`` random rows of every pool, else ``train``."""
-    sizes = pool_sizes(df, pool)
-    want = {n: -(-c * percent // 100) for n, c in sizes.items()}
-    in_test = first_k(df, key, want, pool=pool, sizes=sizes, seed=seed, salt=salt)
+    counts = histogram(df, key, pool, seed=seed, salt=salt)
+    want = {n: -(-c * percent // 100) for n, c in counts.sizes.items()}
+    in_test = first_k(df, pool, counts, want)
     return df.withColumn(out, F.when(in_test, "test").otherwise("train"))
 
 
@@ -274,50 +346,49 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
 
 def draw_keys(
     keys: DataFrame,
-    key: Sequence[str],
+    counts: Histogram,
     draws: Mapping[str, int],
-    *,
     replace: Mapping[str, bool],
-    sizes: Mapping[str, int] | None = None,
-    seed: int = 0,
 ) -> DataFrame:
-    """Keys of the drawn rows: ``pool``, ``draw`` and the ``key`` columns.
+    """Keys of the drawn rows: ``pool``, ``draw`` and the key columns.
 
     ``keys`` has ``pool`` and the key columns only, so ranking a corpus moves no text.  For
     pools sampled without replacement the keys beyond the cut are dropped before ranking.
     """
     spark = keys.sparkSession
-    sizes = pool_sizes(keys, F.col("pool")) if sizes is None else sizes
-    total = sum(draws.values())
+    table = draw_table(spark, draws, counts.sizes, replace, seed=counts.seed)
     without = {n: k for n, k in draws.items() if k > 0 and not replace[n]}
-    table = draw_table(spark, draws, sizes, replace, seed=seed)
     wanted = F.col("pool").isin([n for n, k in draws.items() if k > 0 and replace[n]])
     if without:
-        wanted = wanted | first_k(
-            keys, key, without, pool=F.col("pool"), sizes=sizes, seed=seed, salt="pool"
-        )
-    ranked = hash_rank(keys.filter(wanted), key, by=["pool"], seed=seed, salt="pool")
-    return ranked.join(small_enough(table, total), ["pool", "rank"]).select("pool", "draw", *key)
+        wanted = wanted | first_k(keys, F.col("pool"), counts, without)
+    ranked = hash_rank(
+        keys.filter(wanted),
+        counts.key,
+        by=["pool"],
+        seed=counts.seed,
+        salt=counts.salt,
+        bits=counts.bits,
+        offsets=counts.offsets(spark),
+    )
+    drawn = ranked.join(small_enough(table, sum(draws.values())), ["pool", "rank"])
+    return drawn.select("pool", "draw", *counts.key)
 
 
 def sample_with_replacement(df: DataFrame, key: Sequence[str], k: int, *, seed: int = 0) -> DataFrame:
     """Exactly ``k`` draws: the columns of ``df`` plus ``draw``."""
-    return _sample(df, key, k, True, seed)
+    return _sample(df, key, k, lambda size: True, seed)
 
 
 def sample_adaptive(df: DataFrame, key: Sequence[str], k: int, *, seed: int = 0) -> DataFrame:
     """Without replacement while the table is large enough, else with."""
-    size = df.count()
-    return _sample(df, key, k, k > size, seed, size)
+    return _sample(df, key, k, lambda size: k > size, seed)
 
 
-def _sample(df, key, k, with_replacement, seed, size=None) -> DataFrame:
+def _sample(df, key, k, with_replacement, seed) -> DataFrame:
     keys = df.select(F.lit("all").alias("pool"), *key)
-    sizes = {"all": df.count() if size is None else size}
-    drawn = draw_keys(
-        keys, key, {"all": k}, replace={"all": with_replacement}, sizes=sizes, seed=seed
-    )
-    return attach(df, drawn.drop("pool"), key, k)
+    counts = histogram(keys, key, F.col("pool"), seed=seed, salt="pool")
+    replace = {"all": with_replacement(counts.sizes.get("all", 0))}
+    return attach(df, draw_keys(keys, counts, {"all": k}, replace).drop("pool"), key, k)
 
 
 def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
-from quillweave.operators.gate import split_valid
+from quillweave.operators.gate import pinned, with_validity
 from quillweave.operators.masking import MASKERS
 from quillweave.operators.qa import QA_BUILDERS
 from quillweave.operators.sampling import split_by_share
@@ -35,13 +35,17 @@ def build_pairs(
     key=("row_id",),
     grammar=DEFAULT_GRAMMAR,
     **options,
-) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, quarantine)`` of the chosen corpora with a ``subset`` column; map-only."""
+) -> DataFrame:
+    """Pairs of the chosen corpora with ``subset`` and ``is_valid``; map-only.
+
+    Rows with ``is_valid`` false are the quarantine: write the table once, partitioned by
+    ``is_valid``, or use ``operators.gate.split_valid`` on parts of it.
+    """
     parts = [
         MASKERS[name](corpora[name], key, grammar=grammar, **options).withColumn("subset", F.lit(name))
         for name in chosen(MASKERS, corpora if subsets is None else subsets)
     ]
-    return split_valid(_together(parts), grammar)
+    return pinned(with_validity(_together(parts), grammar))
 
 
 def build_qa(

@@ -143,11 +143,16 @@ def mask_summary(spark, sf):
     """Flagship: mask every document, check every pair, sum up per source."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     pairs = masking.mask_spans(docs, F.col("text"), ["doc_id"], keep=["source"])
-    masks = G.tags(F.col("response"))
-    hidden = F.aggregate(masks, F.lit(0), lambda n, t: n + F.char_length(t["content"]))
+    sizes = F.transform(G.tags(F.col("response")), lambda t: F.char_length(t["content"]))
     return (
         gate.with_validity(pairs)
-        .select("source", "is_valid", F.size(masks).alias("masks"), hidden.alias("hidden"))
+        .select("source", "is_valid", sizes.alias("_sizes"))
+        .select(
+            "source",
+            "is_valid",
+            F.size("_sizes").alias("masks"),
+            F.aggregate("_sizes", F.lit(0), lambda n, x: n + x).alias("hidden"),
+        )
         .groupBy("source")
         .agg(
             F.count(F.lit(1)).alias("pairs"),
@@ -273,11 +278,10 @@ def head_n(spark, sf):
 @query
 def sample_wor(spark, sf):
     """A third of every source, exactly."""
-    docs = table(spark, sf, "documents")
-    sizes = sampling.pool_sizes(docs, F.col("source"))
-    want = {n: c // 3 for n, c in sizes.items()}
-    inside = sampling.first_k(docs, ["doc_id"], want, pool=F.col("source"), sizes=sizes, seed=7)
-    return docs.filter(inside).select("doc_id", "source", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return sampling.sample_per_pool(
+        docs, ["doc_id"], F.col("source"), lambda sizes: {n: c // 3 for n, c in sizes.items()}, seed=7
+    )
 
 
 @query
@@ -634,12 +638,11 @@ def _corpora(spark, sf):
 @query
 def build_all_pairs(spark, sf):
     """All ten corpora masked; rows kept and rows set aside, per subset."""
-    good, bad = builds.build_pairs(_corpora(spark, sf))
-    both = good.withColumn("ok", F.lit(1)).unionByName(bad.withColumn("ok", F.lit(0)))
-    return both.groupBy("subset").agg(
-        F.sum("ok").cast("bigint").alias("pairs"),
-        F.count_if(F.col("ok") == 0).alias("quarantined"),
-        F.sum(F.when(F.col("ok") == 1, F.char_length("response"))).alias("response_chars"),
+    built = builds.build_pairs(_corpora(spark, sf))
+    return built.groupBy("subset").agg(
+        F.count_if("is_valid").alias("pairs"),
+        F.count_if(~F.col("is_valid")).alias("quarantined"),
+        F.sum(F.when(F.col("is_valid"), F.char_length("response"))).alias("response_chars"),
     )
 
 
