@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from quillweave.functions.fixed import CHAIN_MARKER
 from quillweave.functions.text import before, canonical, joined_answer, optional, strip
+from quillweave.operators.gate import pinned
 from quillweave.operators.masking import is_correct_process
 
 
 def _rows(df: DataFrame, key: Sequence[str], q: Column, a: Column) -> DataFrame:
-    return df.select(*key, q.alias("q"), a.alias("a")).filter("q <> '' and a <> ''")
+    return pinned(df.select(*key, q.alias("q"), a.alias("a"))).filter("q <> '' and a <> ''")
 
 
 def _need(df: DataFrame, name: str) -> Column:

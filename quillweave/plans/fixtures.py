@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillweave.sources.readers import spread
+
 TABLES = ("documents", "conversations", "labels")
 
 #: sources of the documents table as a stand-in for subsets, 12 / 4 / 4 of them per tier
@@ -23,7 +25,7 @@ FOUR_TIER_SOURCES = {
     "low": SOURCES[15:],
 }
 
-_LINE = "split_part(text, chr(10), 1)"
+_LINE = "case when instr(text, chr(10)) = 0 then text else substr(text, 1, instr(text, chr(10)) - 1) end"
 _REST = f"substr(text, length({_LINE}) + 2)"
 _HALF = "cast(floor(length(text) / 2) as int)"
 _FIFTH = "cast(floor(length(text) / 5) as int)"
@@ -121,6 +123,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: table(spark, folder, t) for t in TABLES if f"{{{t}}}" in text}
+    if "documents" in used:
+        used["documents"] = spread(used["documents"])
     df = spark.sql(text, **used)
     if name == "steps":
         df = df.select("*", F.split("steps_text", "\n").alias("steps")).drop("steps_text")

@@ -141,7 +141,7 @@ def mask_poisson_fields(spark, sf):
 @query
 def mask_summary(spark, sf):
     """Flagship: mask every document, check every pair, sum up per source."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = readers.spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     pairs = masking.mask_spans(docs, F.col("text"), ["doc_id"], keep=["source"])
     sizes = F.transform(G.tags(F.col("response")), lambda t: F.char_length(t["content"]))
     return (

@@ -18,6 +18,16 @@ def _listing(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer partitions than that.
+
+    For work that is heavy per row (masking, tokenizing) on few or large row groups.  A
+    scan with enough partitions, the normal case on a cluster, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def require_paths(spark: SparkSession, *patterns: str) -> list[str]:
     found = sorted({p for pattern in patterns for p in _listing(spark, pattern)})
     if not found:
