@@ -18,23 +18,35 @@ from quillweave.functions.binding import let
 TAG_TYPE = "array<struct<id:string,desc:string,content:string>>"
 
 
-def _col(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(str(value))
+ESCAPES = (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))
 
 
 def _replace(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
 
-def escape_attr(c: Column) -> Column:
-    for old, new in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
-        c = _replace(c, old, new)
-    return c
+def escape_attr(value):
+    """Escaped text of a plain string or a column."""
+    for old, new in ESCAPES:
+        value = _replace(value, old, new) if isinstance(value, Column) else value.replace(old, new)
+    return value
+
+
+def joined(*parts) -> Column:
+    """Concatenation of columns and plain strings; neighbouring strings become one literal."""
+    out: list = []
+    for part in parts:
+        if isinstance(part, Column) or not out or isinstance(out[-1], Column):
+            out.append(part)
+        else:
+            out[-1] += part
+    columns = [p if isinstance(p, Column) else F.lit(p) for p in out]
+    return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 
 def unescape_attr(c: Column) -> Column:
-    for old, new in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = _replace(c, old, new)
+    for old, new in reversed(ESCAPES):
+        c = _replace(c, new, old)
     return c
 
 
@@ -67,18 +79,22 @@ class TagGrammar:
     # ---- render ----------------------------------------------------------------
     def render(self, id=None, desc=None, content=None) -> Column:
         """One tag.  A null ``content`` column makes the whole tag null."""
-        parts = [F.lit(f"<|{self.tag}")]
+        def text(value):
+            return value if isinstance(value, (Column, str)) else str(value)
+
+        parts: list = [f"<|{self.tag}"]
         if id is not None:
-            parts += [F.lit(f' id="{self.id_prefix}'), _col(id).cast("string"), F.lit('"')]
+            number = id.cast("string") if isinstance(id, Column) else str(id)
+            parts += [f' id="{self.id_prefix}', number, '"']
         if desc is not None:
-            parts += [F.lit(' desc="'), escape_attr(_col(desc)), F.lit('"')]
-        parts.append(F.lit("|>"))
+            parts += [' desc="', escape_attr(text(desc)), '"']
+        parts.append("|>")
         if content is not None:
-            parts.append(_col(content))
-        return F.concat(*parts, F.lit(self.close))
+            parts.append(text(content))
+        return joined(*parts, self.close)
 
     def _wrap(self, body: Column, name: str) -> Column:
-        return F.concat(F.lit(f"<|{name}|>"), body, F.lit(f"<|/{name}|>"))
+        return joined(f"<|{name}|>", body, f"<|/{name}|>")
 
     def wrap_query(self, body: Column) -> Column:
         return self._wrap(body, self.query_wrap)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of every column expression are only wanted while debugging
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
