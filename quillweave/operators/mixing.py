@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillweave.functions import fixed
 from quillweave.operators.sampling import (
+    Histogram,
     SampleTooLarge,
     attach,
     draw_keys,
@@ -155,15 +156,43 @@ def keyed_pools(df: DataFrame, recipe: Recipe, key: Sequence[str], subset: str):
     return rows.select(*columns).filter(F.col("pool").isNotNull())
 
 
-def mix(
+@dataclass(frozen=True)
+class Planned:
+    """A recipe applied to a table: what will be drawn, before anything is drawn."""
+
+    df: DataFrame
+    key: tuple[str, ...]
+    keys: DataFrame
+    counts: Histogram
+    quotas: Quotas
+    replace: Mapping[str, bool]
+
+    @property
+    def rows(self) -> int:
+        return sum(self.quotas.values())
+
+    def draw(self) -> DataFrame:
+        """Columns of the table plus ``pool``, ``draw`` and ``pos`` (0-based, in the mixture)."""
+        spark, seed = self.df.sparkSession, self.counts.seed
+        drawn = draw_keys(self.keys, self.counts, self.quotas, self.replace)
+        # the order depends on the draw numbers only, so it is ranked before any row is fetched
+        numbers = draw_table(spark, self.quotas, self.counts.sizes, self.replace, seed=seed)
+        order = hash_rank(
+            numbers.select("pool", "draw"), ["pool", "draw"], seed=seed, salt="mix", out="pos"
+        )
+        placed = drawn.join(small_enough(order, self.rows), ["pool", "draw"])
+        return attach(self.df, placed, self.key, self.rows)
+
+
+def plan(
     df: DataFrame,
     recipe: Recipe,
     key: Sequence[str] = ("row_id",),
     *,
     subset: str = "subset",
     seed: int | None = None,
-) -> DataFrame:
-    """Columns of ``df`` plus ``pool``, ``draw`` and ``pos`` (0-based place in the mixture)."""
+) -> Planned:
+    """Count the pools, work out the amounts and check them; one scan of the key columns."""
     seed = recipe.salt_seed if seed is None else seed
     keys = keyed_pools(df, recipe, key, subset)
     unique = [c for c in keys.columns if c != "pool"]
@@ -183,10 +212,16 @@ def mix(
     for name, k in quotas.items():
         if not replace[name] and k > sizes.get(name, 0):
             raise SampleTooLarge(f"{name}: {k} rows wanted, {sizes.get(name, 0)} there")
+    return Planned(df, tuple(key), keys, counts, quotas, replace)
 
-    drawn = draw_keys(keys, counts, quotas, replace)
-    # the order depends on the draw numbers only, so it is ranked before any row is fetched
-    numbers = draw_table(df.sparkSession, quotas, sizes, replace, seed=seed).select("pool", "draw")
-    order = hash_rank(numbers, ["pool", "draw"], seed=seed, salt="mix", out="pos")
-    placed = drawn.join(small_enough(order, rows), ["pool", "draw"])
-    return attach(df, placed, key, rows)
+
+def mix(
+    df: DataFrame,
+    recipe: Recipe,
+    key: Sequence[str] = ("row_id",),
+    *,
+    subset: str = "subset",
+    seed: int | None = None,
+) -> DataFrame:
+    """Columns of ``df`` plus ``pool``, ``draw`` and ``pos`` (0-based place in the mixture)."""
+    return plan(df, recipe, key, subset=subset, seed=seed).draw()

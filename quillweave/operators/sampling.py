@@ -120,25 +120,31 @@ def bucketed_rank(
     are aggregated map-side from pruned columns and joined back on the same keys, so they
     need no exchange of ``df`` either.
     """
-    staged = df.withColumn("_b", bucket)
+    # null groups get a value and a flag, so that all keys join by plain equality and the
+    # join can use the partitioning of the window
+    group = {}
+    for place, name in enumerate(by):
+        filler = F.lit("" if dict(df.dtypes)[name] == "string" else 0)
+        group[f"_g{place}"] = F.coalesce(F.col(name), filler)
+        group[f"_n{place}"] = F.col(name).isNull()
+    cell = [*group, "_b"]
+    staged = df.withColumns({**group, "_b": F.coalesce(bucket, F.lit(-(1 << 62)))})
     if offsets is None:
-        cells = staged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        # at most 2**BUCKET_BITS cells per group, hence a small window
+        counted = staged.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        # few cells per group, hence a small window
         earlier = (
-            Window.partitionBy(*(by or [F.lit(0)]))
+            Window.partitionBy(*(list(group) or [F.lit(0)]))
             .orderBy("_b")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        offsets = cells.select(
-            *by, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
+        offsets = counted.select(
+            *cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
         )
-    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in (*by, "_b")], "_off")
-    inner = Window.partitionBy(*by, "_b").orderBy(*order)
+    else:
+        offsets = offsets.withColumns(group).select(*cell, "_off")
+    inner = Window.partitionBy(*cell).orderBy(*order)
     ranked = staged.withColumn("_rn", F.row_number().over(inner))
-    same = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*by, "_b")]
-    )
-    return ranked.join(offsets, same).select(
+    return ranked.join(offsets, cell).select(
         *df.columns, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out)
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillweave.operators.chat import CHAT_TEMPLATES, prompt_row, with_token_lengths, within_budget
 from quillweave.operators.gate import pinned
-from quillweave.operators.mixing import Recipe, mix
+from quillweave.operators.mixing import Recipe, mix, plan
 from quillweave.operators.sampling import hash_rank, head_n, split_head
 
 
@@ -23,13 +23,10 @@ def chat_set(
     subset: str = "subset",
 ) -> DataFrame:
     """Mixture -> chat ``text`` -> ``split`` by position; text is rendered last."""
-    mixed = mix(corpus, recipe, key, subset=subset)
+    planned = plan(corpus, recipe, key, subset=subset)
     text = CHAT_TEMPLATES[template].render_pair(F.col(query), F.col(response))
-    rows = recipe.total
-    if rows is None:
-        rows = mixed.count()
-    rendered = mixed.select("pos", text.alias("text"))
-    return split_head(rendered, rows * train_share[0] // train_share[1])
+    rendered = planned.draw().select("pos", text.alias("text"))
+    return split_head(rendered, planned.rows * train_share[0] // train_share[1])
 
 
 def first_rows_set(

@@ -169,9 +169,9 @@ NEWS = (
     f"select row_id, headLine || {NL} || broadcastDate || {NL} || newsBeginning || {NL} || newsRemainder as text "
     f"from ({view_sql('news')})"
 )
-ORACLES["poisson_counts"] = f"with {spans(ARTICLE)} select row_id, n, m as masks from s"
+ORACLES["poisson_counts"] = f"with {spans(ARTICLE)} select row_id, n::INT as n, m::INT as masks from s"
 ORACLES["mask_ranges"] = f"""with {spans(ARTICLE)}
-select row_id, i as place, pos[2 * i + 1] as s, pos[2 * i + 2] as e
+select row_id, i::INT as place, pos[2 * i + 1]::INT as s, pos[2 * i + 2]::INT as e
 from (select *, unnest(range(0, m)) as i from p)"""
 ORACLES["mask_poisson"] = span_pairs(ARTICLE)
 ORACLES["mask_poisson_fields"] = span_pairs(NEWS)
@@ -336,7 +336,7 @@ ORACLES["pair_validate"] = f"with {PARSED} select row_id, strict as is_valid fro
 def infilled(condition: str) -> str:
     return f"""with {PARSED},
 e as (select *, unnest(case when {condition} and len(q_id) > 0 then range(0, len(q_id)) else [null] end) as i from v)
-select row_id, i as place, case when i is not null then {unescaped('q_desc[i + 1]')} end as tag_desc,
+select row_id, i::INT as place, case when i is not null then {unescaped('q_desc[i + 1]')} end as tag_desc,
   case when i is not null then {filled('c')} end as content from e"""
 
 
@@ -396,7 +396,10 @@ def pool_case(pools, subset: str = "subset") -> str:
     return f"case {cases} end"
 
 
-def mixture(pool: str, quotas: str, replace: str, where: str = "true", copies: str | None = None) -> str:
+def mixture(
+    pool: str, quotas: str, replace: str, where: str = "true", copies: str | None = None,
+    columns: str = "r.row_id, r.subset, p.pool, p.draw, p.pos, md5(r.query) as query_md5",
+) -> str:
     """``quotas``: SQL giving (pool, k); ``replace``: SQL condition over k and size."""
     copy = f"unnest(range(1, {copies} + 1))" if copies else "1"
     keys = "row_id, copy" if copies else "row_id"
@@ -410,7 +413,7 @@ rows_ as (select *, {rank} as rank from tiered),
 numbers as (select q.pool, q.k, s.size, unnest(range(0, q.k)) as draw from quota q join sizes s on s.pool = q.pool where q.k > 0),
 draws as (select pool, draw, case when {replace} then {h("'42'", "'draw'", "pool", "draw")} % size else draw end as rank from numbers),
 placed as (select *, row_number() over ({order_by(42, 'mix', 'pool', 'draw')}) - 1 as pos from draws)
-select r.row_id, r.subset, p.pool, p.draw, p.pos, md5(r.query) as query_md5
+select {columns}
 from placed p join rows_ r on r.pool = p.pool and r.rank = p.rank"""
 
 
@@ -498,10 +501,19 @@ ORACLES["prompt_rows"] = (
     f"from ({ORACLES['mask_solution']})"
 )
 ORACLES["response_span"] = (
-    f"select row_id, length(query) + length({USER} || {END} || {ASSISTANT}) as start, "
-    f"length({PAIR_TEXT}) as end from ({ORACLES['mask_poisson']})"
+    f"select row_id, (length(query) + length({USER} || {END} || {ASSISTANT}))::INT as start, "
+    f"length({PAIR_TEXT})::INT as end from ({ORACLES['mask_poisson']})"
 ).replace(" as end", ' as "end"')
 
+ORACLES["chat_training_set"] = mixture(
+    TIER,
+    "select 'high' as pool, n * 3 // 6 as k from total union all select 'mid', n * 2 // 6 from total "
+    "union all select 'low', n - n * 3 // 6 - n * 2 // 6 from total",
+    "true",
+    columns=f"p.pos, {PAIR_TEXT.replace('query', 'r.query').replace('response', 'r.response')} as text, "
+    f"case when p.pos < {N} * 98 // 100 then 'train' else 'eval' end as split",
+)
+
 # ---- rewards ---------------------------------------------------------------------------------------------------
 
 
@@ -580,12 +592,12 @@ select step, round(avg(loose) filter (where strict), 6) as correct_tags,
   count(*) filter (where not strict) as failures, count(*) as rollouts
 from s group by step"""
 ORACLES["reward_samples"] = f"""{SCORED}
-select step, row_id, query, completion, golden, case when strict then loose end as correct_tags,
+select step, row_id, query, completion, golden, case when strict then loose::INT end as correct_tags,
   case when strict then round(ratio, 6) end as ratio, case when strict then round(loose * factor, 6) end as reward
 from s where (step + 1) % 10 = 0 qualify row_number() over (partition by step order by row_id desc) = 1"""
 ORACLES["reward_samples_first"] = f"""{SCORED}
 select step, row_id, left(query, 1000) as query, left(completion, 2000) as completion, left(golden, 2000) as golden,
-  exact as correct_tags, round(ratio, 6) as ratio,
+  exact::INT as correct_tags, round(ratio, 6) as ratio,
   round((2 * acc - 1) * factor + case when acc = 1 then 0.5 else 0 end, 6) as reward
 from s where (step + 1) % 20 = 0 and lenient qualify row_number() over (partition by step order by row_id) = 1"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillweave.functions.grammar import DEFAULT as G
 from quillweave.functions.text import canonical
 from quillweave.operators import chat, gate, masking, mixing, qa, rewards, sampling, viewing
-from quillweave.plans import builds, recipes
+from quillweave.plans import builds, jobs, recipes
 from quillweave.plans.fixtures import (
     FOUR_TIER_SOURCES,
     KIND_SOURCES,
@@ -452,6 +452,24 @@ def token_max(spark, sf):
     return chat.token_limits(_budgeted(spark, sf), CHAT_LIMIT)
 
 
+@query
+def chat_training_set(spark, sf):
+    """Mixture, chat text and 98/2 split in one job."""
+    n = table(spark, sf, "documents").count()
+    return jobs.chat_set(view(spark, sf, "subset"), recipes.weighted(3, 2, 1, n, TIER_SOURCES))
+
+
+@query
+def prompt_training_set(spark, sf):
+    """Adaptive mixture, prompt rows within the token budget."""
+    n = table(spark, sf, "documents").count()
+    recipe = recipes.quotas(FOUR_TIER_SOURCES, verifiable=n // 5, high=n // 5, mid=n // 10, low=n // 10)
+    rows = jobs.prompt_set(
+        view(spark, sf, "subset"), recipe, chat.public_byte_pair(), limit=CHAT_LIMIT
+    )
+    return rows.select("pos", "row_id", "len_prompt", "len_prompt_completion", "prompt", "solution")
+
+
 # ---- rewards --------------------------------------------------------------------------------------------
 def _scores(spark, sf, *names):
     scored = rewards.score(view(spark, sf, "rollouts"), names)

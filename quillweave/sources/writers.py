@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillweave.operators.gate import PAIR_COLUMNS, check_columns
 
@@ -42,8 +43,22 @@ def write_jsonl_tree(df: DataFrame, root: str, *, mode: str = "errorifexists") -
     return root
 
 
-def publish(df: DataFrame, root: str, *, rows_per_file: int = 1_000_000, mode: str = "errorifexists") -> str:
-    """Parquet partitioned by subset and split, in one job and without a shuffle."""
+def publish(
+    df: DataFrame,
+    root: str,
+    *,
+    rows_per_file: int = 1_000_000,
+    rebalance: bool = False,
+    mode: str = "errorifexists",
+) -> str:
+    """Parquet partitioned by subset and split, in one job.
+
+    Without a shuffle by default.  Where every task holds rows of many subsets that makes
+    many small files; ``rebalance`` gathers rows by subset and split first, and splits
+    those that are larger than the advisory size, so one large subset is not one task.
+    """
+    if rebalance:
+        df = df.hint("rebalance", F.col("subset"), F.col("split"))
     (
         df.write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)

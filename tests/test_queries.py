@@ -23,7 +23,7 @@ def con():
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"token_budget", "token_max"}
+    assert set(QUERIES) - set(ORACLES) == {"token_budget", "token_max", "prompt_training_set"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -25,6 +25,15 @@ def test_read_subset_prunes_partitions(spark, published, plan_of):
         readers.read_subset(spark, published, "missing")
 
 
+def test_rebalanced_publish(spark, tmp_path):
+    df = spark.range(0, 400, 1, 8).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") < 300, "hot").otherwise("b").alias("subset"), F.lit("train").alias("split")
+    )
+    root = writers.publish(df, str(tmp_path / "r"), rebalance=True)
+    assert spark.read.parquet(root).count() == 400
+    assert len(list((tmp_path / "r").rglob("*.parquet"))) < 8
+
+
 def test_split_shards(spark, tmp_path):
     root = tmp_path / "repo"
     spark.range(3).coalesce(1).write.parquet(str(root / "data"))
