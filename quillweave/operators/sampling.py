@@ -30,6 +30,8 @@ BUCKET_BITS = 12
 MAX_CELLS = 1_000_000
 SMALL_BUCKET = 20_000
 BROADCAST_ROWS = 1_000_000
+WHOLE_NUMBERS = {"tinyint", "smallint", "int", "bigint"}
+FIXED_WIDTH = WHOLE_NUMBERS | {"boolean", "float", "double", "date", "timestamp"}
 
 
 class SampleTooLarge(ValueError):
@@ -124,8 +126,9 @@ def bucketed_rank(
     # join can use the partitioning of the window
     group = {}
     for place, name in enumerate(by):
-        filler = F.lit("" if dict(df.dtypes)[name] == "string" else 0)
-        group[f"_g{place}"] = F.coalesce(F.col(name), filler)
+        whole = dict(df.dtypes)[name] in WHOLE_NUMBERS
+        value = F.col(name) if whole else F.col(name).cast("string")
+        group[f"_g{place}"] = F.coalesce(value, F.lit(0 if whole else ""))
         group[f"_n{place}"] = F.col(name).isNull()
     cell = [*group, "_b"]
     staged = df.withColumns({**group, "_b": F.coalesce(bucket, F.lit(-(1 << 62)))})
@@ -342,12 +345,15 @@ def draw_table(
     )
 
 
+def fixed_width(df: DataFrame, columns: Sequence[str]) -> bool:
+    return all(t in FIXED_WIDTH for name, t in df.dtypes if name in columns)
+
+
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table of known row count and fixed-width columns, if it is small."""
-    sized = {"bigint", "int", "smallint", "tinyint", "boolean", "double", "date", "timestamp"}
     # pool names are the short literals of a recipe
-    fixed_width = all(t in sized or name == "pool" for name, t in df.dtypes)
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and fixed_width else df
+    others = [c for c in df.columns if c != "pool"]
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and fixed_width(df, others) else df
 
 
 def draw_keys(
@@ -398,8 +404,16 @@ def _sample(df, key, k, with_replacement, seed) -> DataFrame:
 
 
 def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
-    """Fetch the rows of the drawn keys; a small draw is broadcast, so ``df`` stays put."""
-    return df.join(small_enough(drawn, rows), list(key))
+    """Fetch the rows of the ``rows`` drawn keys; few draws leave ``df`` where it is.
+
+    Fixed-width keys are broadcast themselves.  Of other keys only a 64-bit hash is
+    broadcast: it thins ``df`` to about the drawn rows, and those are joined on the key.
+    """
+    if rows > BROADCAST_ROWS or fixed_width(drawn, key):
+        return df.join(small_enough(drawn, rows), list(key))
+    hashes = drawn.select(F.xxhash64(*key).alias("_x"))
+    near = df.withColumn("_x", F.xxhash64(*key)).join(F.broadcast(hashes), "_x", "left_semi")
+    return near.drop("_x").join(drawn, list(key))
 
 
 def repeat(df: DataFrame, copies: Column, out: str = "copy") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillweave.functions.text import strip
 
-#: ``<subset>/<split>.jsonl`` (a file or a folder of parts) or ``subset=<subset>/split=<split>/``
-_PLACE = r"/(?:subset=)?([^/]+)/(?:split=([^/]+)|([^/]+)\.jsonl)(?:/[^/]*)?$"
+#: ``<subset>/<split>.jsonl``, a file or a folder of parts
+_PLACE = r"/([^/]+)/([^/]+)\.jsonl(?:/[^/]*)?$"
 
 
 def _listing(spark: SparkSession, pattern: str) -> list[str]:
@@ -79,14 +79,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_jsonl_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Every ``<root>/<subset>/<split>.jsonl``, with ``subset`` and ``split`` columns.
 
-    Also reads the partitioned layout written by ``write_jsonl_tree``.
+    Also reads the partitioned layout written by ``write_jsonl_tree``, and both together.
     """
     require_paths(spark, root)
-    found = require_paths(spark, f"{root}/*/*.jsonl", f"{root}/subset=*/split=*")
-    df = spark.read.schema(schema).json(found)
-    place = F.col("_metadata.file_path")
-    split = F.concat(F.regexp_extract(place, _PLACE, 2), F.regexp_extract(place, _PLACE, 3))
-    return df.select("*", F.regexp_extract(place, _PLACE, 1).alias("subset"), split.alias("split"))
+    require_paths(spark, f"{root}/*/*.jsonl", f"{root}/subset=*/split=*")
+    plain = _listing(spark, f"{root}/*/*.jsonl")
+    partitioned = _listing(spark, f"{root}/subset=*/split=*")
+    parts = []
+    if plain:
+        # file paths are URL-encoded, in which a plus sign stands for itself
+        place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        parts.append(
+            spark.read.schema(schema)
+            .json(plain)
+            .select(
+                "*",
+                F.regexp_extract(place, _PLACE, 1).alias("subset"),
+                F.regexp_extract(place, _PLACE, 2).alias("split"),
+            )
+        )
+    if partitioned:
+        reader = spark.read.schema(f"{schema}, subset string, split string")
+        parts.append(reader.option("basePath", root).json(partitioned))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

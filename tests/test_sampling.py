@@ -98,6 +98,26 @@ def test_draws_without_broadcast_are_the_same(spark, monkeypatch):
     assert small == large
 
 
+def test_draws_by_text_key(spark, plan_of, tmp_path):
+    df = keys(spark, 300).select(F.concat(F.lit("key-"), F.col("k")).alias("k"), F.repeat(F.lit("x"), 50).alias("t"))
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    drawn = sampling.sample_with_replacement(stored, ["k"], 700, seed=1)
+    rows = drawn.collect()
+    ranked = sorted((f"key-{i}" for i in range(300)), key=lambda k: (python_hash(1, "pool", k), k))
+    assert sorted((r["draw"], r["k"]) for r in rows) == [(i, ranked[python_hash(1, "draw", "all", i) % 300]) for i in range(700)]
+    assert "LeftSemi, BuildRight" in plan_of(drawn)
+
+
+def test_rank_within_groups_of_any_type(spark):
+    day = F.to_date(F.when(F.col("k") % 3 > 0, F.concat(F.lit("2024-01-0"), F.col("k") % 3)))
+    df = keys(spark, 90).select("k", day.alias("d"), (F.col("k") % 2 == 0).alias("b"))
+    rows = sampling.hash_rank(df, ["k"], by=["d", "b"]).collect()
+    groups = Counter((r["d"], r["b"]) for r in rows)
+    assert len(rows) == 90 and len(groups) == 6
+    assert all(sorted(r["rank"] for r in rows if (r["d"], r["b"]) == g) == list(range(n)) for g, n in groups.items())
+
+
 def test_draws_are_uniform(spark):
     drawn = sampling.sample_with_replacement(keys(spark, 20), ["k"], 8000, seed=6).collect()
     counts = Counter(r["k"] for r in drawn)

@@ -49,13 +49,14 @@ def test_split_shards(spark, tmp_path):
 
 
 def test_jsonl_tree_of_plain_files(spark, tmp_path):
-    for subset, split, ids in (("a", "train", [1, 2]), ("a", "test", [3]), ("b.c", "train", [4])):
+    for subset, split, ids in (("a", "train", [1, 2]), ("a", "test", [3]), ("b.c", "train", [4]), ("d e+ü", "train", [5])):
         folder = tmp_path / subset
         folder.mkdir(exist_ok=True)
         (folder / f"{split}.jsonl").write_text("".join(json.dumps({"row_id": i, "q": "é", "a": None}) + "\n" for i in ids))
     rows = readers.read_jsonl_tree(spark, str(tmp_path), schemas.QA).collect()
     assert sorted((r["row_id"], r["q"], r["a"], r["subset"], r["split"]) for r in rows) == [
         (1, "é", None, "a", "train"), (2, "é", None, "a", "train"), (3, "é", None, "a", "test"), (4, "é", None, "b.c", "train"),
+        (5, "é", None, "d e+ü", "train"),
     ]
 
 
@@ -80,11 +81,12 @@ def test_written_jsonl_is_raw_utf8_with_nulls(spark, tmp_path):
 
 
 def test_tree_written_in_one_job_reads_back(spark, tmp_path):
-    df = spark.createDataFrame([(1, "q", "a", "s 1", "train"), (2, "q", None, "s2", "test")], schemas.QA + ", subset string, split string")
+    df = spark.createDataFrame([(1, "q", "a", "s 1:+", "train"), (2, "q", None, "7", "test")], schemas.QA + ", subset string, split string")
     root = writers.write_jsonl_tree(df, str(tmp_path / "tree"))
     back = readers.read_jsonl_tree(spark, root, schemas.QA)
-    assert sorted(r["row_id"] for r in back.collect()) == [1, 2]
-    assert {r["split"] for r in back.collect()} == {"train", "test"}
+    assert sorted(map(tuple, back.collect())) == [(1, "q", "a", "s 1:+", "train"), (2, "q", None, "7", "test")]
+    writers.write_jsonl(df.drop("subset", "split"), f"{root}/more/dev.jsonl")
+    assert readers.read_jsonl_tree(spark, root, schemas.QA).count() == 4
 
 
 def test_tolerant_reader(spark, tmp_path):
