@@ -50,6 +50,6 @@ def split_valid(df: DataFrame, grammar: TagGrammar = DEFAULT_GRAMMAR, **names):
 
 def require_valid(df: DataFrame, grammar: TagGrammar = DEFAULT_GRAMMAR, query="query", response="response"):
     """Same rows, but the job fails on the first bad pair; costs no extra pass."""
-    ok = grammar.is_valid_pair(F.col(query), F.col(response))
-    refuse = F.raise_error(F.lit("bad masked pair")).cast("string")
-    return df.withColumn(query, F.when(ok, F.col(query)).otherwise(refuse))
+    checked = pinned(with_validity(df, grammar, query, response))
+    refuse = F.raise_error(F.lit("bad masked pair")).cast("boolean")
+    return checked.filter(F.when(F.col("is_valid"), True).otherwise(refuse)).drop("is_valid")

@@ -15,6 +15,7 @@ from quillweave.functions.binding import let
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
 from quillweave.functions.grammar import TagGrammar
 from quillweave.functions.text import strip
+from quillweave.operators.chat import last_message
 from quillweave.operators.gate import pinned
 
 
@@ -69,6 +70,20 @@ def exact_match(predicted: Column, wanted: Column) -> Column:
     return predicted.eqNullSafe(wanted)
 
 
+# ---- input -----------------------------------------------------------------------
+def from_messages(
+    df: DataFrame, prompts: str = "prompts", completions: str = "completions", solution: str = "solution"
+) -> DataFrame:
+    """``query``, ``completion`` and ``golden`` from message lists; the last message counts."""
+    others = [c for c in df.columns if c not in (prompts, completions, solution)]
+    return df.select(
+        *others,
+        last_message(F.col(prompts)).alias("query"),
+        last_message(F.col(completions)).alias("completion"),
+        F.col(solution).alias("golden"),
+    )
+
+
 # ---- staging -----------------------------------------------------------------------
 def stage(
     df: DataFrame,

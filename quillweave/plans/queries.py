@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillweave.functions.grammar import DEFAULT as G
 from quillweave.functions.text import canonical
-from quillweave.operators import chat, gate, masking, mixing, qa, rewards, sampling, viewing
+from quillweave.operators import chat, gate, masking, mixing, qa, rewards, sampling, turns, viewing
 from quillweave.plans import builds, jobs, recipes
 from quillweave.plans.fixtures import (
     FOUR_TIER_SOURCES,
@@ -192,13 +192,7 @@ def mask_two_part(spark, sf):
 
 
 def _conversations(spark, sf):
-    """One row per conversation; a conversation is one value of the corpus it stands for."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return (
-        view(spark, sf, "turns")
-        .groupBy("conv_id")
-        .agg(F.transform(ordered, lambda t: t["text"]).alias("conversations"))
-    )
+    return turns.conversation_rows(view(spark, sf, "turns"))
 
 
 @query
@@ -503,7 +497,19 @@ def reward_tags(spark, sf):
 
 @query
 def reward_mix(spark, sf):
-    return _scores(spark, sf, "accuracy_length")
+    """From prompt and completion message lists, whose last message counts."""
+
+    def messages(role, text):
+        return F.array(F.struct(F.lit(role).alias("role"), F.col(text).alias("content")))
+
+    batch = view(spark, sf, "rollouts").select(
+        "row_id",
+        messages("user", "query").alias("prompts"),
+        messages("assistant", "completion").alias("completions"),
+        F.col("golden").alias("solution"),
+    )
+    scored = rewards.score(rewards.from_messages(batch), ["accuracy_length"])
+    return scored.select("row_id", F.round("accuracy_length", 6).alias("accuracy_length"))
 
 
 @query

@@ -105,6 +105,10 @@ def test_delimiter_in_the_text_is_set_aside_or_refused(spark):
     assert (good.count(), bad.count()) == (0, 1)
     with pytest.raises(Exception, match="bad masked pair"):
         gate.require_valid(pairs).collect()
+    with pytest.raises(Exception, match="bad masked pair"):
+        gate.require_valid(pairs).select("row_id").collect()
+    fine = masking.mask_cnn_daily_mail(spark.createDataFrame([(0, "a b " * 9)], df.schema))
+    assert gate.require_valid(fine).collect() == fine.collect()
 
 
 # ---- tagged reasoning ------------------------------------------------------------------------

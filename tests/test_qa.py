@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillweave.functions.fixed import CORPORA
-from quillweave.operators import qa
+from quillweave.operators import gate, qa
 from quillweave.operators.masking import MASKERS
+from quillweave.operators.turns import conversation_rows
 from quillweave.plans import builds
 
 
@@ -81,6 +82,15 @@ def test_conversation_pairs_from_lists_and_from_rows(spark):
     assert got == wanted
 
 
+def test_conversation_rows_and_a_conversation_too_large_for_one(spark):
+    data = [(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "x" * 40), (2, 1, "y" * 40), (3, 5, "é")]
+    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, text string")
+    got = {r["conv_id"]: r["conversations"] for r in conversation_rows(df, limit=50).collect()}
+    assert got == {1: ["a", "b", "c"], 2: None, 3: ["é"]}
+    pairs = gate.with_validity(MASKERS["lima"](conversation_rows(df, limit=50), ["conv_id"]))
+    assert {r["conv_id"]: r["is_valid"] for r in pairs.collect()} == {1: True, 2: False, 3: False}
+
+
 def test_builds(spark):
     corpora = {
         "cnn_daily_mail": spark.createDataFrame([(i, f"article {i} text", "h") for i in range(25)], "row_id bigint, article string, highlights string"),
