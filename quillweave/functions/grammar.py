@@ -76,6 +76,12 @@ class TagGrammar:
         names = "|".join(re.escape(n) for n in (self.tag, self.query_wrap, self.response_wrap))
         return rf"<\|/?(?:{names})"
 
+    @property
+    def token_pattern(self) -> str:
+        """A delimiter with whatever belongs to it: attributes and closing bracket."""
+        prefix = re.escape(self.id_prefix)
+        return rf'{self.delimiter_pattern}(?: id="{prefix}\d+")?(?: desc="[^"]*")?(?:\|>)?'
+
     # ---- render ----------------------------------------------------------------
     def render(self, id=None, desc=None, content=None) -> Column:
         """One tag.  A null ``content`` column makes the whole tag null."""
@@ -144,47 +150,61 @@ class TagGrammar:
         ``0..k-1``; the query has ``k`` tags, and those with an id carry their own
         ordinal; no delimiter inside any content or in the query's free text.
 
-        One parse of each text gives the ids.  A text with k parsed tags and 2k + 2
-        delimiters in all (tag ends and wrapper) has none left over for its contents.
+        One linear scan of each text lists its delimiters, complete or not; a valid text has
+        exactly wrapper, (tag head, tag end) ..., wrapper, so nothing stray can be left.
         """
+        opening = f"<|{self.tag}"
+        first, last = f"<|{self.response_wrap}|>", f"<|/{self.response_wrap}|>"
 
-        def ids(c: Column) -> Column:
-            return F.regexp_extract_all(c, F.lit(self.pattern), F.lit(1))
-
-        def delimiters(c: Column) -> Column:
-            return F.regexp_count(c, F.lit(self.delimiter_pattern))
-
-        def times(c: Column, text: str) -> Column:
-            left = F.char_length(F.replace(c, F.lit(text), F.lit("")))
-            return (F.char_length(c) - left) / len(text)
+        def listed(c: Column) -> Column:
+            return F.regexp_extract_all(c, F.lit(self.token_pattern), F.lit(0))
+
+        def head(t: Column, ordinal: Column, numbered: bool) -> Column:
+            own = t.startswith(joined(f'{opening} id="{self.id_prefix}', ordinal.cast("string"), '"'))
+            if not numbered:
+                own = own | ~t.startswith(F.lit(f"{opening} id="))
+            # a head that is cut short, or a wrapper, does not pass these
+            whole = t.startswith(F.lit(opening)) & t.endswith(F.lit("|>"))
+            return whole & own
+
+        def in_order(tokens: Column, wrap: str, numbered: bool) -> Column:
+            top = F.size(tokens) - 1
+
+            def right(t: Column, i: Column) -> Column:
+                return (
+                    F.when(i == 0, t == f"<|{wrap}|>")
+                    .when(i == top, t == f"<|/{wrap}|>")
+                    .when(i % 2 == 0, t == self.close)
+                    .otherwise(head(t, F.floor(i / 2), numbered))
+                )
 
-        first, last = f"<|{self.response_wrap}|>", f"<|/{self.response_wrap}|>"
-        seam = f"{self.close}<|{self.tag}"
+            return F.forall(F.transform(tokens, right), lambda x: x)
 
-        def numbers_agree(both: Column) -> Column:
-            q, r = both["q"], both["r"]
-            k = F.size(r)
-            only_tags = F.when(k == 0, response == F.lit(first + last)).otherwise(
-                response.startswith(F.lit(f"{first}<|{self.tag}"))
+        def only_tags(k: Column) -> Column:
+            seam = f"{self.close}{opening}"
+            left = F.char_length(F.replace(response, F.lit(seam), F.lit("")))
+            seams = (F.char_length(response) - left) / len(seam)
+            return F.when(k == 0, response == F.lit(first + last)).otherwise(
+                response.startswith(F.lit(first + opening))
                 & response.endswith(F.lit(self.close + last))
-                & (times(response, seam) == k - 1)
+                & (seams == k - 1)
             )
-            in_order = F.transform(r, lambda x, i: x == i.cast("string"))
-            own = F.transform(q, lambda x, i: (x == "") | (x == i.cast("string")))
+
+        def agree(both: Column) -> Column:
+            q, r = both["q"], both["r"]
             return (
-                (F.size(q) == k)
-                & only_tags
-                & F.forall(in_order, lambda x: x)
-                & F.forall(own, lambda x: x)
-                & (delimiters(query) == 2 * k + 2)
-                & (delimiters(response) == 2 * k + 2)
+                (F.size(q) == F.size(r))
+                & (F.size(r) % 2 == 0)
+                & in_order(r, self.response_wrap, True)
+                & in_order(q, self.query_wrap, False)
+                & only_tags(F.floor(F.size(r) / 2) - 1)
             )
 
-        both = F.struct(ids(query).alias("q"), ids(response).alias("r"))
+        both = F.struct(listed(query).alias("q"), listed(response).alias("r"))
         ok = (
             self._is_wrapped(query, self.query_wrap)
             & self._is_wrapped(response, self.response_wrap)
-            & let(both, numbers_agree)
+            & let(both, agree)
         )
         return F.coalesce(ok, F.lit(False))
 

@@ -50,6 +50,18 @@ def choose(options: Sequence, *parts) -> Column:
     return F.element_at(values, (below(len(options), *parts) + 1).cast("int"))
 
 
+def choose_lazily(options: Sequence[Column], *parts) -> Column:
+    """As ``choose``, for options that cost something: only the chosen one is computed."""
+
+    def pick(i: Column) -> Column:
+        out = F.when(i == 0, options[0])
+        for place, option in enumerate(options[1:], start=1):
+            out = out.when(i == place, option)
+        return out
+
+    return let(below(len(options), *parts), pick)
+
+
 def poisson_cdf(lam: float) -> list[float]:
     """CDF values up to the point where a double cannot tell them from one."""
     if lam <= 0:
@@ -70,5 +82,8 @@ def poisson(lam: float, *parts) -> Column:
     steps = poisson_cdf(lam)
     if not steps:
         return F.lit(0)
-    table = F.array(*[F.lit(c) for c in steps])
-    return let(unit(*parts), lambda u: F.size(F.filter(table, lambda c: c <= u)))
+    u = unit(*parts)  # one common subexpression of the generated code
+    out = F.when(u < steps[0], 0)
+    for k, c in enumerate(steps[1:], start=1):
+        out = out.when(u < c, k)
+    return out.otherwise(len(steps))

@@ -16,7 +16,7 @@ from quillweave.functions import fixed
 from quillweave.functions.binding import let
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
 from quillweave.functions.grammar import TagGrammar
-from quillweave.functions.hashing import below, choose, flag, poisson
+from quillweave.functions.hashing import below, choose, choose_lazily, flag, poisson
 from quillweave.functions.text import before, fill, fill_choice, strip
 from quillweave.functions.wording import DEFAULT as DEFAULT_WORDING
 from quillweave.functions.wording import Wording
@@ -79,7 +79,8 @@ def span_query(
                 grammar.render(desc=wording.span_plain),
                 grammar.render(id=i, desc=wording.span_numbered),
             ]
-            return F.concat(_cut(text, kept_from, x["s"]), choose(shapes, seed, "shape", *key, i))
+            tag = choose_lazily(shapes, seed, "shape", *key, i)
+            return F.concat(_cut(text, kept_from, x["s"]), tag)
 
         tail_from = F.coalesce(F.get(r, F.size(r) - 1)["e"], F.lit(0))
         tail = _cut(text, tail_from, F.char_length(text))

@@ -86,6 +86,16 @@ HAND = [
     (wrap_q(tag(desc="a &quot;b&quot; &amp;")), wrap_r(tag(0, desc="d", content="\U0001f600"))),
     ("<|M_INPUT|>", wrap_r("")),
     ("<|M_INPUT|></|M_INPUT|>", wrap_r("")),
+    (wrap_q('<|MASKED id="x"|><|/MASKED|>'), wrap_r("")),
+    (wrap_q('<|MASKED id="m_0" <|/MASKED|>'), wrap_r(tag(0))),
+    (wrap_q('<|MASKED desc="a<|/MASKED|>'), wrap_r(tag(0))),
+    (wrap_q("<|MASKED|><|/MASKED"), wrap_r(tag(0))),
+    (wrap_q(tag() + "<|M_OUTPUT|>"), wrap_r(tag(0))),
+    (wrap_q(tag(desc="<|MASKED|>")), wrap_r(tag(0))),
+    (wrap_q(tag(desc="x|>")), wrap_r(tag(0, desc="|>"))),
+    (wrap_q(tag()), wrap_r(tag(0) + "<|/M_OUTPUT|>")),
+    (wrap_q(tag("00")), wrap_r(tag(0))),
+    (wrap_q(tag()), wrap_r(tag("00"))),
     (wrap_q(tag() * 11), wrap_r("".join(tag(i, content=str(i)) for i in range(11)))),
 ]
 
