@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 from quillweave.llm.common import text_rows, whole_text
 
@@ -300,11 +301,11 @@ def encode_digests(df: DataFrame, path: str, *, key: str = "doc_id", text: str =
 
 
 def _mapped(df: DataFrame, path: str, key: str, text: str, digests: bool) -> DataFrame:
-    schema = df.select(key).schema.add("n_tokens", "bigint", False)
+    schema = df.select(key).schema.add("n_tokens", LongType(), False)
     if digests:
-        schema = schema.add("ids_sha256", "string", False).add("decoded_sha256", "string", False)
+        schema = schema.add("ids_sha256", StringType(), False).add("decoded_sha256", StringType(), False)
     else:
-        schema = schema.add("ids", "binary", False).add("decoded", "string", False)
+        schema = schema.add("ids", BinaryType(), False).add("decoded", StringType(), False)
     key_type = to_arrow_type(df.schema[key].dataType)
     kinds = [key_type, pa.int64(), *([pa.string()] * 2 if digests else [pa.binary(), pa.string()])]
 
