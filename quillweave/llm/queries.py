@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, token_count
+from quillweave.llm import bpe_stream, hilbert, mixing_fill, token_count
 from quillweave.llm.common import table
 
 
@@ -21,9 +22,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.over_limit(token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing_fill.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.shard(table(spark, sf_dir, "documents"), 8, law="rows")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op7_source_mix": op7_source_mix,
     "op8_token_counts": op8_token_counts,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_source_mix": mixing_fill.mixed_sizes_sql(),
+}
