@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StringType
 
-from quillweave.llm.common import text_rows, whole_text
+from quillweave.llm.common import ship, text_rows, whole_text
 
 #: runs between white space, and words, whose identifiers a Python worker remembers before it starts afresh
 REMEMBERED = 500_000
@@ -301,6 +301,7 @@ def encode_digests(df: DataFrame, path: str, *, key: str = "doc_id", text: str =
 
 
 def _mapped(df: DataFrame, path: str, key: str, text: str, digests: bool) -> DataFrame:
+    ship(df.sparkSession)
     schema = df.select(key).schema.add("n_tokens", LongType(), False)
     if digests:
         schema = schema.add("ids_sha256", StringType(), False).add("decoded_sha256", StringType(), False)

@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, hilbert, mixing_fill, token_count
+from quillweave.llm import bpe_stream, hilbert, mixing_fill, posting_lists, segment_topk, token_count, vectors
 from quillweave.llm.common import table
 
 
+EVERY_50TH = "vec_id % 50 = 0"
+
+
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.expr(EVERY_50TH), 5)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_stream.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -22,6 +29,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.over_limit(token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(vectors.usable("embedding"))
+    scaled = rows.withColumn("embedding", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")))
+    return segment_topk.top_products(scaled, F.expr(EVERY_50TH), 5)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing_fill.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -36,12 +49,15 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_posting_lists": op1_posting_lists,
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_segment_topk": op6_segment_topk,
     "op7_source_mix": op7_source_mix,
     "op8_token_counts": op8_token_counts,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_segment_topk": segment_topk.top_products_sql(),
     "op7_source_mix": mixing_fill.mixed_sizes_sql(),
 }

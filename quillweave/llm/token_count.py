@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
-from quillweave.llm.common import text_rows, whole_text
+from quillweave.llm.common import ship, text_rows, whole_text
 
 MARK = "▁"
 #: words whose counts a task remembers before it starts afresh
@@ -157,6 +157,7 @@ def token_counts(df: DataFrame, model_file: str, *, key: str = "doc_id", text: s
     of the table do no harm, an empty table gives no rows.  A word of any length costs
     n log n; memory is bounded by one batch of rows and the table of remembered words.
     """
+    ship(df.sparkSession)
     schema = df.select(key).schema.add("n_bytes", LongType(), False).add("n_tokens", LongType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
