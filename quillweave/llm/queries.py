@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, hilbert, mixing_fill, posting_lists, segment_topk, token_count, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
 from quillweave.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.expr(EVERY_50TH), 5)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_stream.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -29,6 +33,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.over_limit(token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op5_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = fm_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = fm_quality.score(docs, machine, threshold=0.7)
+    return scored.select("doc_id", fm_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(vectors.usable("embedding"))
     scaled = rows.withColumn("embedding", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")))
@@ -50,7 +61,9 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_posting_lists": op1_posting_lists,
+    "op2_license_scan": op2_license_scan,
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_fm_quality": op5_fm_quality,
     "op6_segment_topk": op6_segment_topk,
     "op7_source_mix": op7_source_mix,
     "op8_token_counts": op8_token_counts,
@@ -58,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.scan_sql(),
     "op6_segment_topk": segment_topk.top_products_sql(),
     "op7_source_mix": mixing_fill.mixed_sizes_sql(),
 }
