@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, fm_quality, hilbert, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
 from quillweave.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.over_limit(token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op5_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fm_quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_posting_lists": op1_posting_lists,
     "op2_license_scan": op2_license_scan,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_html_text": op4_html_text,
     "op5_fm_quality": op5_fm_quality,
     "op6_segment_topk": op6_segment_topk,
     "op7_source_mix": op7_source_mix,
