@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240
 #: documents that share a running sum, about, if one source has all; a prefix has at most 4 hex digits
 RUN_ROWS = 256
+#: rows of one per source that are broadcast at most; beyond that they are joined by a shuffle
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: str = "text") -> Column:
@@ -127,26 +129,32 @@ def mix(
 def repeated(df: DataFrame, **options) -> DataFrame:
     """The mixture as rows: each document as often as the mix takes it, to the nearest whole time.
 
-    Documents taken less than half a time go; rows come in the columns of ``df``.  Documents
-    without words have no share in a mixture by words and stay once.
+    Rows come in the columns of ``df``; documents taken less than half a time go.  What is
+    taken once more than the others of its source is a prefix of the digest order, so a row
+    per source (whole times, last digest) decides and the texts are not shuffled.  Equal rows
+    share a digest and go together.  Documents without words have no share in a mixture by
+    words and stay once.
     """
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    seed = options.get("seed", SEED)
-    taken = mix(df, **options)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    # equal rows share a digest: their times are added up and dealt out evenly
-    drawn = taken.groupBy("digest").agg(F.sum(times).alias("_times"), F.count("*").alias("_rows"))
-    drawn = drawn.withColumnRenamed("digest", "_digest")
-    first = df.withColumn("_digest", draw_digest(key, text, seed))
-    counted = first.join(drawn, "_digest")
-    even = F.floor(F.col("_times") / F.col("_rows"))
-    alone = F.col("_rows") == 1
-    nth = F.row_number().over(Window.partitionBy("_digest").orderBy(key))
-    copies = F.when(alone, F.col("_times")).otherwise(even + (nth <= F.col("_times") % F.col("_rows")).cast("int"))
+    key, text, source = options.get("key", "doc_id"), options.get("text", "text"), options.get("source", "source")
+    sized = F.col("size") > 0
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    again = 2 * (F.col("taken") - whole * F.col("size")) >= F.col("size")
+    cuts = (
+        mix(df, **options)
+        .filter(sized)
+        .groupBy(F.col(source).alias("_source"))
+        .agg(F.max(whole).cast("int").alias("_whole"), F.max(F.when(again, F.col("digest"))).alias("_cut"))
+    )
+    cuts = keep(cuts, "mix-cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    joined = df.join(cuts, df[source].eqNullSafe(F.col("_source")), "left")
+    once_more = F.coalesce(draw_digest(key, text, options.get("seed", SEED)) <= F.col("_cut"), F.lit(False)).cast("int")
+    times = F.when(words(text) > 0, F.col("_whole") + once_more).otherwise(1)
     return (
-        counted.withColumn("_copies", copies.cast("int"))
-        .filter(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        joined.withColumn("_times", times)
+        .filter(F.col("_times") > 0)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*df.columns)
     )
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
 from quillweave.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.linked(table(spark, sf_dir, "documents"))
+    return groups.withColumnRenamed("component", "component_id")
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.shard(table(spark, sf_dir, "documents"), 8, law="rows")
     return placed.select(
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_segment_topk": op6_segment_topk,
     "op7_source_mix": op7_source_mix,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
@@ -80,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.scan_sql(),
     "op6_segment_topk": segment_topk.top_products_sql(),
     "op7_source_mix": mixing_fill.mixed_sizes_sql(),
+    "op9_jaccard_join": jaccard_join.linked_sql(),
 }
