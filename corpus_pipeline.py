@@ -21,8 +21,7 @@ QUALITY = 0.7
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, fitted on the labelled ones, doesn't reject."""
     machine = fm_quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = fm_quality.score(docs, machine, threshold=QUALITY, keep_columns=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return fm_quality.good(docs, machine, threshold=QUALITY)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
 from quillweave.llm.common import ship, whole_text
 
@@ -193,31 +193,42 @@ def fit(
     return machine
 
 
-def score(
-    docs: DataFrame, machine: FactorisationMachine, *, threshold: float = 0.7, key: str = "doc_id", text: str = "text", stated: str = "n_chars",
-    keep_columns: bool = False,
-) -> DataFrame:
-    """``key``, ``score`` (double, 0 to 1) and ``predicted`` of every whole text; with ``keep_columns`` all columns too.
-
-    Null texts count as empty and are scored like any other; an absent or null stated length
-    has a bin of its own; repeated rows score alike; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, machine: FactorisationMachine, carried: list[str], text: str, stated: str, low: float) -> DataFrame:
+    """``carried`` as c0, c1, ... with ``score``, of the rows that score at least ``low``."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SLOTS * (RANK + 1) numbers
-    carried = docs.columns if keep_columns else [key]
-    inputs = docs.select(*carried, *_inputs(docs, text, stated))
-    schema = docs.select(*carried).schema.add("score", DoubleType(), False).add("predicted", IntegerType(), False)
-    types = [to_arrow_type(f.dataType) for f in docs.select(*carried).schema]
+    taken = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]
+    inputs = docs.select(*taken, *_inputs(docs, text, stated))
+    fields = inputs.select(*[f"c{i}" for i in range(len(carried))]).schema
+    types = [to_arrow_type(f.dataType) for f in fields]
+    schema = fields.add("score", DoubleType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts, stated = (part.column(len(carried) + i).to_pylist() for i in range(2))
+                texts, stated = (part.column(len(types) + i).to_pylist() for i in range(2))
                 scores = shared.value.scores([features(t, s) for t, s in zip(texts, stated)])
                 columns = [part.column(i).cast(t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=schema.names
-                )
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
+                yield out.filter(pa.array(scores >= low))
 
     return inputs.mapInArrow(run, schema)
+
+
+def score(
+    docs: DataFrame, machine: FactorisationMachine, *, threshold: float = 0.7, key: str = "doc_id", text: str = "text", stated: str = "n_chars"
+) -> DataFrame:
+    """``key``, ``score`` (double, 0 to 1) and ``predicted`` of every whole text.
+
+    Null texts count as empty and are scored like any other; an absent or null stated length
+    has a bin of its own; repeated rows score alike; an empty table gives no rows.
+    """
+    scored = _scored(docs, machine, [key], text, stated, 0.0)
+    return scored.select(F.col("c0").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, machine: FactorisationMachine, *, threshold: float = 0.7, text: str = "text", stated: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all their columns, that score at least ``threshold``."""
+    scored = _scored(docs, machine, docs.columns, text, stated, threshold)
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -232,7 +232,10 @@ def main_text(page: str, weights: Weights) -> str:
     items = list(Walk(page))
     known: dict[tuple, float] = {}
     scores = []
-    for kind, value, cues, _, never in items:
+    for kind, value, cues, content, never in items:
+        if content and never:
+            scores.append(0.0)  # passed over: neither content nor a reason to end it
+            continue
         if kind == "tag":
             scores.append(-float(weights.cost[_slot(value)]))
             continue
