@@ -5,9 +5,9 @@ threshold.  Equal sets are one node.  The join over different sets goes in steps
 
 1. **Shared n-grams.**  In the order of n-gram hashes, two linked sets share at least
    ``slack(n)`` of their first ``prefix(n)`` n-grams.  These prefixes are dealt by hash to
-   buckets in packed form (four bytes an n-gram, once per block of documents, so a common
-   n-gram has one entry per block); a set goes on only if enough of its prefix is found
-   in other sets.
+   buckets in packed form (four bytes an n-gram); a set goes on only if enough of its prefix
+   is found in other sets.  The sets that do are looked at again in the same way, whole: at
+   least four in five of their n-grams must be found in others.
 2. **Rarest first.**  Of the sets that go on, prefixes are put in order of the n-grams' number
    of sets, and the commonest ``slack - 1`` are dropped.
 3. **Heavy and light.**  Small sets enumerate their pairs of n-grams (subsets of size two) and
@@ -125,8 +125,11 @@ def _sql(formula, n: str, *args) -> str:
     return texts[formula].format(n=n, p=args[0] if args else "")
 
 
-def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type) -> DataFrame:
-    """One pass over the texts: a row for each document, and packed prefixes for each block of documents and bucket."""
+def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, whole: bool = False) -> DataFrame:
+    """One pass over the texts: a row for each document, and packed n-grams for each block of documents and bucket.
+
+    The n-grams are prefixes, or with ``whole`` the sets, which the documents' rows then hold too.
+    """
     bits = buckets.bit_length() - 1
     shift = np.uint64(64 - bits)
 
@@ -138,12 +141,12 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type) ->
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = [name_of(s) for s in sets]
                 block = name_of(np.frombuffer(repr((names, start, part.column(0).to_pylist()[:8])).encode(), np.uint8))
-                yield _rows(part.num_rows, key=part.column(0).cast(key_type), n=sizes, sid=names, block=np.full(len(sets), block), place=np.arange(len(sets)))
+                yield _rows(part.num_rows, key=part.column(0).cast(key_type), n=sizes, sid=names, block=np.full(len(sets), block), place=np.arange(len(sets)), **({"whole": [x.view(np.int64) for x in sets]} if whole else {}))
                 first = {s: i for i, s in reversed(list(enumerate(names)))}  # equal sets of a block count once
                 mine = [i for i in first.values() if len(sets[i])]
                 if not mine:
                     continue
-                cut = [sets[i][: min(len(sets[i]), prefix(len(sets[i]), percent))] for i in mine]
+                cut = [sets[i] if whole else sets[i][: min(len(sets[i]), prefix(len(sets[i]), percent))] for i in mine]
                 grams = np.concatenate(cut)
                 owners = np.repeat(np.array(mine, np.uint16), [len(c) for c in cut])
                 order = np.argsort(grams >> shift, kind="stable")
@@ -157,14 +160,14 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type) ->
                     grams=[low[a:b].tobytes() for a, b in zip(at, ends)], owners=[owners[a:b].tobytes() for a, b in zip(at, ends)],
                 )
 
-    fields = {"key": key_type, "n": pa.int64(), "sid": pa.int64(), "block": pa.int64(), "place": pa.int32(), "bucket": pa.int32(), "grams": pa.binary(), "owners": pa.binary()}
+    fields = {"key": key_type, "n": pa.int64(), "sid": pa.int64(), "block": pa.int64(), "place": pa.int32(), "bucket": pa.int32(), "grams": pa.binary(), "owners": pa.binary(), "whole": pa.list_(pa.int64())}
 
     def _rows(count: int, **columns) -> pa.RecordBatch:
         arrays = [pa.array(columns[f], t) if f in columns and not isinstance(columns[f], pa.Array) else columns.get(f, pa.nulls(count, t)) for f, t in fields.items()]
         return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
     key = docs.schema["key"].dataType.simpleString()
-    schema = f"key {key}, n bigint, sid bigint, block bigint, place int, bucket int, grams binary, owners binary"
+    schema = f"key {key}, n bigint, sid bigint, block bigint, place int, bucket int, grams binary, owners binary, whole array<bigint>"
     return docs.mapInArrow(run, schema)
 
 
@@ -187,26 +190,20 @@ def _found_elsewhere(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "place": pa.array(spots % 65536, pa.int32()), "found": pa.array(counts, pa.int64())})
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, n, grams: sorted array<bigint>) of the sets in ``wanted`` (sid, key)."""
-    n = wanted.count()
-    keys = wanted.select(F.col("key").alias("_key"))
-    if n <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    texts = docs.join(keys, docs["key"].eqNullSafe(F.col("_key")), "left_semi").select("key", "text")
+def _shared(scanned: DataFrame, enough: str) -> DataFrame:
+    """Rows of a scan of which at least ``enough`` (SQL) n-grams are found in other sets."""
+    packed = scanned.filter("bucket is not null").select("bucket", "block", "grams", "owners")
+    found = packed.groupBy("bucket").applyInArrow(_found_elsewhere, "block bigint, place int, found bigint")
+    found = found.groupBy("block", "place").agg(F.sum("found").alias("found"))
+    return scanned.filter("bucket is null").join(found, ["block", "place"]).filter(f"found >= {enough}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                sets = [shingles(t.as_py(), words) for t in batch.slice(start, 512).column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["sid", "n", "grams"],
-                )
 
-    made = texts.mapInArrow(run, "sid bigint, n bigint, grams array<bigint>")
-    names = wanted.select("sid")
-    return made.join(F.broadcast(names) if n <= BROADCAST_ROWS else names, "sid", "left_semi")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose key is in ``wanted``; null keys are equal."""
+    keys = wanted.select(F.col("key").alias("_key"))
+    if wanted.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, docs["key"].eqNullSafe(F.col("_key")), "left_semi").select("key", "text")
 
 
 def _candidate_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -261,17 +258,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("grams").alias("of_a"))
     right = sets.select(F.col("sid").alias("b"), F.col("grams").alias("of_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-                common = np.intersect1d(x, y, assume_unique=True).size
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - common
+    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * either).select("a", "b")
 
 
 def _possible(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -341,14 +330,12 @@ def linked(
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(size / BUCKET_BYTES + 1)))
     scanned = keep(_scan(docs, buckets, percent, words, key_type), "join-scan")
-    rows = scanned.filter("bucket is null").select("key", "n", "sid", "block", "place")
-    packed = scanned.filter("bucket is not null").select("bucket", "block", "grams", "owners")
-
-    found = packed.groupBy("bucket").applyInArrow(_found_elsewhere, "block bigint, place int, found bigint")
-    found = found.groupBy("block", "place").agg(F.sum("found").alias("found"))
-    going_on = rows.join(found, ["block", "place"]).filter(f"found >= {_sql(least_shared, 'n', percent)}")
-    wanted = keep(going_on.groupBy("sid").agg(F.min("key").alias("key")), "join-wanted")
-    sets = keep(_whole_sets(docs, wanted, words), "join-sets")
+    rows = scanned.filter("bucket is null").select("key", "n", "sid")
+    first = _shared(scanned, _sql(least_shared, "n", percent))
+    wanted = keep(first.groupBy("sid").agg(F.min("key").alias("key")), "join-wanted")
+    again = keep(_scan(_texts_of(docs, wanted), buckets, percent, words, key_type, whole=True), "join-again")
+    shared = _shared(again, _sql(least_common, "n", percent)).select("sid", "n", F.col("whole").alias("grams"))
+    sets = keep(shared.join(wanted.select("sid"), "sid", "left_semi"), "join-sets")
     comp = _links(sets, _candidate_keys(sets, percent), percent)
 
     names = rows.filter("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
