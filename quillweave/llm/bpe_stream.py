@@ -33,7 +33,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType
 from quillweave.llm.common import ship, text_rows, whole_text
 
 #: runs between white space, and words, whose identifiers a Python worker remembers before it starts afresh
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 64
 #: identifiers decoded at a time, and characters of a text taken at a time
 BLOCK = 8192

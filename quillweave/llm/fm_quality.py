@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -35,7 +34,6 @@ ROUNDS = 6
 BINS = 32
 #: share of the squared length that words have against one structure bin
 WORD_SCALE = 0.7
-REMEMBERED = 1_000_000
 
 SHARES = (
     "capitals", "symbols", "digits", "bars", "bangs", "beyond_ascii", "spaces",
@@ -52,24 +50,8 @@ _SYMBOL = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,;
 _DIGIT = np.array([48 <= b < 58 for b in range(256)])
 
 
-class _WordSlots(dict):
-    def __missing__(self, word: str) -> int:
-        slot = zlib.crc32(word.encode()) % WORD_SLOTS
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = slot
-        return slot
-
-
-@lru_cache(maxsize=1)
-def _word_slots() -> _WordSlots:
-    return _WordSlots()
-
-
 def features(text: str, stated: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of a whole text; a statistic that has no value has the last bin."""
-    slots = _word_slots()
     words = text.split()
     counts = Counter(words)
     data = text.encode()
@@ -92,7 +74,7 @@ def features(text: str, stated: int | None) -> tuple[np.ndarray, np.ndarray]:
     for x in sizes:
         bins.append(at + (BINS - 1 if x is None else min(BINS - 2, int(2 * np.log2(1 + x)))))
         at += BINS
-    of_words = np.fromiter(map(slots.__getitem__, counts), np.int32, len(counts))
+    of_words = np.fromiter([zlib.crc32(w.encode()) % WORD_SLOTS for w in counts], np.int32, len(counts))
     weights = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
     weights *= WORD_SCALE / max(float(np.sqrt((weights * weights).sum())), 1e-6)
     return (

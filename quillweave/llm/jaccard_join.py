@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,6 @@ from quillweave.llm.common import keep, ship, whole_text
 
 WORDS = 5
 PERCENT = 80
-REMEMBERED = 1_000_000
 #: bytes of text for one bucket of packed prefixes, and the least number of buckets
 BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 64
 #: keys that are broadcast at most; beyond that the join is a shuffled one
@@ -56,28 +54,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def _word_hash() -> _WordHash:
-    return _WordHash()
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the n-grams; fewer words are one n-gram, none give none."""
     split = text.encode().translate(_FOLD).split()
     n = len(split)
     if n < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(split), seed=n)] if n else [], np.uint64)
-    h = np.fromiter(map(_word_hash().__getitem__, split), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, n)
     x = h[: n - words + 1].copy()
     for i in range(1, words):
         x *= _STEP
