@@ -5,19 +5,21 @@ threshold.  Equal sets are one node.  The join over different sets goes in steps
 
 1. **Shared n-grams.**  In the order of n-gram hashes, two linked sets share at least
    ``slack(n)`` of their first ``prefix(n)`` n-grams.  These prefixes are dealt by hash to
-   buckets in packed form (four bytes an n-gram); a set goes on only if enough of its prefix
-   is found in other sets.  The sets that do are looked at again in the same way, whole: at
-   least four in five of their n-grams must be found in others.
-2. **Rarest first.**  Of the sets that go on, prefixes are put in order of the n-grams' number
-   of sets, and the commonest ``slack - 1`` are dropped.
+   buckets in packed form (four bytes an n-gram, one entry for each block of documents that
+   has it, so a common n-gram is no hot key); a set goes on only if enough of its prefix
+   is found in other sets.
+2. **Rarest first.**  The sets that go on are dealt out whole in the same way, now to count
+   the sets of each n-gram.  A set of which less than four in five n-grams are found in
+   others is out; of the rest, only the rarest ``n - need + 1`` n-grams can be the first
+   that two linked sets share.
 3. **Heavy and light.**  Small sets enumerate their pairs of n-grams (subsets of size two) and
    meet where they share one; large sets are posted to the inverted list of each n-gram.
    Sets near the boundary do both.  The boundary is the size at which the cost counted from
    the data, subsets against list entries to scan, is least.
-4. **Stars before pairs.**  A list or subset with many sets is not paired out: its most
-   shared set is a hub, every other is compared with it, and linked ones become one
-   component.  A second hub follows.  Only sets of one list that are still in different
-   components are then paired; pairs inside a component would not change it.
+4. **Stars before pairs.**  A list or subset with many sets is not paired out.  First every set
+   is compared with one hub, the most shared set of its largest list; then, in lists that
+   still hold several components, with the list's hub.  Only sets of one list that are then
+   still in different components are paired; pairs inside a component would not change it.
 5. Every pair is verified on the whole sets; components are merged by minimum labels.
 
 N-grams are 64-bit hashes; a set is named by a 64-bit hash of its n-grams.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +53,9 @@ LEAST_PAIRED = 16
 SUBSET_COST = 3
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: owner of an n-gram that several sets of a block have; a block has fewer documents
+ALL = 65535
+BLOCK = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -118,67 +124,142 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, who
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = [name_of(s) for s in sets]
                 block = name_of(np.frombuffer(repr((names, start, part.column(0).to_pylist()[:8])).encode(), np.uint8))
-                yield _rows(part.num_rows, key=part.column(0).cast(key_type), n=sizes, sid=names, block=np.full(len(sets), block), place=np.arange(len(sets)), **({"whole": [x.view(np.int64) for x in sets]} if whole else {}))
                 first = {s: i for i, s in reversed(list(enumerate(names)))}  # equal sets of a block count once
                 mine = [i for i in first.values() if len(sets[i])]
                 if not mine:
+                    yield _sets(part, sets, names, sizes, block, np.zeros(len(sets)))
                     continue
                 cut = [sets[i] if whole else sets[i][: min(len(sets[i]), prefix(len(sets[i]), percent))] for i in mine]
                 grams = np.concatenate(cut)
                 owners = np.repeat(np.array(mine, np.uint16), [len(c) for c in cut])
-                order = np.argsort(grams >> shift, kind="stable")
+                order = np.argsort(grams, kind="stable")
                 grams, owners = grams[order], owners[order]
-                of = (grams >> shift).astype(np.int64)
-                low = ((grams << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                used, at = np.unique(of, return_index=True)
-                ends = [*at[1:], len(of)]
-                yield _rows(
-                    len(used), bucket=used, block=np.full(len(used), block),
-                    grams=[low[a:b].tobytes() for a, b in zip(at, ends)], owners=[owners[a:b].tobytes() for a, b in zip(at, ends)],
-                )
-
-    fields = {"key": key_type, "n": pa.int64(), "sid": pa.int64(), "block": pa.int64(), "place": pa.int32(), "bucket": pa.int32(), "grams": pa.binary(), "owners": pa.binary(), "whole": pa.list_(pa.int64())}
+                same = grams[1:] == grams[:-1]
+                several = np.r_[False, same] | np.r_[same, False]
+                own = np.bincount(owners[several], minlength=len(sets))
+                yield _sets(part, sets, names, sizes, block, own)
+                # an n-gram that several sets of the block have is dealt out once, for all of them
+                first_of = ~np.r_[False, same]
+                tally = np.diff(np.r_[np.nonzero(first_of)[0], len(grams)]).astype(np.uint16)
+                yield _packs(block, grams[first_of], np.where(several, ALL, owners)[first_of].astype(np.uint16), tally)
+                if whole and several.any():
+                    yield _packs(block, grams[several], owners[several], None)
+
+    def _sets(part, sets, names, sizes, block, own) -> pa.RecordBatch:
+        n = part.num_rows
+        held = {"whole": [x.view(np.int64) for x in sets]} if whole else {}
+        return _rows(n, key=part.column(0).cast(key_type), n=sizes, sid=names, block=np.full(n, block), place=np.arange(n), found=own, **held)
+
+    def _packs(block: int, grams: np.ndarray, owners: np.ndarray, tally: np.ndarray | None) -> pa.RecordBatch:
+        """Sorted n-grams cut by bucket; without ``tally`` they stay with their block."""
+        low = ((grams << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        used, at = np.unique((grams >> shift).astype(np.int64), return_index=True)
+        cuts = list(zip(at, [*at[1:], len(grams)]))
+        more = {} if tally is None else {"tally": [tally[a:b].tobytes() for a, b in cuts]}
+        return _rows(
+            len(used), bucket=used, block=np.full(len(used), block),
+            grams=[low[a:b].tobytes() for a, b in cuts], owners=[owners[a:b].tobytes() for a, b in cuts], **more,
+        )
+
+    fields = {
+        "key": key_type, "n": pa.int64(), "sid": pa.int64(), "block": pa.int64(), "place": pa.int32(), "found": pa.int64(), "whole": pa.list_(pa.int64()),
+        "bucket": pa.int32(), "grams": pa.binary(), "owners": pa.binary(), "tally": pa.binary(),
+    }
 
     def _rows(count: int, **columns) -> pa.RecordBatch:
         arrays = [pa.array(columns[f], t) if f in columns and not isinstance(columns[f], pa.Array) else columns.get(f, pa.nulls(count, t)) for f, t in fields.items()]
         return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
     key = docs.schema["key"].dataType.simpleString()
-    schema = f"key {key}, n bigint, sid bigint, block bigint, place int, bucket int, grams binary, owners binary, whole array<bigint>"
+    schema = f"key {key}, n bigint, sid bigint, block bigint, place int, found bigint, whole array<bigint>, bucket int, grams binary, owners binary, tally binary"
     return docs.mapInArrow(run, schema)
 
 
+def _unpacked(table: pa.Table, *columns: tuple[str, type]) -> tuple[np.ndarray, ...]:
+    """Row number of each n-gram, and the packed columns end to end."""
+    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in columns]
+    of = np.repeat(np.arange(table.num_rows), [len(x) for x in parts[0]])
+    return of, *(np.concatenate(p) if p else np.empty(0, kind) for p, (_, kind) in zip(parts, columns))
+
+
 def _found_elsewhere(table: pa.Table) -> pa.Table:
-    """For one bucket: how many n-grams of each (block, place) occur in another set."""
-    blocks, spots = [], []
-    grams = [np.frombuffer(g, np.uint32) for g in table.column("grams").to_pylist()]
-    owners = [np.frombuffer(o, np.uint16) for o in table.column("owners").to_pylist()]
-    of_block = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    all_grams, all_owners = np.concatenate(grams), np.concatenate(owners).astype(np.int64)
-    order = np.argsort(all_grams, kind="stable")
-    sorted_grams = all_grams[order]
-    same = sorted_grams[1:] == sorted_grams[:-1]
-    shared = np.zeros(len(order), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    at = order[shared]
-    spots, counts = np.unique(of_block[at] * 65536 + all_owners[at], return_counts=True)
+    """For one bucket: how many n-grams of each (block, place) occur in other blocks."""
+    of, grams, owners = _unpacked(table, ("grams", np.uint32), ("owners", np.uint16))
+    order = np.argsort(grams, kind="stable")
+    same = grams[order][1:] == grams[order][:-1]
+    at = order[np.r_[False, same] | np.r_[same, False]]
+    at = at[owners[at] != ALL]
+    spots, counts = np.unique(of[at] * 65536 + owners[at], return_counts=True)
     blocks = table.column("block").to_numpy()[spots // 65536] if len(spots) else np.empty(0, np.int64)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "place": pa.array(spots % 65536, pa.int32()), "found": pa.array(counts, pa.int64())})
+    return pa.table({"block": pa.array(blocks, pa.int64()), "place": pa.array(spots % 65536, pa.int32()), "elsewhere": pa.array(counts, pa.int64())})
+
+
+def _set_counts(table: pa.Table) -> pa.Table:
+    """For one bucket: its rows as they are, with a byte for each n-gram that tells in how many sets it is.
+
+    The byte is exact up to 127 and counts doublings from there, so it keeps the order.
+    """
+    of, grams, tally = _unpacked(table, ("grams", np.uint32), ("tally", np.uint16))
+    _, which = np.unique(grams, return_inverse=True)
+    counts = np.bincount(which, weights=tally)
+    codes = np.where(counts < 128, counts, np.minimum(255, 121 + np.floor(np.log2(np.maximum(counts, 1))))).astype(np.uint8)[which]
+    ends = np.cumsum(np.bincount(of, minlength=table.num_rows))
+    parts = [c.tobytes() for c in np.split(codes, ends[:-1])]
+    return table.drop(["tally"]).append_column("counts", pa.array(parts, pa.binary()))
+
+
+def _rarest(percent: int):
+    """For one block of documents: of each set that is shared enough, the n-grams by which it can meet others."""
+    names = ["sid", "n", "gram", "df", "listed", "rank"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64()]
+
+    def run(sets: pa.Table, packed: pa.Table) -> pa.Table:
+        if not (sets.num_rows and packed.num_rows):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, types)})
+        dealt = packed.filter(pc.is_valid(packed.column("counts")))
+        row, low, owner, df = _unpacked(dealt, ("grams", np.uint32), ("owners", np.uint16), ("counts", np.uint8))
+        gram = (dealt.column("bucket").to_numpy().astype(np.int64)[row] << 32) | low
+        stayed = packed.filter(pc.is_null(packed.column("counts")))
+        if stayed.num_rows:  # n-grams of several sets of the block: each set's own, with the count of the one dealt out
+            row, low, own = _unpacked(stayed, ("grams", np.uint32), ("owners", np.uint16))
+            mine = (stayed.column("bucket").to_numpy().astype(np.int64)[row] << 32) | low
+            for_all = owner == ALL
+            once, count = gram[for_all], df[for_all]
+            order = np.argsort(once)
+            found = count[order][np.searchsorted(once[order], mine)]
+            gram, owner, df = (np.concatenate([x[~for_all], y]) for x, y in ((gram, mine), (owner, own), (df, found)))
+        owner, df = owner.astype(np.int64), df.astype(np.int32)
+        order = np.lexsort((gram, df, owner))
+        owner, df, gram = owner[order], df[order], gram[order]
+        size = np.bincount(owner, minlength=65536)
+        shared = np.bincount(owner, weights=df > 1, minlength=65536).astype(np.int64)
+        start = np.cumsum(size) - size
+        need = least_common(size, percent)
+        at = np.arange(len(owner)) - start[owner]
+        spare = (size - need)[owner]
+        keep_it = (df > 1) & (shared >= need)[owner] & (at <= spare + 1)
+        sid = np.zeros(65536, np.int64)
+        sid[sets.column("place").to_numpy()] = sets.column("sid").to_numpy()
+        of = owner[keep_it]
+        columns = [sid[of], size[of], gram[keep_it], df[keep_it], (at <= spare)[keep_it], shared[of] / np.maximum(size[of], 1)]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, types)})
+
+    return run
 
 
 def _shared(scanned: DataFrame, enough: str) -> DataFrame:
     """Rows of a scan of which at least ``enough`` (SQL) n-grams are found in other sets."""
     packed = scanned.filter("bucket is not null").select("bucket", "block", "grams", "owners")
-    found = packed.groupBy("bucket").applyInArrow(_found_elsewhere, "block bigint, place int, found bigint")
-    found = found.groupBy("block", "place").agg(F.sum("found").alias("found"))
-    return scanned.filter("bucket is null").join(found, ["block", "place"]).filter(f"found >= {enough}")
+    found = packed.groupBy("bucket").applyInArrow(_found_elsewhere, "block bigint, place int, elsewhere bigint")
+    found = found.groupBy("block", "place").agg(F.sum("elsewhere").alias("elsewhere"))
+    rows = scanned.filter("bucket is null").join(found, ["block", "place"], "left")
+    return rows.filter(f"n > 0 and found + coalesce(elsewhere, 0) >= {enough}")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,24 +270,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(keys, docs["key"].eqNullSafe(F.col("_key")), "left_semi").select("key", "text")
 
 
-def _candidate_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(meet, sid, n, rank): the subsets and lists by which sets meet; ``rank`` orders hubs."""
-    firsts = sets.select("sid", "n", F.explode(F.expr(f"slice(grams, 1, cast({_sql(prefix, 'n', percent)} as int))")).alias("gram")).distinct()
-    firsts = keep(firsts, "join-prefixes")
-    often = firsts.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("sid")
-    shared = firsts.join(often, "gram").withColumn("shared", F.count("*").over(own))
-    shared = shared.filter(f"shared >= {_sql(least_shared, 'n', percent)}")
-    ranked = shared.withColumn("at", F.row_number().over(own.orderBy("df", "gram")))
-    spare = f"(shared - {_sql(least_shared, 'n', percent)})"
-    kept = keep(
-        ranked.filter(f"at <= {spare} + 2").select(
-            "gram", "sid", "n", "df", "at", F.expr(f"at <= {spare} + 1").alias("listed"),
-            F.expr(f"shared / {_sql(prefix, 'n', percent)}").alias("rank"),
-        ),
-        "join-rarest",
-    )
-
+def _candidate_keys(kept: DataFrame, percent: int) -> DataFrame:
+    """(meet, sid, n, rank, df): the subsets and lists by which sets meet; ``rank`` orders hubs."""
     # cost by class of sizes, a few hundred rows: subsets of a set, and entries of its lists
     by_set = kept.groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.sum(F.when(F.col("listed"), F.col("df"))).alias("entries"))
     classes = by_set.groupBy(F.expr("cast(8 * log2(n) as int)").alias("class")).agg(
@@ -216,10 +281,11 @@ def _candidate_keys(sets: DataFrame, percent: int) -> DataFrame:
     small = (F.col("n") >= LEAST_PAIRED) & (F.col("n") <= boundary)
     # who can link to a set that has lists only must be in the lists too
     listed = F.col("listed") & (~small | (F.col("n") * 100 >= boundary * percent) | (F.col("n") * percent <= LEAST_PAIRED * 100))
-    lists = kept.filter(listed).select(F.xxhash64(F.lit(1), "gram").alias("meet"), "sid", "n", "rank")
-    a, b = kept.filter(small).alias("a"), kept.filter(small).select("sid", "gram", "at").alias("b")
+    lists = kept.filter(listed).select(F.xxhash64(F.lit(1), "gram").alias("meet"), "sid", "n", "rank", "df")
+    a, b = kept.filter(small).alias("a"), kept.filter(small).select("sid", "gram", "df").alias("b")
     pairs = a.join(b, (F.col("a.sid") == F.col("b.sid")) & (F.col("a.gram") < F.col("b.gram"))).select(
-        F.xxhash64(F.lit(2), "a.gram", "b.gram").alias("meet"), F.col("a.sid").alias("sid"), F.col("a.n").alias("n"), F.col("a.rank").alias("rank")
+        F.xxhash64(F.lit(2), "a.gram", "b.gram").alias("meet"), F.col("a.sid").alias("sid"), F.col("a.n").alias("n"), F.col("a.rank").alias("rank"),
+        F.least("a.df", "b.df").alias("df"),
     )
     return keep(lists.unionByName(pairs), "join-keys")
 
@@ -273,21 +339,22 @@ def _star_pairs(keys: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
+def _pairs_left(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all sets of one key that are in different components."""
+    open_keys = keys.groupBy("meet").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    left = keys.join(open_keys.select("meet"), "meet", "left_semi")
+    a, b = left.alias("a"), left.alias("b")
+    pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") < F.col("b.comp")) & _possible(F.col("a.n"), F.col("b.n"), percent))
+    return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+
+
 def _links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame | None:
-    """(sid, comp) after two rounds of stars and one of the pairs left over."""
+    """(sid, comp): stars on each set's largest list, stars on open lists, then the pairs left over."""
     now = keys.withColumn("comp", F.col("sid"))
+    largest = now.groupBy("sid").agg(F.max(F.struct("df", "meet", "n", "rank", "comp")).alias("k")).select("sid", "k.*")
     links = comp = None
-    for last in (False, False, True):
-        if last:
-            open_keys = now.groupBy("meet").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-            left = now.join(open_keys.select("meet"), "meet", "left_semi")
-            a, b = left.alias("a"), left.alias("b")
-            pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") < F.col("b.comp")))
-            pairs = pairs.filter(_possible(F.col("a.n"), F.col("b.n"), percent))
-            pairs = pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-        else:
-            pairs = _star_pairs(now, percent)
-        found = keep(_verified(pairs, sets, percent), "join-links")
+    for pairs_of, among in ((_star_pairs, largest), (_star_pairs, None), (_pairs_left, None)):
+        found = keep(_verified(pairs_of(now if among is None else among, percent), sets, percent), "join-links")
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             continue
@@ -317,9 +384,17 @@ def linked(
     first = _shared(scanned, _sql(least_shared, "n", percent))
     wanted = keep(first.groupBy("sid").agg(F.min("key").alias("key")), "join-wanted")
     again = keep(_scan(_texts_of(docs, wanted), buckets, percent, words, key_type, whole=True), "join-again")
-    shared = _shared(again, _sql(least_common, "n", percent)).select("sid", "n", F.col("whole").alias("grams"))
-    sets = keep(shared.join(wanted.select("sid"), "sid", "left_semi"), "join-sets")
-    comp = _links(sets, _candidate_keys(sets, percent), percent)
+    named = again.filter("bucket is null").select("block", "place", "sid", "n", F.col("whole").alias("grams"))
+    named = named.join(wanted.select("sid"), "sid", "left_semi")
+    packed = again.filter("bucket is not null")
+    dealt = packed.filter("tally is not null").select("bucket", "block", "grams", "owners", "tally")
+    dealt = dealt.groupBy("bucket").applyInArrow(_set_counts, "bucket int, block bigint, grams binary, owners binary, counts binary")
+    stayed = packed.filter("tally is null").select("bucket", "block", "grams", "owners", F.lit(None).cast("binary").alias("counts"))
+    both = named.select("block", "place", "sid").groupBy("block").cogroup(dealt.unionByName(stayed).groupBy("block"))
+    kept = both.applyInArrow(_rarest(percent), "sid bigint, n bigint, gram bigint, df int, listed boolean, rank double")
+    kept = keep(kept.distinct(), "join-rarest")
+    sets = keep(named.select("sid", "n", "grams").join(kept.select("sid").distinct(), "sid", "left_semi"), "join-sets")
+    comp = _links(sets, _candidate_keys(kept, percent), percent)
 
     names = rows.filter("n > 0").groupBy("sid").agg(F.min("key").alias("low"))
     if comp is not None:
