@@ -20,6 +20,8 @@ threshold.  Equal sets are one node.  The join over different sets goes in steps
    is compared with one hub, the most shared set of its largest list; then, in lists that
    still hold several components, with the list's hub.  Only sets of one list that are then
    still in different components are paired; pairs inside a component would not change it.
+   The position at which two sets first meet bounds their overlap, and pairs below the one
+   their sizes need are left out.
 5. Every pair is verified on the whole sets; components are merged by minimum labels.
 
 N-grams are 64-bit hashes; a set is named by a 64-bit hash of its n-grams.
@@ -216,8 +218,8 @@ def _set_counts(table: pa.Table) -> pa.Table:
 
 def _rarest(percent: int):
     """For one block of documents: of each set that is shared enough, the n-grams by which it can meet others."""
-    names = ["sid", "n", "gram", "df", "listed", "rank"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64()]
+    names = ["sid", "n", "gram", "df", "at", "listed", "rank"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.float64()]
 
     def run(sets: pa.Table, packed: pa.Table) -> pa.Table:
         if not (sets.num_rows and packed.num_rows):
@@ -247,7 +249,7 @@ def _rarest(percent: int):
         sid = np.zeros(65536, np.int64)
         sid[sets.column("place").to_numpy()] = sets.column("sid").to_numpy()
         of = owner[keep_it]
-        columns = [sid[of], size[of], gram[keep_it], df[keep_it], (at <= spare)[keep_it], shared[of] / np.maximum(size[of], 1)]
+        columns = [sid[of], size[of], gram[keep_it], df[keep_it], at[keep_it], (at <= spare)[keep_it], shared[of] / np.maximum(size[of], 1)]
         return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, types)})
 
     return run
@@ -271,7 +273,10 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _candidate_keys(kept: DataFrame, percent: int) -> DataFrame:
-    """(meet, sid, n, rank, df): the subsets and lists by which sets meet; ``rank`` orders hubs."""
+    """(meet, sid, n, rank, df, at): the subsets and lists by which sets meet; ``rank`` orders hubs.
+
+    ``at``: n-grams of the set that come before those it meets by.
+    """
     # cost by class of sizes, a few hundred rows: subsets of a set, and entries of its lists
     by_set = kept.groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.sum(F.when(F.col("listed"), F.col("df"))).alias("entries"))
     classes = by_set.groupBy(F.expr("cast(8 * log2(n) as int)").alias("class")).agg(
@@ -281,11 +286,11 @@ def _candidate_keys(kept: DataFrame, percent: int) -> DataFrame:
     small = (F.col("n") >= LEAST_PAIRED) & (F.col("n") <= boundary)
     # who can link to a set that has lists only must be in the lists too
     listed = F.col("listed") & (~small | (F.col("n") * 100 >= boundary * percent) | (F.col("n") * percent <= LEAST_PAIRED * 100))
-    lists = kept.filter(listed).select(F.xxhash64(F.lit(1), "gram").alias("meet"), "sid", "n", "rank", "df")
-    a, b = kept.filter(small).alias("a"), kept.filter(small).select("sid", "gram", "df").alias("b")
+    lists = kept.filter(listed).select(F.xxhash64(F.lit(1), "gram").alias("meet"), "sid", "n", "rank", "df", "at")
+    a, b = kept.filter(small).alias("a"), kept.filter(small).select("sid", "gram", "df", "at").alias("b")
     pairs = a.join(b, (F.col("a.sid") == F.col("b.sid")) & (F.col("a.gram") < F.col("b.gram"))).select(
         F.xxhash64(F.lit(2), "a.gram", "b.gram").alias("meet"), F.col("a.sid").alias("sid"), F.col("a.n").alias("n"), F.col("a.rank").alias("rank"),
-        F.least("a.df", "b.df").alias("df"),
+        F.least("a.df", "b.df").alias("df"), (F.greatest("a.at", "b.at") - 1).alias("at"),
     )
     return keep(lists.unionByName(pairs), "join-keys")
 
@@ -312,8 +317,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * either).select("a", "b")
 
 
-def _possible(n_a: Column, n_b: Column, percent: int) -> Column:
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+def _possible(a: str, b: str, percent: int, positions: bool = True) -> Column:
+    """Whether two sets can link by their sizes and by where they meet (columns of the prefixes ``a`` and ``b``).
+
+    Where they share their first n-gram, each has ``n - at`` left, and the link needs the
+    overlap ``percent / (100 + percent)`` of both sizes.
+    """
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    fits = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    if not positions:
+        return fits
+    need = F.ceil((n_a + n_b) * percent / (100 + percent))
+    return fits & (n_a - F.col(f"{a}.at") >= need) & (n_b - F.col(f"{b}.at") >= need)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,12 +345,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _star_pairs(keys: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(keys: DataFrame, percent: int, positions: bool = True) -> DataFrame:
     """(a, b): of each key's sets, all against its hub, unless in the hub's component already."""
-    best = F.max(F.struct("rank", "n", "sid", "comp")).alias("hub")
+    best = F.max(F.struct("rank", "n", "sid", "comp", "at")).alias("hub")
     hubs = keys.groupBy("meet").agg(best, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    met = keys.join(hubs.select("meet", "hub"), "meet")
-    met = met.filter((F.col("comp") != F.col("hub.comp")) & _possible(F.col("n"), F.col("hub.n"), percent))
+    met = keys.alias("k").join(hubs.select("meet", "hub"), "meet")
+    met = met.filter((F.col("comp") != F.col("hub.comp")) & _possible("k", "hub", percent, positions))
     return met.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
@@ -344,17 +359,18 @@ def _pairs_left(keys: DataFrame, percent: int) -> DataFrame:
     open_keys = keys.groupBy("meet").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     left = keys.join(open_keys.select("meet"), "meet", "left_semi")
     a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") < F.col("b.comp")) & _possible(F.col("a.n"), F.col("b.n"), percent))
+    pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") < F.col("b.comp")) & _possible("a", "b", percent))
     return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
 
 
 def _links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame | None:
     """(sid, comp): stars on each set's largest list, stars on open lists, then the pairs left over."""
     now = keys.withColumn("comp", F.col("sid"))
-    largest = now.groupBy("sid").agg(F.max(F.struct("df", "meet", "n", "rank", "comp")).alias("k")).select("sid", "k.*")
+    largest = now.groupBy("sid").agg(F.max(F.struct("df", "meet", "n", "rank", "comp", "at")).alias("k")).select("sid", "k.*")
     links = comp = None
-    for pairs_of, among in ((_star_pairs, largest), (_star_pairs, None), (_pairs_left, None)):
-        found = keep(_verified(pairs_of(now if among is None else among, percent), sets, percent), "join-links")
+    rounds = (lambda: _star_pairs(largest, percent, positions=False), lambda: _star_pairs(now, percent), lambda: _pairs_left(now, percent))
+    for pairs in rounds:
+        found = keep(_verified(pairs(), sets, percent), "join-links")
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             continue
@@ -391,7 +407,7 @@ def linked(
     dealt = dealt.groupBy("bucket").applyInArrow(_set_counts, "bucket int, block bigint, grams binary, owners binary, counts binary")
     stayed = packed.filter("tally is null").select("bucket", "block", "grams", "owners", F.lit(None).cast("binary").alias("counts"))
     both = named.select("block", "place", "sid").groupBy("block").cogroup(dealt.unionByName(stayed).groupBy("block"))
-    kept = both.applyInArrow(_rarest(percent), "sid bigint, n bigint, gram bigint, df int, listed boolean, rank double")
+    kept = both.applyInArrow(_rarest(percent), "sid bigint, n bigint, gram bigint, df int, at bigint, listed boolean, rank double")
     kept = keep(kept.distinct(), "join-rarest")
     sets = keep(named.select("sid", "n", "grams").join(kept.select("sid").distinct(), "sid", "left_semi"), "join-sets")
     comp = _links(sets, _candidate_keys(kept, percent), percent)
