@@ -223,24 +223,60 @@ class TagGrammar:
         return F.when(self.is_valid_pair(query, response), self._fill(query, response))
 
     def _fill(self, query: Column, response: Column) -> Column:
-        def fill_all(both: Column) -> Column:
-            given = both["r"]
+        def entries(both: Column) -> Column:
+            """Response tags by number, each number's first, and a question mark per query tag behind."""
+            number = lambda r: r["id"].try_cast("int")
+            given = F.transform(
+                both["r"],
+                lambda r, i: F.struct(
+                    F.when(number(r).cast("string") == r["id"], number(r)).alias("id"), F.lit(0).alias("kind"),
+                    i.alias("at"), r["content"].alias("content"),
+                ),
+            )
+            asked = F.transform(
+                both["q"], lambda t, i: F.struct(i.alias("id"), F.lit(1).alias("kind"), i.alias("at"), F.lit(None).cast("string").alias("content"))
+            )
+            numbered = F.filter(given, lambda r: (r["id"] >= 0) & (r["id"] < F.size(both["q"])))
+            return F.array_sort(F.concat(numbered, asked))
+
+        def first_of(x: Column, before: Column) -> Column:
+            return (x["kind"] == 1) | before.isNull() | (before["id"] != x["id"])
+
+        def answers(one: Column) -> Column:
+            """For each query tag whether its number is given, and the content."""
+            with_before = F.transform(one, lambda x, j: F.struct(x.alias("x"), F.get(one, j - 1).alias("before")))
+            asked = F.filter(with_before, lambda p: p["x"]["kind"] == 1)
+
+            def answer(p: Column) -> Column:
+                known = F.coalesce((p["before"]["id"] == p["x"]["id"]) & (p["before"]["kind"] == 0), F.lit(False))
+                return F.struct(known.alias("known"), p["before"]["content"].alias("content"))
 
+            return F.transform(asked, answer)
+
+        def fill_all(v: Column) -> Column:
             def one(t: Column, i: Column) -> Column:
-                same_id = F.filter(given, lambda r: r["id"] == i.cast("string"))
-                here = F.get(given, i)
+                here = F.get(v["r"], i)
+                found = F.get(v["found"], i)
                 positional = F.when(here["id"].isNull(), here["content"])
-                content = F.when(F.size(same_id) > 0, F.get(same_id, F.lit(0))["content"])
+                content = F.when(found["known"], found["content"])
                 return F.struct(
                     i.cast("string").alias("id"),
                     t["desc"].alias("desc"),
                     F.coalesce(content, positional).alias("content"),
                 )
 
-            return F.transform(both["q"], one)
+            return F.transform(v["q"], one)
+
+        def firsts(sorted_: Column) -> Column:
+            return F.filter(sorted_, lambda x, j: first_of(x, F.get(sorted_, j - 1)))
 
         both = F.struct(self.tags(query).alias("q"), self.tags(response).alias("r"))
-        return let(both, fill_all)
+
+        def filled(b: Column) -> Column:
+            found = let(let(let(b, entries), firsts), answers)
+            return let(F.struct(b["q"].alias("q"), b["r"].alias("r"), found.alias("found")), fill_all)
+
+        return let(both, filled)
 
     def restore(self, query: Column, response: Column) -> Column:
         """Text with every mask of the query filled in; null unless the pair is valid."""

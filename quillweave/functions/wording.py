@@ -1,125 +1,94 @@
 """Wording of mask descriptions and layouts.
 
-Each operator takes a ``Wording``; pass your own to change any text.  ``{}`` marks the
-places that a layout fills.
+Texts are made from a few rules: a description is a request verb before what is asked for,
+a layout is a heading style and a separator around named parts.  Each operator takes a
+``Wording``; ``worded`` makes one from other verbs, styles or speaker names, and any field
+can be given outright.  ``{}`` marks the places that a layout fills.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from quillweave.functions import fixed
+
+VERBS = ("Supply", "Write out")
+#: heading styles: how a part's name goes before its text
+STYLES = ("{name}: {}", "== {name} ==\n{}")
+SEPARATORS = ("\n", "\n\n")
+SPEAKERS = ("Asker", "Helper")
+
+
+def requests(thing: str, verbs: Sequence[str] = VERBS) -> tuple[str, ...]:
+    return tuple(f"{verb} {thing}." for verb in verbs)
+
+
+def layouts(
+    names: Sequence[str], *, end: str = "", styles: Sequence[str] = STYLES, separators: Sequence[str] = SEPARATORS
+) -> tuple[str, ...]:
+    """One layout for each style and separator."""
+    return tuple(
+        between.join(style.replace("{name}", name) for name in names) + end for style in styles for between in separators
+    )
+
 
 @dataclass(frozen=True)
 class Wording:
     # spans: the two descriptions a random-span mask may carry
-    span_plain: str = "Write the words that belong here"
-    span_numbered: str = "Restore the removed passage"
-
+    span_plain: str
+    span_numbered: str
     # tagged reasoning: one description per tag, in tag order
-    tag_desc: tuple[str, ...] = (
-        "First thoughts on the task.",
-        "Work through the task in steps; use as many as it takes. This is working, not the answer.",
-        "Look back over the working and note what is wrong or could be better.",
-        "Changes made after looking back.",
-        "The answer alone, short and final; the reader sees only this.",
-    )
-
+    tag_desc: tuple[str, ...]
     # reasoning between a prompt and its answer: prompt, mask, answer
-    between_desc: tuple[str, ...] = (
-        "请像法律从业者一样逐步分析，并引用适用的香港法例",
-        "写出得出结论之前的全部思考",
-        "说明从问题走到答案的中间推理",
-    )
-    between_layout: tuple[str, ...] = (
-        "提问：{}\n推理：{}\n答复：{}",
-        "# 提问\n\n{}\n\n# 推理\n\n{}\n\n# 答复\n\n{}",
-        "{}\n\n***\n\n{}\n\n***\n\n{}",
-    )
-
+    between_desc: tuple[str, ...]
+    between_layout: tuple[str, ...]
     # rationale and target: lead-in text and description (None: no description)
-    rationale_lead: tuple[tuple[str, str | None], ...] = (
-        ("\n\nWorking: ", "why the answer holds"),
-        ("\n\nReply: ", "reason in small steps"),
-        ("\n\n", "why the answer holds"),
-        ("\n\n", "the line of reasoning"),
-    )
-    target_lead: tuple[tuple[str, str | None], ...] = (
-        ("\n\nResult: ", "the exact result"),
-        ("\n\nIn short: ", None),
-        ("\n\n", "the result in a few words"),
-    )
-
+    rationale_lead: tuple[tuple[str, str | None], ...]
+    target_lead: tuple[tuple[str, str | None], ...]
     # dialogue: two places per layout, first and second speaker
-    dialogue_layout: tuple[str, ...] = (
-        "Speaker 1: {}\n\nSpeaker 2: {}\n\n",
-        "# Speaker 1\n\n{}\n\n# Speaker 2\n\n{}\n\n",
-        "<s1>{}</s1>\n<s2>{}</s2>\n",
-        "> Speaker 1: {}\n> Speaker 2: {}\n",
-        "(Speaker 1) {}\n(Speaker 2) {}\n",
-        ">> Speaker 1: {}\n<< Speaker 2: {}\n",
-        "Speaker 1\n{}\n\nSpeaker 2\n{}\n\n",
-        'Speaker 1: "{}"\nSpeaker 2: "{}"\n',
-    )
-
+    dialogue_layout: tuple[str, ...]
     # annotated instruction rows: opening line and one description per field
-    fields_head: str = "Complete every blank below.\n\n"
-    field_desc: tuple[str, ...] = (
-        "The task the user sets.",
-        "A reply that solves the task.",
-        "The aim behind the task.",
-        "Background a good reply depends on.",
-        "How hard the task is, from very easy to very hard.",
-        "How well the task is put, from very poor to excellent.",
-        "What is strong or weak in the way the task is put.",
-        'The kind of task, such as "Math", "Planning", "Editing" or "Others".',
-    )
-
+    fields_head: str
+    field_desc: tuple[str, ...]
     # problem and solution: problem, mask
-    solution_desc: tuple[str, ...] = (
-        "Reasoning in steps, then the result",
-        "The chain of reasoning and the result",
-        "Explain in steps",
-        "Give the chain of reasoning",
-        "How the problem above is solved",
-        "How the problem is solved",
-        "How the question is answered",
-        "An explanation in steps",
-    )
-    solution_layout: tuple[str, ...] = (
-        "{}\n\n{}",
-        "{}\n\n***\n\n{}",
-        "<problem>{}</problem>\n<solution>{}</solution>",
-        "# Problem\n\n{}\n\n# Solution\n\n{}",
-        "# Problem\n\n{}\n\n# Reasoning and Solution\n\n{}",
-        "Problem: {}\n\nSolution: {}",
-    )
-
+    solution_desc: tuple[str, ...]
+    solution_layout: tuple[str, ...]
     # chain and answer
-    chain_desc: tuple[str, ...] = (
-        "Reasoning in steps, then the result",
-        "The chain of reasoning and the result",
-        "Explain in steps",
-        "Give the chain of reasoning",
-    )
-    answer_desc: tuple[str, ...] = (
-        "The result",
-        "The result, exactly",
-        "A short result for the question",
-    )
-
+    chain_desc: tuple[str, ...]
+    answer_desc: tuple[str, ...]
     # steps
-    step_desc: tuple[str, ...] = (
-        "One step towards the answer above",
-        "A step of the solution above",
-        "One step of reasoning",
-        "A step of the solution",
-        "Give one step of the solution",
-    )
-
+    step_desc: tuple[str, ...]
     # request built around one blank
-    request_before: str = "This is an "
-    request_after: str = " text."
-
+    request_before: str
+    request_after: str
+
+
+def worded(verbs: Sequence[str] = VERBS, speakers: Sequence[str] = SPEAKERS, **layout) -> Wording:
+    """A wording from its rules; ``layout`` goes to ``layouts`` (styles, separators)."""
+
+    def leads(thing: str, name: str) -> tuple[tuple[str, str | None], ...]:
+        return tuple(("\n", r) for r in requests(thing, verbs)) + ((f"\n{name} - ", None),)
+
+    return Wording(
+        span_plain=requests("what is missing", verbs)[0],
+        span_numbered=requests("the part with this number", verbs)[-1],
+        tag_desc=tuple(f"Contents of the section {name!r}." for name in fixed.REASONING_TAGS),
+        between_desc=requests("the reasoning from the question to the answer", verbs),
+        between_layout=layouts(("Question", "Reasoning", "Answer"), **layout),
+        rationale_lead=leads("the grounds for the answer", "Grounds"),
+        target_lead=leads("the answer", "Answer"),
+        dialogue_layout=layouts(speakers, end="\n", **layout),
+        fields_head="A record in which some values may be blank:\n",
+        field_desc=tuple(f"Value of {name!r} in this record." for name in fixed.INSTRUCTION_FIELDS),
+        solution_desc=requests("a worked solution", verbs),
+        solution_layout=layouts(("Task", "Worked solution"), **layout),
+        chain_desc=requests("the whole train of thought", verbs),
+        answer_desc=requests("the answer it ends in", verbs),
+        step_desc=requests("the step that comes here", verbs),
+        request_before="Text to complete: ",
+        request_after=" (end of text)",
+    )
 
 
-DEFAULT = Wording()
+DEFAULT = worded()

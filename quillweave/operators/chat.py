@@ -133,22 +133,27 @@ class BytePairLoader:
         return count
 
 
-def public_byte_pair(name: str = "byte_bpe_50k.tiktoken") -> BytePairLoader:
-    """A vocabulary of the ``public_tokenizers`` package (import fails without it)."""
-    import public_tokenizers
+#: letters, digits, or other visible characters in a row: an upper bound of words, no vocabulary needed
+PRE_TOKEN = r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+"
 
-    return BytePairLoader(name, public_tokenizers.PATTERN, public_tokenizers.path(name))
+
+def pre_tokens(text: Column) -> Column:
+    """Number of pre-tokens, a native expression; null texts have none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PRE_TOKEN))
 
 
 def with_token_lengths(
     df: DataFrame,
-    loader,
+    count: Callable[[Column], Column],
     template: ChatTemplate,
     query: str = "query",
     response: str = "response",
 ) -> DataFrame:
-    """``len_prompt`` (with the assistant head) and ``len_prompt_completion`` (whole chat)."""
-    count = token_counter(loader)
+    """``len_prompt`` (with the assistant head) and ``len_prompt_completion`` (whole chat).
+
+    ``count`` maps a text column to its length: ``pre_tokens``, a given length column's
+    arithmetic, or a tokenizer's ``token_counter``.
+    """
     return df.withColumn(
         "len_prompt", count(template.render_prompt(F.col(query)))
     ).withColumn(

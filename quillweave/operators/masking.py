@@ -133,22 +133,81 @@ def extract_tags(c: Column, names: Sequence[str] = fixed.REASONING_TAGS) -> Colu
 
     Any tag name matches (the closing name must repeat the opening one), so an outer
     unknown tag swallows what is inside it.
+
+    One scan lists opening and closing tags; a tag opens only if its name is closed later on.
+    Then one pass over the list keeps where each wanted name's last contents lie, so unclosed
+    tags cost nothing extra.
     """
-    pattern = (
-        rf"(?sU){fixed.TAG_OPEN}(\w+){fixed.TAG_END}(.*?){fixed.TAG_CLOSE}\1{fixed.TAG_END}"
-    )
+    token = rf"(?U){fixed.TAG_OPEN}\w+{fixed.TAG_END}|{fixed.TAG_CLOSE}\w+{fixed.TAG_END}"
     source = F.coalesce(c, F.lit(""))
-    found = F.arrays_zip(
-        F.regexp_extract_all(source, F.lit(pattern), F.lit(1)).alias("name"),
-        F.regexp_extract_all(source, F.lit(pattern), F.lit(2)).alias("value"),
-    )
+    nowhere = F.lit(None).cast("int")
+
+    def listed(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(token), F.lit(0))
+        gaps = F.split(t, token, -1)
+        return F.zip_with(
+            tokens,
+            F.slice(gaps, 1, F.size(tokens)),
+            lambda x, gap: F.struct(
+                F.regexp_extract(x, r"(?U)(\w+)", 1).alias("name"), x.rlike(f"^{fixed.TAG_CLOSE}").alias("closes"),
+                F.char_length(gap).alias("gap"), F.char_length(x).alias("long"),
+            ),
+        )
+
+    def marked(tokens: Column) -> Column:
+        """Tokens with whether an opening one is closed later."""
+        placed = F.transform(tokens, lambda x, i: F.struct(x["name"].alias("name"), i.alias("at"), x["closes"].alias("closes")))
+        closing = F.array_sort(F.transform(F.filter(placed, lambda x: x["closes"]), lambda x: F.struct(x["name"], x["at"])))
+
+        def lasts(sorted_: Column) -> Column:
+            kept = F.filter(sorted_, lambda x, j: ~F.coalesce(F.get(sorted_, j + 1)["name"] == x["name"], F.lit(False)))
+            return F.map_from_entries(kept)
+
+        def mark(v: Column) -> Column:
+            return F.transform(
+                v["tokens"],
+                lambda x, i: F.struct(
+                    x["name"].alias("name"), x["closes"].alias("closes"), x["gap"].alias("gap"), x["long"].alias("long"),
+                    (~x["closes"] & F.coalesce(F.try_element_at(v["last"], x["name"]) > i, F.lit(False))).alias("opens"),
+                ),
+            )
+
+        return let(F.struct(tokens.alias("tokens"), let(closing, lasts).alias("last")), mark)
+
+    def walk(tokens: Column) -> Column:
+        spots = [nowhere.alias(f"{side}{i}") for i in range(len(names)) for side in "se"]
+        start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("from"), *spots)
+
+        def step(acc: Column, x: Column) -> Column:
+            here = acc["pos"] + x["gap"]
+            ends = x["closes"] & F.coalesce(x["name"] == acc["open"], F.lit(False))
+            begins = acc["open"].isNull() & x["opens"]
+            found = []
+            for i, name in enumerate(names):
+                mine = ends & (x["name"] == name)
+                found.append(F.when(mine, acc["from"]).otherwise(acc[f"s{i}"]).alias(f"s{i}"))
+                found.append(F.when(mine, here).otherwise(acc[f"e{i}"]).alias(f"e{i}"))
+            return F.struct(
+                (here + x["long"]).alias("pos"),
+                F.when(begins, x["name"]).when(~ends, acc["open"]).alias("open"),
+                F.when(begins, here + x["long"]).otherwise(acc["from"]).alias("from"),
+                *found,
+            )
+
+        return F.aggregate(tokens, start, step)
+
+    def texts(v: Column) -> Column:
+        def last(i: int, name: str) -> Column:
+            s, e = v["at"][f"s{i}"], v["at"][f"e{i}"]
+            return F.coalesce(strip(F.substring(v["text"], s + 1, e - s)), F.lit("")).alias(name)
+
+        return F.struct(*[last(i, n) for i, n in enumerate(names)])
 
-    def last(pairs: Column, name: str) -> Column:
-        hits = F.filter(pairs, lambda p: p["name"] == name)
-        value = F.try_element_at(hits, F.lit(-1))["value"]
-        return F.coalesce(strip(value), F.lit("")).alias(name)
+    def found(t: Column) -> Column:
+        at = let(let(let(t, listed), marked), walk)
+        return let(F.struct(t.alias("text"), at.alias("at")), texts)
 
-    return let(found, lambda pairs: F.struct(*[last(pairs, n) for n in names]))
+    return let(source, found)
 
 
 # ---- rules: row -> (query body, response body) ----------------------------------------

@@ -27,34 +27,83 @@ def plain_number(c: Column) -> Column:
     return F.regexp_replace(c, r"[$,\s]", "")
 
 
-def numerically_equal(a: Column, b: Column) -> Column:
-    """Equal as decimals, or as fractions by cross-multiplying; never null.
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)"
+#: digits of one limb of a long product
+LIMB = 6
 
-    Digits are bounded so that every step is exact; longer numbers count as text.
-    """
-    number = r"^[+-]?\d{1,26}(?:\.\d{1,12})?$"
-    ratio = r"^[+-]?\d{1,12}(?:\.\d{1,6})?(?:/\d{1,12}(?:\.\d{1,6})?)?$"
 
-    def equal(v: Column) -> Column:
+def _number(t: Column) -> Column:
+    """Struct of a decimal of any length: ``neg``, ``digits`` without zeros in front, ``scale``; zero has no digits."""
+    body = F.regexp_replace(t, "^[+-]", "")
+    decimals = F.when(body.contains("."), F.rtrim(F.substring_index(body, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    digits = F.ltrim(F.concat(F.substring_index(body, ".", 1), decimals), F.lit("0"))
+    return F.struct(
+        (t.startswith("-") & (digits != "")).alias("neg"), digits.alias("digits"),
+        F.when(digits == "", 0).otherwise(F.length(decimals)).alias("scale"),
+    )
+
+
+def _limbs(digits: Column) -> Column:
+    """Limbs of a digit string, the lowest first."""
+    count = F.greatest(F.lit(1), F.ceil(F.length(digits) / LIMB)).cast("int")
+    padded = F.lpad(digits, count * LIMB, F.lit("0"))
+    return F.transform(F.sequence(count, F.lit(1), F.lit(-1)), lambda i: F.substring(padded, (i - 1) * LIMB + 1, F.lit(LIMB)).cast("bigint"))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """Product of two digit strings of any length, without zeros in front."""
+
+    def multiply(v: Column) -> Column:
         x, y = v["x"], v["y"]
-        plain = x.rlike(number) & y.rlike(number)
-        wide = "decimal(38,12)"
-        part = "decimal(18,6)"
-
-        def top(t: Column) -> Column:
-            return F.substring_index(t, "/", 1).try_cast(part)
-
-        def bottom(t: Column) -> Column:
-            return F.when(t.contains("/"), F.substring_index(t, "/", -1)).otherwise(F.lit("1")).try_cast(part)
-
-        crossed = (
-            x.rlike(ratio)
-            & y.rlike(ratio)
-            & (bottom(x) != 0)
-            & (bottom(y) != 0)
-            & (top(x) * bottom(y) == top(y) * bottom(x))
+        sums = F.transform(
+            F.sequence(F.lit(0), F.size(x) + F.size(y) - 1),
+            lambda k: F.aggregate(
+                F.sequence(F.greatest(F.lit(0), k - F.size(y) + 1), F.least(k, F.size(x))),
+                F.lit(0).cast("bigint"),
+                lambda acc, i: acc + F.coalesce(F.get(x, i) * F.get(y, k - i), F.lit(0).cast("bigint")),
+            ),
+        )
+        base = 10**LIMB
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<string>").alias("out"))
+
+        def add(acc: Column, s: Column) -> Column:
+            total = acc["carry"] + s
+            limb = F.lpad((total % base).cast("string"), LIMB, "0")
+            return F.struct(F.floor(total / base).cast("bigint").alias("carry"), F.array_append(acc["out"], limb).alias("out"))
+
+        return F.aggregate(
+            sums, start, add, lambda acc: F.ltrim(F.concat(acc["carry"].cast("string"), F.array_join(F.reverse(acc["out"]), "")), F.lit("0"))
         )
-        return F.when(plain, x.try_cast(wide) == y.try_cast(wide)).otherwise(crossed)
+
+    return let(F.struct(_limbs(a).alias("x"), _limbs(b).alias("y")), multiply)
+
+
+def numerically_equal(a: Column, b: Column) -> Column:
+    """Equal as decimals, or as fractions by cross-multiplying, with any number of digits; never null."""
+    plain, ratio = f"^{NUMBER}$", f"^{NUMBER}/{NUMBER}$"
+
+    def fraction(t: Column) -> Column:
+        bottom = F.when(t.contains("/"), F.substring_index(t, "/", -1)).otherwise(F.lit("1"))
+        return F.struct(_number(F.substring_index(t, "/", 1)).alias("top"), _number(bottom).alias("bottom"))
+
+    def crossed(v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        zeros = lambda n: F.repeat(F.lit("0"), n)
+        left = F.concat(p["top"]["digits"], zeros(q["top"]["scale"] + p["bottom"]["scale"]))
+        right = F.concat(q["top"]["digits"], zeros(p["top"]["scale"] + q["bottom"]["scale"]))
+        sign = (p["top"]["neg"] != p["bottom"]["neg"]) == (q["top"]["neg"] != q["bottom"]["neg"])
+        none = (p["top"]["digits"] == "") | (q["top"]["digits"] == "")
+        same = F.when(none, p["top"]["digits"] == q["top"]["digits"]).otherwise(
+            sign & (_product(left, q["bottom"]["digits"]) == _product(right, p["bottom"]["digits"]))
+        )
+        return (p["bottom"]["digits"] != "") & (q["bottom"]["digits"] != "") & same
+
+    def equal(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        number_x, number_y = x.rlike(plain), y.rlike(plain)
+        both = F.struct(fraction(x).alias("p"), fraction(y).alias("q"))
+        some_ratio = (number_x | x.rlike(ratio)) & (number_y | y.rlike(ratio))
+        return F.when(number_x & number_y, _number(x) == _number(y)).when(some_ratio, let(both, crossed)).otherwise(False)
 
     both = F.struct(plain_number(a).alias("x"), plain_number(b).alias("y"))
     return F.coalesce(let(both, equal), F.lit(False))
@@ -250,14 +299,16 @@ def sample_dump(
     """One rollout of every ``every``-th batch (batches count from 1): the last one, or the
     first scored one with its texts cut to ``cut`` characters for display.  Only the batches
     shown are scored (``scoring`` goes to ``details``)."""
-    rows = details(df.filter((F.col(by) + 1) % every == 0), **scoring)
-    if not last:
-        rows = pinned(rows).filter(F.col("correct_tags").isNotNull())
-    texts = ("query", "completion", "golden")
-    shown = [
+    shown = df.filter((F.col(by) + 1) % every == 0)
+    if last:  # the key decides, so only the rows shown are scored and only keys are compared
+        keys = shown.groupBy(F.col(by).alias("_by")).agg(F.max(order).alias("_order"))
+        rows = details(shown.join(keys, (F.col(by) == F.col("_by")) & (F.col(order) == F.col("_order"))).select(*df.columns), **scoring)
+    else:
+        scored = pinned(details(shown, **scoring)).filter(F.col("correct_tags").isNotNull())
+        keys = scored.groupBy(F.col(by).alias("_by")).agg(F.min(order).alias("_order"))
+        rows = scored.join(keys, (F.col(by) == F.col("_by")) & (F.col(order) == F.col("_order")))
+    texts = [
         (F.left(F.col(t), F.lit(n)) if n else F.col(t)).alias(t)
-        for t, n in zip(texts, cut or (None, None, None))
+        for t, n in zip(("query", "completion", "golden"), cut or (None, None, None))
     ]
-    record = F.struct(order, *shown, "correct_tags", "ratio", "reward")
-    pick = (F.max_by if last else F.min_by)(record, F.col(order))
-    return rows.groupBy(by).agg(pick.alias("_s")).select(by, "_s.*")
+    return rows.select(by, order, *texts, "correct_tags", "ratio", "reward")

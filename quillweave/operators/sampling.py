@@ -3,14 +3,16 @@
 Order inside a pool is the order of ``(hash60(seed, salt, key), key)``, so it depends on
 nothing but the row keys.  Three building blocks:
 
-* ``histogram``      rows per pool and leading hash digit, the only numbers the driver sees
-* ``first_k``        a predicate for the first k rows of each pool; rows are selected
+* ``histogram``      rows per pool and leading hash digit of the declared pools of a recipe,
+                     the only numbers the driver sees
+* ``first_k``        a predicate for the first k rows of each declared pool; rows are selected
                      map-side with no shuffle at all
+* ``first_rows``     the same for any number of pools, null among them, with counts and cuts
+                     as tables; nothing reaches the driver
 * ``hash_rank``      dense 0-based rank, windowed over hash buckets (never over a pool)
 * ``draw_table``     k draws as (pool, draw, rank of the row drawn)
 
-Keys must be unique within a pool.  Pools are declared lists (tiers, subsets), so their
-histograms stay small; ``MAX_CELLS`` checks that.
+Keys must be unique within a pool; a null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 from quillweave.functions.hashing import HASH_BITS, hash60
 
 BUCKET_BITS = 12
-MAX_CELLS = 1_000_000
 SMALL_BUCKET = 20_000
 BROADCAST_ROWS = 1_000_000
+#: cuts, one row per pool, that are broadcast at most
+BROADCAST_POOLS = 100_000
 WHOLE_NUMBERS = {"tinyint", "smallint", "int", "bigint"}
 FIXED_WIDTH = WHOLE_NUMBERS | {"boolean", "float", "double", "date", "timestamp"}
 
@@ -79,18 +82,15 @@ def histogram(
     salt: str = "order",
     bits: int = BUCKET_BITS,
 ) -> Histogram:
-    """Count rows by pool and leading hash digit (null pools are outside every pool)."""
+    """Count rows by pool and leading hash digit, for a recipe's declared pools (null is outside)."""
     digit = F.shiftright(hash60(seed, salt, *[F.col(k) for k in key]), HASH_BITS - bits)
     counted = (
         df.select(pool.alias("_p"), digit.alias("_b"))
         .filter("_p is not null")
         .groupBy("_p", "_b")
         .count()
-        .limit(MAX_CELLS + 1)
         .toPandas()
     )
-    if len(counted) > MAX_CELLS:
-        raise ValueError("too many pools to count on the driver; rank with hash_rank instead")
     cells: dict[str, dict[int, int]] = {}
     for name, b, n in counted.itertuples(index=False):
         cells.setdefault(name, {})[int(b)] = int(n)
@@ -256,30 +256,70 @@ def _descend(cells: Mapping[int, int], k: int, depth: int) -> tuple[int, int, in
 
 
 def _up_to(columns: list[Column], values: list) -> Column:
-    """Lexicographic ``columns <= values``."""
-    here, value = columns[0], F.lit(values[0])
-    if len(columns) == 1:
-        return here <= value
-    return (here < value) | ((here == value) & _up_to(columns[1:], values[1:]))
+    """Lexicographic ``columns <= values``, nulls first as in a sort; never null."""
+    here = columns[0]
+    value = values[0] if isinstance(values[0], Column) else F.lit(values[0])
+    below = F.coalesce(here < value, here.isNull() & value.isNotNull())
+    same = here.eqNullSafe(value)
+    return below | (same & (_up_to(columns[1:], values[1:]) if columns[1:] else F.lit(True)))
+
+
+def first_rows(
+    df: DataFrame, key: Sequence[str], pool: Column, amount: Callable[[Column], Column], *, seed: int = 0, salt: str = "order"
+) -> tuple[DataFrame, Column]:
+    """``df`` with helper columns, and whether a row is among the first ``amount(size)`` of its pool.
+
+    Rows per (pool, leading digit) are counted map-side; running sums per pool, at most
+    ``2**BUCKET_BITS`` rows each, give the cell of the last row wanted, and a row number
+    inside that cell the row itself.  The cuts, one row per pool, are joined by pool:
+    broadcast if there are few, else shuffled.  Any number of pools; null is one of them.
+    Raises ``SampleTooLarge`` where more is wanted than there is.
+    """
+    row_key = [F.col(c) for c in key]
+    h = hash60(seed, salt, *row_key)
+    thin = df.select(pool.alias("_p"), h.alias("_h"), *row_key).withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
+    cells = thin.groupBy("_p", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("_p")
+    summed = cells.select(
+        "_p", "_b", "_n", F.sum("_n").over(own).alias("_size"),
+        F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+    ).withColumn("_k", amount(F.col("_size")).cast("bigint"))
+    if not summed.filter(F.col("_k") > F.col("_size")).isEmpty():
+        raise SampleTooLarge("more rows wanted than a pool holds")
+    last = summed.filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+    last = last.select(F.col("_p").alias("_lp"), F.col("_b").alias("_lb"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_nth"))
+    inside = thin.join(last, F.col("_p").eqNullSafe(F.col("_lp")) & (F.col("_b") == F.col("_lb")))
+    nth = Window.partitionBy("_p", "_b").orderBy("_h", *key)
+    cuts = inside.withColumn("_rn", F.row_number().over(nth)).filter("_rn = _nth")
+    cuts = cuts.select(F.col("_p").alias("_cp"), F.col("_h").alias("_ch"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(key)])
+    pools = summed.filter("_k > 0").select("_p").distinct().count()  # one number
+    if pools <= BROADCAST_POOLS:
+        cuts = F.broadcast(cuts)
+    joined = df.withColumn("_pool", pool).join(cuts, F.col("_pool").eqNullSafe(F.col("_cp")), "left")
+    within = F.col("_ch").isNotNull() & _up_to([h, *row_key], [F.col("_ch"), *[F.col(f"_c{i}") for i in range(len(key))]])
+    return joined, within
 
 
 def sample_per_pool(
     df: DataFrame,
     key: Sequence[str],
     pool: Column,
-    amounts: Callable[[Mapping[str, int]], Mapping[str, int]],
+    amount: Callable[[Column], Column],
     *,
     seed: int = 0,
     salt: str = "order",
 ) -> DataFrame:
-    """Exactly ``amounts(sizes)`` rows of each pool, without replacement."""
-    counts = histogram(df, key, pool, seed=seed, salt=salt)
-    return df.filter(first_k(df, pool, counts, amounts(counts.sizes)))
+    """Exactly ``amount(size)`` rows of each pool, without replacement."""
+    joined, within = first_rows(df, key, pool, amount, seed=seed, salt=salt)
+    return joined.filter(within).select(*df.columns)
 
 
 def head_n(df: DataFrame, key: Sequence[str], n: int, *, seed: int = 0, salt: str = "order"):
     """First ``n`` rows of the seeded shuffle; also an exact sample without replacement."""
-    return sample_per_pool(df, key, F.lit("all"), lambda _: {"all": n}, seed=seed, salt=salt)
+    if n <= 0:
+        return df.filter(F.lit(False))
+    counts = histogram(df, key, F.lit("all"), seed=seed, salt=salt)
+    return df.filter(first_k(df, F.lit("all"), counts, {"all": n}))
 
 
 sample_without_replacement = head_n
@@ -296,10 +336,8 @@ def split_by_share(
     out: str = "split",
 ) -> DataFrame:
     """Label ``test`` for ``ceil(percent% of n)`` random rows of every pool, else ``train``."""
-    counts = histogram(df, key, pool, seed=seed, salt=salt)
-    want = {n: -(-c * percent // 100) for n, c in counts.sizes.items()}
-    in_test = first_k(df, pool, counts, want)
-    return df.withColumn(out, F.when(in_test, "test").otherwise("train"))
+    joined, in_test = first_rows(df, key, pool, lambda size: F.floor((size * percent + 99) / 100), seed=seed, salt=salt)
+    return joined.select(*[c for c in df.columns if c != out], F.when(in_test, "test").otherwise("train").alias(out))
 
 
 def split_head(df: DataFrame, train_rows: int, *, rank: str = "pos", out: str = "split"):
@@ -410,10 +448,18 @@ def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> Da
     broadcast: it thins ``df`` to about the drawn rows, and those are joined on the key.
     """
     if rows > BROADCAST_ROWS or fixed_width(drawn, key):
-        return df.join(small_enough(drawn, rows), list(key))
+        return _on_key(df, small_enough(drawn, rows), key)
     hashes = drawn.select(F.xxhash64(*key).alias("_x"))
     near = df.withColumn("_x", F.xxhash64(*key)).join(F.broadcast(hashes), "_x", "left_semi")
-    return near.drop("_x").join(drawn, list(key))
+    return _on_key(near.drop("_x"), drawn, key)
+
+
+def _on_key(df: DataFrame, drawn: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Join on the key, a null equal to a null."""
+    named = drawn.withColumnsRenamed({k: f"_k_{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
+    others = [c for c in df.columns if c not in key]
+    return df.join(named, same).select(*key, *others, *[c for c in drawn.columns if c not in key])
 
 
 def repeat(df: DataFrame, copies: Column, out: str = "copy") -> DataFrame:
@@ -427,15 +473,15 @@ def with_content_key(df: DataFrame, *, chunk: int = 100_000) -> DataFrame:
     ``occurrence`` (0-based among equal rows), in front of the columns.
 
     Equal rows are interchangeable, so they are counted (map-side, so copies never meet in
-    one task as rows) and the count is expanded again.  Counts over ``chunk`` are expanded
-    in blocks spread over the cluster; both branches read the same exchange.
+    one task as rows) and the count is expanded again.  Rows are grouped by all their
+    columns, so the digest need not tell them apart; it is made of two 64-bit hashes, which
+    see every bit of a timestamp and which fields of a nested value are null.  Counts over
+    ``chunk`` are expanded in blocks spread over the cluster.
     """
-    row = F.struct(*df.columns)
-    counted = (
-        df.select(F.md5(F.to_json(row)).alias("digest"), row.alias("_row"))
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
-    )
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    marked = [F.struct(F.col(c).isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}), F.col(c)) for c in df.columns]
+    digest = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *marked)), 16, "0") for seed in (1, 2)])
+    counted = counted.select(digest.alias("digest"), "_n", F.struct(*df.columns).alias("_row"))
     few = counted.filter(F.col("_n") <= chunk).withColumn("_block", F.lit(0).cast("bigint"))
     many = (
         counted.filter(F.col("_n") > chunk)

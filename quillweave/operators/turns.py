@@ -5,29 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: bytes of text one conversation may have as a single row
-ROW_BYTES = 1_000_000_000
 
+def conversation_rows(turns: DataFrame, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """``conv`` and ``conversations``, all texts in order; equal or null numbers are ordered by text.
 
-def conversation_rows(
-    turns: DataFrame,
-    conv: str = "conv_id",
-    order: str = "turn",
-    text: str = "text",
-    *,
-    limit: int = ROW_BYTES,
-) -> DataFrame:
-    """``conv`` and ``conversations``, the texts in order.
-
-    A conversation that cannot be one row gets a null list, so that it is set aside like
-    any other unusable row and its turns are never gathered.  Sizes are summed map-side
-    first; at most one conversation per ``limit`` bytes of input can be too large, which
-    bounds the list of those that is broadcast.
+    A conversation is one output row, so it has to fit a row (2 GB); one that does not fails
+    the job.  No turn is left out.
     """
-    sizes = turns.groupBy(conv).agg(F.sum(F.octet_length(text)).alias("_bytes"))
-    too_large = sizes.filter(F.col("_bytes") > limit).select(conv)
-    usable = turns.join(F.broadcast(too_large), conv, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    lists = usable.groupBy(conv).agg(F.transform(ordered, lambda x: x["t"]).alias("conversations"))
-    empty = F.lit(None).cast("array<string>")
-    return lists.unionByName(too_large.withColumn("conversations", empty))
+    return turns.groupBy(conv).agg(F.transform(ordered, lambda x: x["t"]).alias("conversations"))

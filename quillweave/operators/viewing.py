@@ -11,6 +11,8 @@ from quillweave.functions.text import optional
 from quillweave.operators.sampling import bucketed_rank
 
 PAGE_CELLS = 4096
+#: rows that a range may have without being counted in finer cells
+FEW_ROWS = 20_000
 
 
 def row_format(df: DataFrame, query: str = "query", response: str = "response", messages: str = "messages") -> Column:
@@ -22,35 +24,49 @@ def row_format(df: DataFrame, query: str = "query", response: str = "response",
     )
 
 
+def _offset(key: str, low: int, width: int) -> Column:
+    """Cell of a key from ``low`` on; decimals, so keys over the whole range of a long do not overflow."""
+    return F.expr(f"(cast(`{key}` as decimal(20, 0)) - cast('{low}' as decimal(20, 0))) div cast('{width}' as decimal(20, 0))")
+
+
+def _around(df: DataFrame, key: str, low: int, high: int, seen: int, rank: int) -> tuple[int, int, int]:
+    """Key range that holds the row of a rank, and the rows before it.
+
+    A range is counted in ``PAGE_CELLS`` equal cells, then the cell that holds the row in as
+    many again, until it has few rows: outliers cost another count, not a large task.
+    """
+    while True:
+        width = (high - low) // PAGE_CELLS + 1
+        inside = df.filter(F.col(key).between(low, high))
+        cells = inside.groupBy(_offset(key, low, width).alias("_c")).count().collect()
+        for cell in sorted(cells, key=lambda r: r["_c"]):
+            if seen + cell["count"] > rank:
+                break
+            seen += cell["count"]
+        low = low + cell["_c"] * width
+        high = min(high, low + width - 1)
+        if cell["count"] <= FEW_ROWS or width == 1:
+            return low, high, seen
+
+
 def page(df: DataFrame, key: str, start: int, size: int) -> DataFrame:
     """Rows ``start .. start+size-1`` (0-based) by a whole-number key, with their ``rank``.
 
-    Counts per key range (at most 4096 numbers) tell which ranges hold the page; only
-    those are read again, with the bounds pushed into the scan.
+    The key ranges of the first and the last row are found by counting; only what lies
+    between is read again, with the bounds pushed into the scan.  Rows without a key are
+    not numbered.
     """
     if start < 0 or size < 0:
         raise ValueError("start and size must not be negative")
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None or size == 0:
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if size == 0 or start >= rows:
         return df.limit(0).withColumn("rank", F.lit(0).cast("bigint"))
-    width = (high - low) // PAGE_CELLS + 1
-    cells = df.groupBy(F.floor((F.col(key) - low) / width).alias("_c")).count().collect()
-    seen, base, first, last = 0, 0, None, None
-    for row in sorted(cells, key=lambda r: r["_c"]):
-        if seen + row["count"] > start and seen < start + size:
-            if first is None:
-                first, base = row["_c"], seen
-            last = row["_c"]
-        seen += row["count"]
-    if first is None:
-        return df.limit(0).withColumn("rank", F.lit(0).cast("bigint"))
-    inside = (F.col(key) >= low + first * width) & (F.col(key) < low + (last + 1) * width)
-    cell = F.floor((F.col(key) - low) / width)
-    ranked = bucketed_rank(df.filter(inside), [], cell, [F.col(key)], "rank")
-    rank = F.col("rank") + base
-    return ranked.withColumn("rank", rank).filter(
-        F.col("rank").between(start, start + size - 1)
-    )
+    first, _, before = _around(df, key, low, high, 0, start)
+    _, last, _ = _around(df, key, low, high, 0, min(start + size, rows) - 1)
+    width = (last - first) // PAGE_CELLS + 1
+    inside = df.filter(F.col(key).between(first, last))
+    ranked = bucketed_rank(inside, [], _offset(key, first, width), [F.col(key)], "rank")
+    return ranked.withColumn("rank", F.col("rank") + before).filter(F.col("rank").between(start, start + size - 1))
 
 
 def display_text(c: Column, latex: bool = False) -> Column:

@@ -56,8 +56,11 @@ def _rollouts() -> str:
     whole = "concat(lang, ' ', source)"
     ratio = "concat('1/', cast(doc_id % 9 + 2 as varchar(9)))"
     same = "concat('2/', cast(2 * (doc_id % 9 + 2) as varchar(9)))"
+    second = (
+        f"case doc_id % 12 when 9 then '-3.141592653589790' when 10 then '10000000000000/20000000000000' else {ratio} end"
+    )
     query = (
-        "concat('<|M_INPUT|>', text, '<|MASKED id=\"m_0\"|><|/MASKED|> and "
+        "concat(case when doc_id % 12 = 11 then '' else '<|M_INPUT|>' end, text, '<|MASKED id=\"m_0\"|><|/MASKED|> and "
         "<|MASKED desc=\"a &amp; b\"|><|/MASKED|><|/M_INPUT|>')"
     )
     cases = [
@@ -69,12 +72,16 @@ def _rollouts() -> str:
         out(tag(0, whole), tag(1, f"concat(source, ' ', {whole}, ' ', {whole}, ' ', source)")),
         out(tag(0, whole), tag(1, "text")),
         f"concat('junk ', {out(tag(1, whole), tag(0, 'source'))})",
+        "null",
+        out(tag(0, whole), tag(1, "'-003.14159265358979'")),
+        out(tag(0, whole), tag(1, "case when lang = 'en' then '.5' else '-1/-2' end")),
+        out(tag(0, whole), tag(1, ratio)),
     ]
     chosen = " ".join(f"when {i} then {c}" for i, c in enumerate(cases))
     return (
         f"select doc_id as row_id, cast(floor(doc_id / 8) as bigint) as step, {query} as query, "
-        f"{out(tag(0, whole), tag(1, ratio))} as golden, "
-        f"case doc_id % 8 {chosen} end as completion from " + "{documents}"
+        f"case when doc_id % 36 <> 20 then {out(tag(0, whole), tag(1, second))} end as golden, "
+        f"case doc_id % 12 {chosen} end as completion from " + "{documents}"
     )
 
 
@@ -99,7 +106,7 @@ VIEWS: dict[str, str] = {
     "steps": (
         "select d.doc_id as row_id, d.source as problem, d.text as steps_text, case when l.toxic = 0 "
         "then -1 else 0 end as label, case when l.doc_id % 11 = 0 then null else l.quality = 1 end as "
-        "final_answer_correct from {documents} d join {labels} l on d.doc_id = l.doc_id"
+        "final_answer_correct from {documents} d left join {labels} l on d.doc_id = l.doc_id"
     ),
     "tagged": _tagged(),
     "fields": (
@@ -112,7 +119,7 @@ VIEWS: dict[str, str] = {
         f"select doc_id as row_id, source as subset, text as query, {_LINE} as response from {{documents}}"
     ),
     "rollouts": _rollouts(),
-    "turns": "select conv_id, turn, text from {conversations} where role <> 'system'",
+    "turns": "select conv_id, turn, text from {conversations}",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillweave.operators.chat import CHAT_TEMPLATES, prompt_row, with_token_lengths, within_budget
+from quillweave.operators.chat import CHAT_TEMPLATES, pre_tokens, prompt_row, with_token_lengths, within_budget
 from quillweave.operators.gate import pinned
 from quillweave.operators.mixing import Recipe, mix, plan
 from quillweave.operators.sampling import hash_rank, head_n, split_head
@@ -50,7 +50,7 @@ def first_rows_set(
 def prompt_set(
     corpus: DataFrame,
     recipe: Recipe,
-    loader,
+    count=pre_tokens,
     *,
     limit: int = 4096,
     template: str = "im",
@@ -59,7 +59,7 @@ def prompt_set(
 ) -> DataFrame:
     """Mixture -> prompt rows within the token budget, with their token lengths."""
     mixed = mix(corpus, recipe, key, subset=subset)
-    sized = with_token_lengths(mixed, loader, CHAT_TEMPLATES[template])
+    sized = with_token_lengths(mixed, count, CHAT_TEMPLATES[template])
     return pinned(sized).filter(within_budget(limit)).select(
         "*", *prompt_row(F.col("query"), F.col("response"))
     )

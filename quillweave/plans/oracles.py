@@ -314,7 +314,8 @@ v as (select *, coalesce(
   and len(list_filter(range(0, len(q_id)), lambda i: q_id[i + 1] is not null and q_id[i + 1] <> i::VARCHAR)) = 0
   and len(list_filter(c_content, lambda x: regexp_matches(x, {DIRTY}))) = 0
   and len(list_filter(q_content, lambda x: regexp_matches(x, {DIRTY}))) = 0, false) as strict,
-  {wrapped('query', 'M_INPUT')} as lenient from t)"""
+  coalesce({wrapped('query', 'M_INPUT')} and completion is not null, false) as lenient,
+  coalesce({wrapped('query', 'M_INPUT')} and golden is not null, false) as golden_ok from t)"""
 
 
 def filled(name: str) -> str:
@@ -382,6 +383,9 @@ ORACLES["sample_adaptive"] = (
 ORACLES["repeat_subset"] = (
     "select doc_id, source, unnest(range(1, case when source = 'src1' then 4 else 2 end))::INT as copy from documents"
 )
+ORACLES["content_keys_events"] = """with d as (select count(*) as c from events group by event_id, ts, user_id, event_type, value, props),
+n as (select unnest(range(0, 2 * c)) as occurrence from d)
+select occurrence, count(*) as n, count(*) as digests from n group by occurrence"""
 ORACLES["content_keys"] = (
     "select md5(text) as text_md5, lang, row_number() over (partition by text, lang) - 1 as occurrence from documents"
 )
@@ -514,6 +518,45 @@ ORACLES["chat_training_set"] = mixture(
     f"case when p.pos < {N} * 98 // 100 then 'train' else 'eval' end as split",
 )
 
+
+
+def pre_tokens(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '\\p{{L}}+|\\p{{N}}+|[^\\x20\\x09-\\x0D\\p{{L}}\\p{{N}}]+'))::INT"
+
+
+def within_budget(source: str) -> str:
+    """Rows with prompt and chat lengths in the budget of 1024: two thirds, and all but 256."""
+    prompt = f"{USER} || query || {END} || {ASSISTANT}"
+    lengths = f"{pre_tokens(prompt)} as len_prompt, {pre_tokens(PAIR_TEXT)} as len_prompt_completion"
+    return f"select * from (select *, {lengths} from ({source})) where len_prompt <= 682 and len_prompt_completion <= 768"
+
+
+BUDGETED = within_budget(ORACLES["mask_solution"])
+ORACLES["token_budget"] = f"select row_id, len_prompt, len_prompt_completion from ({BUDGETED})"
+ORACLES["token_max"] = (
+    "select max(len_prompt) as max_prompt, max(len_prompt_completion) as max_prompt_completion, max(len_prompt) + 1 as prompt_limit, "
+    f"1024 - (max(len_prompt) + 2) as completion_limit from ({BUDGETED})"
+)
+
+PROMPTS = within_budget(
+    mixture(
+        pool_case(FOUR_TIER_SOURCES),
+        "select 'verifiable' as pool, n // 5 as k from total union all select 'high', n // 5 from total "
+        "union all select 'mid', n // 10 from total union all select 'low', n // 10 from total",
+        "k > size",
+        copies="case when subset = 'src1' then 3 else 1 end",
+        columns="p.pos, r.row_id, r.query, r.response",
+    )
+)
+ORACLES["prompt_training_set"] = (
+    "select pos, row_id, len_prompt, len_prompt_completion, 1 as messages, 'user' as role, query as content, "
+    f"response as solution from ({PROMPTS})"
+)
+ORACLES["first_rows_training_set"] = (
+    f"select pos, {PAIR_TEXT} as text, case when pos < ({N} // 3) * 98 // 100 then 'train' else 'eval' end as split "
+    f"from (select *, row_number() over ({order_by(42, 'order', 'row_id')}) - 1 as pos from ({view_sql('subset')})) where pos < {N} // 3"
+)
+
 # ---- rewards ---------------------------------------------------------------------------------------------------
 
 
@@ -524,33 +567,51 @@ def cleaned(x: str) -> str:
 
 
 def numeric_equal(a: str, b: str) -> str:
-    number = lit(r"^[+-]?\d{1,26}(?:\.\d{1,12})?$")
-    ratio = lit(r"^[+-]?\d{1,12}(?:\.\d{1,6})?(?:/\d{1,12}(?:\.\d{1,6})?)?$")
+    """Decimals of any length by their canonical text; fractions as 128-bit whole numbers."""
+    form = r"[+-]?(?:\d+\.?\d*|\.\d+)"
+    number, ratio = lit(f"^{form}$"), lit(f"^{form}(?:/{form})?$")
     x, y = cleaned(a), cleaned(b)
 
+    def whole(t):
+        return f"ltrim(replace(split_part(ltrim({t}, '+-'), '.', 1) || {decimals(t)}, '.', ''), '0')"
+
+    def decimals(t):
+        return f"rtrim(case when contains({t}, '.') then split_part({t}, '.', 2) else '' end, '0')"
+
+    def canonical(t):
+        return f"case when {whole(t)} = '' then '0' else case when starts_with({t}, '-') then '-' else '' end || {whole(t)} || 'e' || length({decimals(t)}) end"
+
+    def scaled(t, zeros):
+        return f"(case when starts_with({t}, '-') then -1 else 1 end * try_cast('0' || {whole(t)} || repeat('0', {zeros}) as hugeint))"
+
     def top(t):
-        return f"try_cast(split_part({t}, '/', 1) as decimal(18,6))"
+        return f"split_part({t}, '/', 1)"
 
     def bottom(t):
-        return f"try_cast(case when contains({t}, '/') then split_part({t}, '/', 2) else '1' end as decimal(18,6))"
+        return f"case when contains({t}, '/') then split_part({t}, '/', 2) else '1' end"
+
+    def scale(t):
+        return f"length({decimals(t)})"
 
+    left = f"{scaled(top(x), f'{scale(top(y))} + {scale(bottom(x))}')} * {scaled(bottom(y), '0')}"
+    right = f"{scaled(top(y), f'{scale(top(x))} + {scale(bottom(y))}')} * {scaled(bottom(x), '0')}"
     return f"""coalesce(case when regexp_matches({x}, {number}) and regexp_matches({y}, {number})
-      then try_cast({x} as decimal(38,12)) = try_cast({y} as decimal(38,12))
-      else regexp_matches({x}, {ratio}) and regexp_matches({y}, {ratio}) and {bottom(x)} <> 0 and {bottom(y)} <> 0
-        and {top(x)} * {bottom(y)} = {top(y)} * {bottom(x)} end, false)"""
+      then {canonical(x)} = {canonical(y)}
+      else regexp_matches({x}, {ratio}) and regexp_matches({y}, {ratio}) and {whole(bottom(x))} <> '' and {whole(bottom(y))} <> ''
+        and {left} = {right} end, false)"""
 
 
 SCORED = f"""with {PARSED},
-e as (select row_id, unnest(range(0, len(q_id))) as i, q_id, c_id, c_content, g_id, g_content from v where lenient),
+e as (select row_id, unnest(range(0, len(q_id))) as i, q_id, c_id, c_content, g_id, g_content from v where lenient and golden_ok),
 m as (select row_id, i, {filled('c')} as p, {filled('g')} as g from e),
 k as (select row_id, count(*) as total,
     count(*) filter (where p is not distinct from g) as exact,
     count(*) filter (where coalesce({strip('p')} = {strip('g')}, false) or {numeric_equal('p', 'g')}) as loose
   from m group by row_id),
-b as (select v.row_id, v.step, v.query, v.completion, v.golden, v.strict, v.lenient, length(completion) as cl, length(golden) as gl,
-    case when lenient then coalesce(total, 0) end as total,
-    case when lenient then coalesce(exact, 0) end as exact,
-    case when lenient then coalesce(loose, 0) end as loose,
+b as (select v.row_id, v.step, v.query, v.completion, v.golden, v.strict, v.lenient, v.golden_ok, length(completion) as cl, length(golden) as gl,
+    case when lenient and golden_ok then coalesce(total, 0) end as total,
+    case when lenient and golden_ok then coalesce(exact, 0) end as exact,
+    case when lenient and golden_ok then coalesce(loose, 0) end as loose,
     length(completion) / greatest(length(golden), 1) as ratio
   from v left join k on k.row_id = v.row_id),
 s as (select *, case when ratio <= 1.2::DOUBLE then 1.0::DOUBLE
@@ -558,7 +619,7 @@ s as (select *, case when ratio <= 1.2::DOUBLE then 1.0::DOUBLE
     else 0.7::DOUBLE * exp(-(ratio - 2)) end as factor, exact / greatest(total, 1) as acc from b)"""
 
 SCORES = {
-    "format_v1": "case when strict then 2 when lenient then 1 else -1 end",
+    "format_v1": "case when strict then 2 when golden_ok then 1 else -1 end",
     "format": "case when strict then 2 when lenient then 1 else -1 end",
     "length_sign": "case when cl <= gl then 1 else -1 end",
     "length_clip": "greatest(-1, least(1, 1 - ratio))",
@@ -584,22 +645,22 @@ ORACLES["reward_strict"] = scores("strict_length")
 ORACLES["reward_loose"] = scores("loose_length")
 ORACLES["reward_several"] = scores(*SCORES)
 ORACLES["reward_stats"] = f"""{SCORED}
-select step, round(avg(loose) filter (where strict), 6) as correct_tags,
-  round(avg(loose / greatest(total, 1)) filter (where strict), 6) as accuracy,
-  round(avg((loose / greatest(total, 1) = 1)::INT) filter (where strict), 6) as perfect,
-  round(avg(ratio) filter (where strict), 6) as ratio, round(avg(factor) filter (where strict), 6) as factor,
-  round(avg(loose * factor) filter (where strict), 6) as reward,
-  count(*) filter (where not strict) as failures, count(*) as rollouts
+select step, round(avg(loose) filter (where strict and golden_ok), 6) as correct_tags,
+  round(avg(loose / greatest(total, 1)) filter (where strict and golden_ok), 6) as accuracy,
+  round(avg((loose / greatest(total, 1) = 1)::INT) filter (where strict and golden_ok), 6) as perfect,
+  round(avg(ratio) filter (where strict and golden_ok), 6) as ratio, round(avg(factor) filter (where strict and golden_ok), 6) as factor,
+  round(avg(loose * factor) filter (where strict and golden_ok), 6) as reward,
+  count(*) filter (where not (strict and golden_ok)) as failures, count(*) as rollouts
 from s group by step"""
 ORACLES["reward_samples"] = f"""{SCORED}
-select step, row_id, query, completion, golden, case when strict then loose::INT end as correct_tags,
-  case when strict then round(ratio, 6) end as ratio, case when strict then round(loose * factor, 6) end as reward
+select step, row_id, query, completion, golden, case when strict and golden_ok then loose::INT end as correct_tags,
+  case when strict and golden_ok then round(ratio, 6) end as ratio, case when strict and golden_ok then round(loose * factor, 6) end as reward
 from s where (step + 1) % 10 = 0 qualify row_number() over (partition by step order by row_id desc) = 1"""
 ORACLES["reward_samples_first"] = f"""{SCORED}
 select step, row_id, left(query, 1000) as query, left(completion, 2000) as completion, left(golden, 2000) as golden,
   exact::INT as correct_tags, round(ratio, 6) as ratio,
   round((2 * acc - 1) * factor + case when acc = 1 then 0.5 else 0 end, 6) as reward
-from s where (step + 1) % 20 = 0 and lenient qualify row_number() over (partition by step order by row_id) = 1"""
+from s where (step + 1) % 20 = 0 and lenient and golden_ok qualify row_number() over (partition by step order by row_id) = 1"""
 
 # ---- viewing -------------------------------------------------------------------------------------------------------
 ORACLES["row_format"] = f"""select row_id, case
@@ -667,3 +728,16 @@ labelled as (select *, case when row_number() over (partition by subset {order_b
   <= (count(*) over (partition by subset) + 9) // 10 then 'test' else 'train' end as split from rows_)
 select subset, split, count(*) as n, sum(length(q))::BIGINT as q_chars, sum(length(a))::BIGINT as a_chars
 from labelled group by subset, split"""
+
+_PUBLISHED = f"select doc_id, text, source as subset, {SPLIT} from documents"
+ORACLES["read_one_split"] = f"select * from ({_PUBLISHED}) where subset = 'src1' and split = 'test'"
+ORACLES["read_all_splits"] = f"select * from ({_PUBLISHED}) where subset = 'src1'"
+ORACLES["jsonl_plain_tree"] = (
+    "select text as query, source as response, case when lang is not distinct from 'en' then 'english' else 'other' end as subset, "
+    "'train' as split from documents"
+)
+ORACLES["gate_split"] = f"with {PARSED} select row_id, query, completion as response, strict as kept from v"
+ORACLES["build_chosen_pairs"] = (
+    f"select subset, pairs, quarantined from ({ORACLES['build_all_pairs']}) where subset in ('numina_math', 'hk_o1aw')"
+)
+ORACLES["qa_absent_column"] = qa("reason", canon("prompt"), canon("answer"))

@@ -274,7 +274,7 @@ def sample_wor(spark, sf):
     """A third of every source, exactly."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     return sampling.sample_per_pool(
-        docs, ["doc_id"], F.col("source"), lambda sizes: {n: c // 3 for n, c in sizes.items()}, seed=7
+        docs, ["doc_id"], F.col("source"), lambda size: F.floor(size / 3), seed=7
     )
 
 
@@ -300,6 +300,14 @@ def repeat_subset(spark, sf):
     return sampling.repeat(_ids(spark, sf), copies)
 
 
+@query
+def content_keys_events(spark, sf):
+    """The same for a table with timestamps, every row twice."""
+    events = table(spark, sf, "events")
+    keyed = sampling.with_content_key(events.unionByName(events))
+    return keyed.groupBy("occurrence").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("digests"))
+
+
 @query
 def content_keys(spark, sf):
     """Stable keys for rows without one: text digest and copy number."""
@@ -432,7 +440,7 @@ def response_span(spark, sf):
 
 def _budgeted(spark, sf):
     pairs = masking.mask_numina_math(view(spark, sf, "problem"))
-    sized = chat.with_token_lengths(pairs, chat.public_byte_pair(), chat.CHAT_TEMPLATES["im"])
+    sized = chat.with_token_lengths(pairs, chat.pre_tokens, chat.CHAT_TEMPLATES["im"])
     return gate.pinned(sized).filter(chat.within_budget(CHAT_LIMIT))
 
 
@@ -458,10 +466,19 @@ def prompt_training_set(spark, sf):
     """Adaptive mixture, prompt rows within the token budget."""
     n = table(spark, sf, "documents").count()
     recipe = recipes.quotas(FOUR_TIER_SOURCES, verifiable=n // 5, high=n // 5, mid=n // 10, low=n // 10)
-    rows = jobs.prompt_set(
-        view(spark, sf, "subset"), recipe, chat.public_byte_pair(), limit=CHAT_LIMIT
-    )
-    return rows.select("pos", "row_id", "len_prompt", "len_prompt_completion", "prompt", "solution")
+    rows = jobs.prompt_set(view(spark, sf, "subset"), recipe, limit=CHAT_LIMIT)
+    message = F.get("prompt", F.lit(0))
+    return rows.select(
+        "pos", "row_id", "len_prompt", "len_prompt_completion", F.size("prompt").alias("messages"),
+        message["role"].alias("role"), message["content"].alias("content"), "solution",
+    )
+
+
+@query
+def first_rows_training_set(spark, sf):
+    """The first third of the shuffled corpus as chat text, split 98/2."""
+    docs = view(spark, sf, "subset")
+    return jobs.first_rows_set(docs, table(spark, sf, "documents").count() // 3)
 
 
 # ---- rewards --------------------------------------------------------------------------------------------
@@ -644,6 +661,55 @@ def publish_layout(spark, sf):
     )
 
 
+def _published(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("subset"))
+    labelled = sampling.split_by_share(docs, ["doc_id"], pool=F.col("subset"))
+    return writers.publish(labelled, _scratch(spark, "published"), rebalance=True)
+
+
+@query
+def read_one_split(spark, sf):
+    """The test split of one subset, read from its own folder."""
+    return readers.read_subset(spark, _published(spark, sf), "src1", "test", "doc_id bigint, text string")
+
+
+@query
+def read_all_splits(spark, sf):
+    return readers.read_subset(spark, _published(spark, sf), "src1")
+
+
+@query
+def jsonl_plain_tree(spark, sf):
+    """Pairs written as ``<subset>/<split>.jsonl`` and discovered again."""
+    pairs = table(spark, sf, "documents").select(F.col("text").alias("query"), F.col("source").alias("response"), "lang")
+    root = _scratch(spark, "tree")
+    english = F.col("lang").eqNullSafe(F.lit("en"))
+    for subset, rows in (("english", pairs.filter(english)), ("other", pairs.filter(~english))):
+        writers.save_pairs(rows.drop("lang"), root, subset)
+    return readers.read_jsonl_tree(spark, root, "query string, response string")
+
+
+@query
+def gate_split(spark, sf):
+    """Rows that pass the gate and rows set aside."""
+    pairs = view(spark, sf, "rollouts").select("row_id", "query", F.col("completion").alias("response"))
+    good, bad = gate.split_valid(pairs)
+    return good.withColumn("kept", F.lit(True)).unionByName(bad.withColumn("kept", F.lit(False)))
+
+
+@query
+def build_chosen_pairs(spark, sf):
+    """Two subsets by choice."""
+    built = builds.build_pairs(_corpora(spark, sf), ["numina_math", "hk_o1aw"])
+    return built.groupBy("subset").agg(F.count_if("is_valid").alias("pairs"), F.count_if(~F.col("is_valid")).alias("quarantined"))
+
+
+@query
+def qa_absent_column(spark, sf):
+    """An optional column that the table lacks counts as null."""
+    return qa.qa_hk_o1aw(view(spark, sf, "reason").drop("thinking"))
+
+
 def _corpora(spark, sf):
     return {
         "cnn_daily_mail": view(spark, sf, "article"),

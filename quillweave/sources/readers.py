@@ -18,14 +18,20 @@ def _listing(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
+#: tables above this many bytes are never dealt out anew
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the scan has fewer partitions than that.
+    """Rows of a small table dealt over all cores where its scan has fewer partitions than that.
 
-    For work that is heavy per row (masking, tokenizing) on few or large row groups.  A
-    scan with enough partitions, the normal case on a cluster, is left alone.
+    For work that is heavy per row (masking) on a file of one row group.  A table of more
+    than ``SPREAD_BYTES`` is split by its scan (``spark.sql.files.maxPartitionBytes``) and
+    left alone, however many cores there are.
     """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def require_paths(spark: SparkSession, *patterns: str) -> list[str]:
@@ -44,14 +50,15 @@ def read_subset(
 ) -> DataFrame:
     """One subset (and split) of a table partitioned by ``subset`` and ``split``.
 
-    Both are partition columns, so other subsets are never listed or read.  Without
-    ``split`` all splits come together, told apart by the ``split`` column.
+    Only the subset's own folder is listed and read.  Without ``split`` all splits come
+    together, told apart by the ``split`` column.
     """
-    require_paths(spark, f"{root}/subset={subset}")
-    reader = spark.read
+    folder = f"{root}/subset={subset}"
+    require_paths(spark, folder)
+    reader = spark.read.option("basePath", root)
     if schema is not None:
         reader = reader.schema(f"{schema}, subset string, split string")
-    df = reader.parquet(root).where(F.col("subset") == subset)
+    df = reader.parquet(folder).where(F.col("subset") == subset)
     return df if split is None else df.where(F.col("split") == split)
 
 
@@ -67,7 +74,8 @@ def read_split_shards(spark: SparkSession, root: str, split: str, schema: str |
         if "UNABLE_TO_INFER_SCHEMA" in str(problem):
             raise FileNotFoundError(f"no parquet files of split {split!r} under {root}") from problem
         raise
-    if not df.inputFiles():
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{split}-*.parquet")
+    if files.load(root).select("path").isEmpty():
         raise FileNotFoundError(f"no parquet files of split {split!r} under {root}")
     return df
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +13,19 @@ from quillweave.operators.gate import PAIR_COLUMNS, check_columns
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder all executors can reach: the one the cluster names in
-    ``spark.checkpoint.dir``, or a fresh temporary one where that is unset (tests)."""
+    """The folder all executors share, as named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder, removed at exit, if Spark runs on one machine;
+    on a cluster that is an error, since every executor would write to its own disk.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="quillweave-")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="quillweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "errorifexists") -> str:

@@ -43,9 +43,9 @@ def test_budget_arithmetic(spark, limit, prompt, total):
 
 
 def test_token_lengths_are_the_tokenizers(spark, plan_of):
-    loader = chat.public_byte_pair()
+    loader = chat.BytePairLoader("plain", public.PATTERN, public.path("byte_bpe_50k.tiktoken"))
     count = loader()
-    sized = chat.with_token_lengths(pairs(spark), loader, IM)
+    sized = chat.with_token_lengths(pairs(spark), chat.token_counter(loader), IM)
     for r in sized.collect():
         prompt = f"<|im_start|>user\n{r['query']}<|im_end|>\n<|im_start|>assistant\n"
         whole = f"{prompt}{r['response']}<|im_end|>\n"
@@ -54,6 +54,13 @@ def test_token_lengths_are_the_tokenizers(spark, plan_of):
     assert plan_of(kept).count("ArrowEvalPython") == 1
 
 
+def test_pre_tokens(spark, plan_of):
+    df = spark.createDataFrame([("",), (None,), ("a b-c 12,5\n\té中!",)], "t string").select(chat.pre_tokens(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [0, 0, 9]
+    sized = chat.with_token_lengths(pairs(spark), chat.pre_tokens, IM)
+    assert "Python" not in plan_of(sized.filter(chat.within_budget(4096)))
+
+
 def test_special_tokens_count_once():
     loader = chat.BytePairLoader(
         "s", public.PATTERN, public.path("byte_bpe_50k.tiktoken"), {"<|im_start|>": 60_000}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -184,3 +185,13 @@ def test_delimiters_are_parameters(spark):
 def test_null_content_makes_the_tag_null(spark):
     tag_ = G.render(id=0, content=F.lit(None).cast("string"))
     assert spark.range(1).select(tag_).first()[0] is None
+
+
+def test_many_tags_are_filled_in_seconds(spark):
+    n = 50_000
+    query = "<|M_INPUT|>" + "<|MASKED|><|/MASKED|>" * n + "<|/M_INPUT|>"
+    given = [f'<|MASKED id="m_{i}"|>{i}<|/MASKED|>' for i in range(n - 1, -1, -1)] + ['<|MASKED id="m_0"|>late<|/MASKED|>']
+    df = spark.createDataFrame([(query, "<|M_OUTPUT|>" + "".join(given) + "<|/M_OUTPUT|>")], "q string, r string")
+    began = time.time()
+    filled = df.select(TagGrammar().infill_lenient(F.col("q"), F.col("r"))).first()[0]
+    assert [t["content"] for t in filled] == [str(i) for i in range(n)] and time.time() - began < 60

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -177,7 +178,9 @@ def test_two_part_and_solution_and_chain_variants(spark):
         }.items()],
     )
     for build, variants in (
-        (masking.mask_kaist_cot, 12), (masking.mask_numina_math, 48), (masking.mask_o1_journey, 12),
+        (masking.mask_kaist_cot, len(W.rationale_lead) * len(W.target_lead)),
+        (masking.mask_numina_math, len(W.solution_desc) * len(W.solution_layout)),
+        (masking.mask_o1_journey, len(W.chain_desc) * len(W.answer_desc)),
     ):
         pairs = build(df)
         assert pairs.select("query").distinct().count() == variants
@@ -247,3 +250,17 @@ def test_masking_is_one_stage(spark, plan_of, tmp_path):
     plan = plan_of(masking.mask_cnn_daily_mail(spark.read.parquet(str(tmp_path / "t"))))
     assert "Exchange" not in plan and "Python" not in plan
     assert "struct<row_id:bigint,article:string>" in plan
+
+
+def test_many_unclosed_tags_take_no_long(spark):
+    text = "<p>" * 50_000 + "<output> yes </output>" + "<output>" * 1000
+    df = spark.createDataFrame([(text,), ("<output>a" * 20_000 + "</output>",)], "t string")
+    began = time.time()
+    rows = [r[0]["output"] for r in df.select(masking.extract_tags(F.col("t"))).collect()]
+    assert rows == ["yes", "<output>".join(["a"] * 20_000)] and time.time() - began < 60
+
+
+def test_unclosed_tags_do_not_swallow(spark):
+    cases = {"<a><output>x</output>": "x", "</a><a><output>x</output>": "x", "<a><output>x</output></a>": "", "<output>1</output><a><output>2</output>": "2"}
+    df = spark.createDataFrame(list(cases.items()), "t string, w string")
+    assert all(r[0]["output"] == r[1] for r in df.select(masking.extract_tags(F.col("t")), "w").collect())

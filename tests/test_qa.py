@@ -82,13 +82,13 @@ def test_conversation_pairs_from_lists_and_from_rows(spark):
     assert got == wanted
 
 
-def test_conversation_rows_and_a_conversation_too_large_for_one(spark):
-    data = [(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "x" * 40), (2, 1, "y" * 40), (3, 5, "é")]
+def test_conversation_rows_keep_every_turn(spark):
+    data = [(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "x" * 40_000), (2, 1, "y" * 40_000), (3, 5, "é"), (4, 1, "q"), (4, 1, "p")]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, text string")
-    got = {r["conv_id"]: r["conversations"] for r in conversation_rows(df, limit=50).collect()}
-    assert got == {1: ["a", "b", "c"], 2: None, 3: ["é"]}
-    pairs = gate.with_validity(MASKERS["lima"](conversation_rows(df, limit=50), ["conv_id"]))
-    assert {r["conv_id"]: r["is_valid"] for r in pairs.collect()} == {1: True, 2: False, 3: False}
+    got = {r["conv_id"]: r["conversations"] for r in conversation_rows(df).collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["x" * 40_000, "y" * 40_000], 3: ["é"], 4: ["p", "q"]}
+    pairs = gate.with_validity(MASKERS["lima"](conversation_rows(df), ["conv_id"]))
+    assert {r["conv_id"]: r["is_valid"] for r in pairs.collect()} == {1: True, 2: True, 3: False, 4: True}
 
 
 def test_builds(spark):

@@ -23,7 +23,7 @@ def con():
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"token_budget", "token_max", "prompt_training_set"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -37,39 +37,6 @@ def test_query(spark, con, name):
         assert mine == as_rows(result.columns, result.fetchall())
 
 
-def test_token_queries_by_brute_force(spark, con):
-    """No SQL can tokenize, so the three queries are checked row by row in Python."""
-    from quillweave.operators.chat import public_byte_pair
-    from quillweave.plans.queries import CHAT_LIMIT
-
-    count = public_byte_pair()()
-
-    def lengths(query, response):
-        prompt = f"<|im_start|>user\n{query}<|im_end|>\n<|im_start|>assistant\n"
-        return tuple(count([prompt, f"{prompt}{response}<|im_end|>\n"]))
-
-    def fits(n):
-        return n[0] <= CHAT_LIMIT * 2 // 3 and n[1] <= CHAT_LIMIT - 256
-
-    pairs = con.sql(f"select row_id, query, response from ({ORACLES['mask_solution']})").fetchall()
-    wanted = {k: n for k, q, r in pairs if fits(n := lengths(q, r))}
-    got = {r["row_id"]: (r[1], r[2]) for r in QUERIES["token_budget"](spark, FOLDER).collect()}
-    assert got == wanted and 0 < len(got) < len(pairs)
-    (top,) = QUERIES["token_max"](spark, FOLDER).collect()
-    longest = max(n[0] for n in wanted.values())
-    assert tuple(top) == (longest, max(n[1] for n in wanted.values()), longest + 1, CHAT_LIMIT - longest - 2)
-
-    rows = QUERIES["prompt_training_set"](spark, FOLDER).collect()
-    docs = dict(con.sql("select doc_id, text from documents").fetchall())
-    for r in rows:
-        assert r["prompt"] == [("user", docs[r["row_id"]])]
-        assert r["solution"] == docs[r["row_id"]].split("\n")[0]
-        n = lengths(r["prompt"][0]["content"], r["solution"])
-        assert (r["len_prompt"], r["len_prompt_completion"]) == n and fits(n)
-    total = len(docs)
-    assert len({r["pos"] for r in rows}) == len(rows) < total // 5 * 2 + total // 10 * 2
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -81,7 +81,10 @@ def test_unknown_reward(rollouts):
         (r"\boxed{7}", "7", True), (r"\frac{3}{6}", "1/2", True), ("-1/2", "-0.5", True),
         ("1/3", "0.333333", False), ("1/0", "1/0", False), ("x", "x+0", False), ("1", "2", False),
         ("0.1234567890123", "0.1234567890124", False), ("12345678901234567890.5", "12345678901234567890.50", True),
-        ("0.1234567/1", "0.1234568", False), ("", "", False), (None, None, False), ("1", None, False),
+        ("0.1234567/1", "0.1234568", False), ("", "", False), ("3.14159265358979", "3.141592653589790", True), ("1/-2", "-.5", True), ("1.", "1", True),
+        ("10000000000000/20000000000000", "1/2", True), ("123456789012345678901234567.0", "123456789012345678901234567", True),
+        ("0.1234567", "1234567/10000000", True), ("1" * 60 + "/3", "2" * 60 + "/6", True), ("1" * 60 + "/3", "2" * 59 + "1/6", False),
+        ("-0", "0", True), ("0/7", "0/9", True), (None, None, False), ("1", None, False),
     ],
 )
 def test_numeric_equality(spark, a, b, same):

@@ -142,7 +142,9 @@ def test_split_is_a_partition_with_ceiled_share(spark):
 
 def test_split_and_sample_move_no_rows(spark, plan_of):
     df = keys(spark)
-    assert "Exchange" not in plan_of(sampling.split_by_share(df, ["k"], pool=F.col("pool")))
+    # the cuts, one row per pool, come to the rows; only counts and cut cells are exchanged
+    plan = plan_of(sampling.split_by_share(df, ["k"], pool=F.col("pool")))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
     assert "Exchange" not in plan_of(sampling.head_n(df, ["k"], 20))
 
 
@@ -170,6 +172,31 @@ def test_content_keys_number_copies(spark):
         }
 
 
+def test_many_pools_and_a_null_one(spark):
+    df = spark.range(12_000).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 3001).alias("pool"))
+    rows = sampling.split_by_share(df, ["k"], pool=F.col("pool")).collect()
+    sizes, tests = Counter(r["pool"] for r in rows), Counter(r["pool"] for r in rows if r["split"] == "test")
+    assert len(rows) == 12_000 and len(sizes) > 3000
+    assert all(tests[p] == -(-n // 10) for p, n in sizes.items()) and tests[None] == 300
+
+
+def test_null_keys_are_drawn(spark):
+    df = spark.createDataFrame([(k, f"t{k}") for k in [None, *range(50)]], "k bigint, t string")
+    assert sampling.sample_adaptive(df, ["k"], 51).count() == 51
+    assert sampling.sample_with_replacement(df, ["k"], 5100).count() == 5100
+    assert sampling.sample_per_pool(df, ["k"], F.lit(None).cast("string"), lambda n: n).count() == 51
+
+
+def test_content_keys_see_microseconds_and_nested_nulls(spark):
+    df = spark.sql(
+        "select timestamp'2024-01-01 00:00:00.000001' as t, named_struct('a', 1, 'b', cast(null as int)) as s union all "
+        "select timestamp'2024-01-01 00:00:00.000002', named_struct('a', 1, 'b', cast(null as int)) union all "
+        "select timestamp'2024-01-01 00:00:00.000001', named_struct('a', cast(null as int), 'b', 1)"
+    )
+    rows = sampling.with_content_key(df).collect()
+    assert len({r["digest"] for r in rows}) == 3 and len({(r["t"], r["s"]) for r in rows}) == 3
+
+
 def test_repeat(spark):
     rows = sampling.repeat(keys(spark, 4), F.when(F.col("k") == 2, 3).otherwise(1)).collect()
     assert sorted((r["k"], r["copy"]) for r in rows) == [(0, 1), (1, 1), (2, 1), (2, 2), (2, 3), (3, 1)]

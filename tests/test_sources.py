@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,11 +101,14 @@ def test_tolerant_reader(spark, tmp_path):
 
 def test_scratch_follows_the_cluster(spark, tmp_path):
     class Session:
-        def __init__(self, folder):
+        def __init__(self, folder, master="local[4]"):
             self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = SimpleNamespace(master=master)
 
     assert writers.scratch_root(Session(f"{tmp_path}/")) == str(tmp_path)
     assert writers.scratch_root(Session(None)) != writers.scratch_root(Session(None))
+    with pytest.raises(ValueError):
+        writers.scratch_root(Session(None, "yarn"))
 
 
 def test_check_columns(spark):

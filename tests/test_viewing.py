@@ -23,6 +23,16 @@ def test_page(spark, start, size):
     assert got == [(i, k, str(k)) for i, k in enumerate(keys)][start : start + size]
 
 
+@pytest.mark.parametrize("few", [3, 20_000])
+def test_page_of_outliers_and_full_range(spark, monkeypatch, few):
+    monkeypatch.setattr(viewing, "FEW_ROWS", few)
+    keys = sorted([-(1 << 63), (1 << 63) - 1, *range(0, 4000, 3), 10**15, 10**15 + 1])
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "k bigint")
+    for start, size in ((0, 2), (500, 7), (len(keys) - 3, 10)):
+        got = sorted((r["rank"], r["k"]) for r in viewing.page(df, "k", start, size).collect())
+        assert got == list(enumerate(keys))[start : start + size]
+
+
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         viewing.page(spark.range(3), "id", -1, 2)
