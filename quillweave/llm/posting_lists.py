@@ -158,7 +158,7 @@ def nearest(
     vector: str = "embedding",
     copies: int = 4,
     spread: float = 1.15,
-    reach: float = 1.22,
+    reach: float = 1.3,
     share: float = 0.5,
 ) -> DataFrame:
     """query_id, rank, vec_id, score (cosine): each query's ``k`` nearest found, nearest first.
