@@ -7,12 +7,11 @@ of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.llm import bpe_stream, fm_quality, jaccard_join, mixing_fill
-from quillweave.llm.common import keep, table
+from quillweave.llm.common import keep, table, tokenizer_file
 
 #: documents that score below go
 QUALITY = 0.7
@@ -36,7 +35,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit little-endian) and the digest of the decoded text."""
-    coded = bpe_stream.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe_stream.encode_decode(docs, tokenizer_file("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of an installed public vocabulary; only queries that take one need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
-from quillweave.llm.common import table
-
+from quillweave.llm.common import table, tokenizer_file
 
 EVERY_50TH = "vec_id % 50 = 0"
 
@@ -25,12 +23,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe_stream.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_stream.encode_digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_count.over_limit(token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return token_count.over_limit(token_count.token_counts(docs, tokenizer_file("piece_bpe_32k.model")))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
