@@ -32,8 +32,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType
 
 from quillweave.llm.common import ship, text_rows, whole_text
 
-#: runs between white space, and words, whose identifiers a Python worker remembers before it starts afresh
-REMEMBERED = 300_000
+#: runs between white space, and words, whose identifiers a task remembers before it starts afresh
+REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
 #: identifiers decoded at a time, and characters of a text taken at a time
 BLOCK = 8192
@@ -176,6 +176,11 @@ class StreamEncoder:
         self._chunks: dict[str, bytes] = {}
         self._known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the tables of what was encoded lately; a worker may go on to other work."""
+        self._chunks.clear()
+        self._known.clear()
+
     def _chunk(self, chunk: str) -> bytes:
         """Identifiers of a run without white space, as little-endian 32-bit numbers."""
         known = self._chunks.get(chunk)
@@ -336,5 +341,6 @@ def _mapped(df: DataFrame, path: str, key: str, text: str, digests: bool) -> Dat
             columns = [keys, *map(list, zip(*rows))]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        encoder.forget()
 
     return df.select(F.col(key), whole_text(text).alias("_text")).mapInArrow(run, schema)
