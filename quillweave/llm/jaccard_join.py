@@ -30,6 +30,7 @@ N-grams are 64-bit hashes; a set is named by a 64-bit hash of its n-grams.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -120,18 +122,21 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, who
     """One pass over the texts: a row for each document, and packed n-grams for each block of documents and bucket.
 
     The n-grams are prefixes, or with ``whole`` the sets, which the documents' rows then hold too.
+    A block's id is its partition and its number there, so blocks with equal rows stay apart; the
+    result is to be written before it is read twice.
     """
     bits = buckets.bit_length() - 1
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
+                block = next(blocks)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = [name_of(s) for s in sets]
-                block = name_of(np.frombuffer(repr((names, start, part.column(0).to_pylist()[:8])).encode(), np.uint8))
                 first = {s: i for i, s in reversed(list(enumerate(names)))}  # equal sets of a block count once
                 mine = [i for i in first.values() if len(sets[i])]
                 if not mine:

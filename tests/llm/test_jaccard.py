@@ -95,6 +95,17 @@ def test_large_group_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
+def test_repeated_row_alone_in_two_partitions(spark):
+    """Blocks with the same rows stay apart: the row's n-grams count once, and its near copy is linked."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (3, near)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id bigint, text string")
+    assert df.rdd.glom().map(len).collect() == [1, 1, 1]
+    assert as_rows(jaccard_join.linked(df)) == brute(rows)
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(df).collect()] == [3]
+
+
 def test_linked_odd_rows(odd_documents, no_documents):
     assert as_rows(jaccard_join.linked(odd_documents)) == brute(TEXTS)
     assert jaccard_join.linked(no_documents).collect() == []
