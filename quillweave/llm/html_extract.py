@@ -8,7 +8,8 @@ A word's score is the naive-Bayes log odds of the tags and class names around it
 cost the log odds of meeting it outside content.  Counts are taken over all pages, in a
 table of hashed cues, and added up map-side.
 
-Inside the region, what stands in something that is never content is left out.
+Inside the region, what stands in something that is never content is left out.  It doesn't end
+the region inside content, nor anywhere on a page whose ``article`` or ``main`` holds no words.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ NEVER_NAMES = frozenset(
 )
 #: only outside of content
 PAGE_NAMES = frozenset("header masthead".split())
+#: a name with one of these parts is about the layout of what it's on (no-sidebar, has-header, content-sidebar-wrap, ad-free)
+LAYOUT = frozenset("no not non without with has is content free".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -79,11 +82,16 @@ class Walk:
 
     def _push(self, name: str, attributes: str) -> None:
         words: set[str] = set()
+        said: set[str] = set()
         for m in _NAMED.finditer(attributes) if attributes else ():
-            words.update(re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
-        content = name in CONTENT and not words & NEVER_NAMES
-        never = name in NEVER_TAGS or bool(words & NEVER_NAMES)
-        if not self.content and (name == "header" or words & PAGE_NAMES):
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = re.findall(r"[a-z]+", token)
+                words.update(parts)
+                if LAYOUT.isdisjoint(parts):
+                    said.update(parts)
+        content = name in CONTENT and not said & NEVER_NAMES
+        never = name in NEVER_TAGS or bool(said & NEVER_NAMES)
+        if not self.content and (name == "header" or said & PAGE_NAMES):
             never = True
         if name in ("html", "body"):
             never = False  # a class of the whole page says nothing
@@ -195,6 +203,13 @@ def count_cues(page: str, table: np.ndarray) -> None:
             table[0, where, list(cues)] += n
 
 
+def _odds(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log odds of content against outside, smoothed towards equal rates: 0 for what was never counted."""
+    total = np.maximum(total, 1.0)
+    rate = counts / total[:, None] + 1 / total.sum()
+    return np.log(rate[1] / rate[0])
+
+
 class Weights:
     """Log odds of content from counts; without labelled pages every word scores 1 and every tag costs 1."""
 
@@ -202,10 +217,8 @@ class Weights:
         around, words, tags = table.astype(np.float64)
         total = words[:, 0]
         self.learned = bool(total.all())
-        rate = (around + 0.5) / (total[:, None] + 1.0)
-        self.cue = np.clip(np.log(rate[1] / rate[0]), -MOST, MOST) if self.learned else np.zeros(SLOTS)
-        share = (tags + 1) / (tags.sum(axis=1, keepdims=True) + 2)
-        self.cost = np.clip(np.log(share[0] / share[1]), 0.1, MOST) if self.learned else np.ones(SLOTS)
+        self.cue = np.clip(_odds(around, total), -MOST, MOST) if self.learned else np.zeros(SLOTS)
+        self.cost = np.clip(-_odds(tags, tags.sum(axis=1)), 0.1, MOST) if self.learned else np.ones(SLOTS)
 
     def word(self, cues: tuple[int, ...], never: bool) -> float:
         if never:
@@ -231,9 +244,10 @@ def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best region, one a line, white space inside them brought to one space."""
     items = list(Walk(page))
     known: dict[tuple, float] = {}
+    labelled = any(kind == "words" and content and not never and not value.isspace() for kind, value, _, content, never in items)
     scores = []
     for kind, value, cues, content, never in items:
-        if content and never:
+        if never and (content or not labelled):
             scores.append(0.0)  # passed over: neither content nor a reason to end it
             continue
         if kind == "tag":

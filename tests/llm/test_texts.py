@@ -151,6 +151,26 @@ def test_main_text(spark):
     assert html_extract.extract(df.filter("false")).collect() == []
 
 
+def test_pages_without_article():
+    """Unknown names are neutral, an advert in the middle ends nothing, and a layout's name is no sidebar."""
+    r = random.Random(5)
+    table = np.zeros((3, 2, html_extract.SLOTS), np.int64)
+    for _ in range(20):
+        html_extract.count_cues(page("<h1>Some title</h1>" + "".join(f"<p>{prose(r, 20)}</p>" for _ in range(4))), table)
+    weights = html_extract.Weights(table)
+    assert (weights.cue[table[0].sum(axis=0) == 0] == 0).all()
+    halves = [[prose(r, 30) for _ in range(2)] for _ in range(2)]
+    first, second = ("".join(f"<p>{t}</p>" for t in half) for half in halves)
+    want = "\n".join(halves[0] + halves[1])
+    advert = f'<div class="ad-slot">{prose(r, 60)}</div>'
+    for wrapper in ('class="qqwrap"', 'class="no-sidebar"', 'id="content-sidebar-wrap"'):
+        body = f'<div {wrapper}><div class="zzinner">{first}{advert}{second}</div></div>'
+        assert html_extract.main_text(page(body, "section"), weights) == want
+    # a page with an article still ends where it ends
+    body = f"<p>{halves[0][0]}</p>{advert}<p>{halves[1][0]}</p>"
+    assert html_extract.main_text(page(body), weights) == f"{halves[0][0]}\n{halves[1][0]}"
+
+
 @pytest.mark.parametrize("text", ["<div>" * 30_000, "<p>a<b" * 20_000, "<script>" * 20_000, "<" * 50_000, "</p>" * 30_000, "<li>x" * 20_000, '<a "' * 5_000])
 def test_hostile_pages_take_no_long(text):
     html_extract.main_text(text, html_extract.Weights(np.zeros((3, 2, html_extract.SLOTS), np.int64)))
