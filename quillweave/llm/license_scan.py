@@ -13,6 +13,10 @@ exact set-similarity join of templates and windows:
   still be ``need`` distinct ones; then a linear slide verifies each window.
 
 Base phrases (places where words stand consecutively) are found beside it and keep their labels.
+
+Labels are those of all templates contained so far, not the license that holds: templates that
+differ in a word are not told apart (CC BY-NC lines are also labelled cc-by, the long CC BY
+sentence also cc-by-nc), and of a license only the parts that are templates are found.
 """
 
 from __future__ import annotations
