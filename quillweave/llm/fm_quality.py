@@ -158,17 +158,19 @@ def fit(
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stated, labels, order = (batch.column(i).to_pylist() for i in range(4))
-            pairs = [features(t, s) for t, s in zip(texts, stated)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32())), pa.array(labels, pa.int32()), pa.array(order, pa.int64())],
-                names=["slots", "vals", "label", "ord"],
-            )
-
-    # at most ``rows`` small rows, so the broadcast is bounded; keys that repeat are cut to the bound again
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts, stated, labels, order = (part.column(i).to_pylist() for i in range(4))
+                pairs = [features(t, s) for t, s in zip(texts, stated)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32())), pa.array(labels, pa.int32()), pa.array(order, pa.int64())],
+                    names=["slots", "vals", "label", "ord"],
+                )
+
+    # at most ``rows`` small rows, so the broadcast is bounded; keys that repeat are cut to the bound again,
+    # as rows of features: whole texts are not moved
     chosen = docs.join(F.broadcast(drawn), key).select(*_inputs(docs, text, stated), "_label", F.xxhash64(key, text).alias("_ord"))
-    chosen = chosen.orderBy("_ord").limit(rows)
-    got = chosen.mapInArrow(featurise, "slots array<int>, vals array<float>, label int, ord bigint").orderBy("ord").toArrow()
+    got = chosen.mapInArrow(featurise, "slots array<int>, vals array<float>, label int, ord bigint").orderBy("ord").limit(rows).toArrow()
     machine = FactorisationMachine()
     data = [(np.asarray(s, np.int32), np.asarray(v, np.float32)) for s, v in zip(got.column("slots").to_numpy(), got.column("vals").to_numpy())] if got.num_rows else []
     machine.fit(data, got.column("label").to_numpy().astype(np.float64) if got.num_rows else np.empty(0))

@@ -59,6 +59,17 @@ def test_labels_of_held_out_rows_are_not_read(labelled):
     assert np.array_equal(a.weight, b.weight) and np.array_equal(a.factor, b.factor)
 
 
+def test_fit_moves_no_texts(labelled, plan_of, monkeypatch):
+    """Texts become features where they are read; only rows of features are ordered and cut."""
+    docs, labels = labelled
+    plans, of = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: plans.append(plan_of(df)) or of(df))
+    fm_quality.fit(docs, labels, rows=100)
+    (plan,) = plans
+    assert "MapInArrow" in plan
+    assert not [line for line in plan.splitlines() if "_text#" in line and ("TakeOrdered" in line or "Sort" in line or "Exchange" in line)]
+
+
 def test_quality_of_odd_rows(odd_documents, no_documents, labelled):
     machine = fm_quality.fit(*labelled)
     rows = fm_quality.score(odd_documents, machine).collect()
