@@ -72,14 +72,18 @@ def qa_from_turns(turns: DataFrame, conv: str = "conv_id", pos: str = "pos", tex
     """The same rows from one-turn-per-row tables.
 
     Grouping is by (conversation, pair), so a conversation of any length spreads over all
-    tasks and no list of its turns is ever built.
+    tasks and no list of its turns is ever built.  A position that a conversation has twice
+    fails the job, since one of its turns would be left out.
     """
     pair = F.floor(F.col(pos) / 2).cast("bigint")
     half = F.col(pos) % 2
-    grouped = turns.groupBy(conv, pair.alias("pair")).agg(
-        F.max(F.when(half == 0, F.col(text))).alias("_q"),
-        F.max(F.when(half == 1, F.col(text))).alias("_a"),
-    )
+
+    def only(side: int):
+        repeated = F.count(F.when(half == side, F.lit(1))) > 1
+        error = F.raise_error(F.lit(f"{pos} repeats within a conversation"))
+        return F.when(repeated, error).otherwise(F.max(F.when(half == side, F.col(text))))
+
+    grouped = turns.groupBy(conv, pair.alias("pair")).agg(only(0).alias("_q"), only(1).alias("_a"))
     return _rows(grouped, (conv, "pair"), canonical(F.col("_q")), canonical(F.col("_a")))
 
 

@@ -171,13 +171,13 @@ def hash_rank(
 
 
 def dense_position(
-    df: DataFrame, by: Sequence[str], order: str, *, out: str = "pos", span: int = 4096
+    df: DataFrame, by: Sequence[str], order: str, *, ties: Sequence[str] = (), out: str = "pos", span: int = 4096
 ) -> DataFrame:
     """0-based position by a whole-number ``order`` column within each group.
 
-    Groups are cut into chunks of ``span`` order values, so one huge group spreads out.
+    Equal or null numbers are ordered by the columns ``ties``.  Groups are cut into chunks of ``span`` order values, so one huge group spreads out.
     """
-    return bucketed_rank(df, by, F.floor(F.col(order) / span), [F.col(order)], out)
+    return bucketed_rank(df, by, F.floor(F.col(order) / span), [F.col(order), *[F.col(c) for c in ties]], out)
 
 
 # ---- first k of each pool --------------------------------------------------------------

@@ -70,7 +70,7 @@ def qa_rationale(spark, sf):
 
 
 def _positions(spark, sf):
-    return sampling.dense_position(view(spark, sf, "turns"), ["conv_id"], "turn")
+    return sampling.dense_position(view(spark, sf, "turns"), ["conv_id"], "turn", ties=["text"])
 
 
 @query

@@ -82,6 +82,12 @@ def test_conversation_pairs_from_lists_and_from_rows(spark):
     assert got == wanted
 
 
+def test_repeated_positions_are_refused(spark):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "c")], "conv_id bigint, pos bigint, text string")
+    with pytest.raises(Exception, match="repeats within a conversation"):
+        qa.qa_from_turns(turns).collect()
+
+
 def test_conversation_rows_keep_every_turn(spark):
     data = [(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "x" * 40_000), (2, 1, "y" * 40_000), (3, 5, "é"), (4, 1, "q"), (4, 1, "p")]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, text string")

@@ -148,6 +148,15 @@ def test_split_and_sample_move_no_rows(spark, plan_of):
     assert "Exchange" not in plan_of(sampling.head_n(df, ["k"], 20))
 
 
+def test_dense_position_orders_equal_numbers_by_text(spark):
+    texts = [f"t{i:03}" for i in range(60)]
+    rows = [(1, None if i < 20 else 7, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows[::-1], "g bigint, t bigint, text string")
+    for parts in (1, 5):
+        got = {r["text"]: r["pos"] for r in sampling.dense_position(df.repartition(parts), ["g"], "t", ties=["text"]).collect()}
+        assert [got[t] for t in texts] == list(range(60))
+
+
 def test_dense_position_of_a_long_group(spark):
     rng = random.Random(0)
     data = [("hot", t) for t in rng.sample(range(0, 20000), 3000)] + [("b", 3), ("b", 1), ("c", -5000)]
