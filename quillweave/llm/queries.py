@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, turn_repair, vectors
 from quillweave.llm.common import table, tokenizer_file
 
 EVERY_50TH = "vec_id % 50 = 0"
@@ -67,6 +67,11 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(rows).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_posting_lists": op1_posting_lists,
     "op2_license_scan": op2_license_scan,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
