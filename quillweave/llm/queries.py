@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, turn_repair, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, token_overlap, turn_repair, vectors
 from quillweave.llm.common import table, tokenizer_file
 
 EVERY_50TH = "vec_id % 50 = 0"
@@ -72,6 +72,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(rows).withColumnRenamed("conv", "conv_id")
 
 
+def op12_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_overlap.overlaps(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_posting_lists": op1_posting_lists,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_shards": op10_hilbert_shards,
     "op11_turn_repair": op11_turn_repair,
+    "op12_token_overlap": op12_token_overlap,
 }
 
 ORACLES: dict[str, str] = {
