@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, license_scan, mixing_fill, posting_lists, segment_topk, token_count, token_overlap, turn_repair, vectors
+from quillweave.llm import bpe_stream, fm_quality, hilbert, html_extract, jaccard_join, lang_gru, license_scan, mixing_fill, posting_lists, segment_topk, token_count, token_overlap, turn_repair, vectors
 from quillweave.llm.common import table, tokenizer_file
 
 EVERY_50TH = "vec_id % 50 = 0"
@@ -77,6 +77,12 @@ def op12_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_overlap.overlaps(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_lang_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = lang_gru.predict(docs, lang_gru.fit(docs))
+    return said.select("doc_id", fm_quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_posting_lists": op1_posting_lists,
     "op2_license_scan": op2_license_scan,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_shards": op10_hilbert_shards,
     "op11_turn_repair": op11_turn_repair,
     "op12_token_overlap": op12_token_overlap,
+    "op13_lang_gru": op13_lang_gru,
 }
 
 ORACLES: dict[str, str] = {
