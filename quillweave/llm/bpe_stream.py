@@ -5,7 +5,9 @@ a symbol, each of a higher rank than the one before and each reaching one left p
 ``lookahead`` follows these chains through the merge list once and returns how many symbols
 they can reach.  The transducer keeps a window of symbols, merges it, and emits the tokens
 that end further than that from the window's end; they are stable.  What is left begins the
-next window, so memory does not depend on the length of a word.
+next window, so the transducer's memory does not depend on the length of a word.  (The text is
+a cell and held anyway; of it, the longest run without white space is also held normalised.)
+Words met lately are looked up; the table has two generations of bounded size.
 
 **Decoding.**  Pieces are bytes; an incremental UTF-8 state machine turns them into text as
 identifiers arrive, holding back only an unfinished character.
@@ -32,9 +34,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType
 
 from quillweave.llm.common import ship, text_rows, whole_text
 
-#: runs between white space, and words, whose identifiers a task remembers before it starts afresh
+#: runs between white space, and words, whose identifiers a task remembers: of the latest, and of those before
 REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
+#: bytes of a word that is merged by identifiers, at once
+SHORT = 64
 #: identifiers decoded at a time, and characters of a text taken at a time
 BLOCK = 8192
 
@@ -52,6 +56,10 @@ class MergeList:
     def __init__(self, merges: Iterable[tuple[str, str]], vocab: dict[str, int]):
         self.vocab = vocab
         self.rank = {(a, b): k for k, (a, b) in enumerate(merges)}
+        # the same by identifiers: a pair's number to its rank and result in one number
+        self.shift = max(vocab.values(), default=1).bit_length()
+        known = ((k, vocab.get(a), vocab.get(b), vocab.get(a + b)) for (a, b), k in self.rank.items())
+        self.pairs = {a << self.shift | b: k << self.shift | c for k, a, b, c in known if None not in (a, b, c)}
 
     def lookahead(self, suffix: str = "") -> int:
         """Symbols after a token's end that can still change it.
@@ -72,6 +80,22 @@ class MergeList:
             most = max(most, reach)
         return most + max(map(width, self.vocab), default=1)
 
+    def merge_ids(self, ids: list[int]) -> list[int]:
+        """As ``merge`` for a short chain of identifiers, each symbol and merge being in the vocabulary."""
+        get, shift = self.pairs.get, self.shift
+        none = len(self.rank) << shift
+        result = (1 << shift) - 1
+        ranks = [get(a << shift | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            whole = ids[at] = best & result
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << shift | whole, none)
+            if at < len(ranks):
+                ranks[at] = get(whole << shift | ids[at + 1], none)
+        return ids
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Tokens of a chain of symbols: lowest rank first, ties leftmost first."""
         rank = self.rank
@@ -173,48 +197,68 @@ class StreamEncoder:
         self._words = regex.compile(splits[0]["pattern"]["Regex"])
         self._space = regex.compile(r"\s+")
         self._symbols = byte_symbols()
-        self._chunks: dict[str, bytes] = {}
-        self._known: dict[str, bytes] = {}
+        # identifiers of single bytes within a word and at its end, if the vocabulary has them and all merges
+        ends = [[self.vocab.get(x + tail) for x in self._symbols] for tail in ("", self.suffix)]
+        self._bytes = ends if None not in ends[0] + ends[1] and len(self.merges.pairs) == len(self.merges.rank) else None
+        self._letters_stay = all(self._words.findall(x) == [x] for x in ("abcdefghijklmnopqrstuvwxyz", "a", "the"))
+        self.forget()
 
     def forget(self) -> None:
         """Empties the tables of what was encoded lately; a worker may go on to other work."""
-        self._chunks.clear()
-        self._known.clear()
+        self._latest: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _chunk(self, chunk: str) -> bytes:
         """Identifiers of a run without white space, as little-endian 32-bit numbers."""
-        known = self._chunks.get(chunk)
-        if known is not None:
-            return known
-        # lower case is taken character by character: no rule for a word's last sigma
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = b"".join([self._word(word.group()) for word in self._words.finditer(plain)])
-        return self._remember(self._chunks, chunk, ids)
+        known = self._before.get(chunk)
+        if known is None:
+            if chunk.isascii():
+                plain = chunk.lower()
+                if plain.isalpha() and self._letters_stay:
+                    return self._word(plain) if plain == chunk else self._remember(chunk, self._word(plain))
+            else:
+                # lower case is taken character by character: no rule for a word's last sigma
+                plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            known = b"".join([self._word(word.group()) for word in self._words.finditer(plain)])
+        return self._remember(chunk, known)
 
     def _word(self, word: str) -> bytes:
-        known = self._known.get(word)
+        # letters of ASCII alone are a run of their own with the same identifiers; other words get a name no run has
+        name = word if word.isascii() and word.isalpha() else " " + word
+        known = self._latest.get(name)
         if known is not None:
             return known
+        known = self._before.get(name)
+        return self._remember(name, self._merged(word) if known is None else known)
+
+    def _merged(self, word: str) -> bytes:
+        data = word.encode()
+        if self._bytes is not None and len(data) <= SHORT:
+            inside, last = self._bytes
+            ids = [inside[b] for b in data]
+            ids[-1] = last[data[-1]]
+            return array("I", self.merges.merge_ids(ids)).tobytes()
         out = array("I")
         transducer = WordTransducer(self.merges, self.suffix, self.lookahead)
         for start in range(0, len(word), BLOCK):
             symbols = "".join([self._symbols[b] for b in word[start : start + BLOCK].encode()])
             out.extend([self.vocab[t] for t in transducer.push(symbols)])
         out.extend([self.vocab[t] for t in transducer.finish()])
-        return self._remember(self._known, word, out.tobytes())
+        return out.tobytes()
 
-    @staticmethod
-    def _remember(table: dict[str, bytes], name: str, ids: bytes) -> bytes:
+    def _remember(self, name: str, ids: bytes) -> bytes:
+        """Two generations: what wasn't met while the latest table filled is forgotten."""
         if len(name) <= REMEMBERED_LENGTH:
-            if len(table) >= REMEMBERED:
-                table.clear()
-            table[name] = ids
+            if len(self._latest) >= REMEMBERED:
+                self._before, self._latest = self._latest, {}
+            self._latest[name] = ids
         return ids
 
     def _plain(self, text: str) -> Iterator[bytes]:
         """Blocks of identifiers of a text without added tokens; blocks end at white space."""
         start = 0
         while start < len(text):
+            known = self._latest.get
             end = start + BLOCK
             if end < len(text):
                 edge = self._space.search(text, end)
@@ -222,7 +266,7 @@ class StreamEncoder:
             else:
                 end = len(text)
             chunks = self._space.split(text[start:end])
-            yield b"".join([self._chunk(c) for c in chunks if c])
+            yield b"".join([known(c) or self._chunk(c) for c in chunks if c])
             start = end
 
     def encode(self, text: str) -> Iterator[bytes]:
