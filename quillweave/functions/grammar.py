@@ -13,11 +13,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillweave.functions.binding import let
+from quillweave.functions.binding import let, let_sql
 
 TAG_TYPE = "array<struct<id:string,desc:string,content:string>>"
 
 
+#: one tag for each query tag of ``b.q``: response tags are sorted by number, each number's first is kept, and a
+#: question for each query tag stands behind them; a tag without a number answers at its place
+_NUMBER = "if(string(try_cast(t.id as int)) = t.id, try_cast(t.id as int), null)"
+_GIVEN = f"filter(transform(b.r, (t, i) -> struct({_NUMBER} as id, 0 as kind, i as at, t.content as content)), x -> x.id >= 0 and x.id < size(b.q))"
+_ASKED = "transform(b.q, (t, i) -> struct(i as id, 1 as kind, i as at, cast(null as string) as content))"
+_FIRSTS = "filter(s, (x, j) -> x.kind = 1 or j = 0 or get(s, j - 1).id <> x.id)"
+_ANSWERS = (
+    "transform(filter(transform(f, (x, j) -> struct(x as x, get(f, j - 1) as before)), p -> p.x.kind = 1), "
+    "p -> struct(coalesce(p.before.id = p.x.id and p.before.kind = 0, false) as known, p.before.content as content))"
+)
+_FILL = (
+    "transform(b.q, (t, i) -> struct(string(i) as id, t.desc as desc, coalesce(if(get(a, i).known, get(a, i).content, null), "
+    "if(get(b.r, i).id is null, get(b.r, i).content, null)) as content))"
+)
+_FILLED = (
+    f"b -> transform(array(array_sort(concat({_GIVEN}, {_ASKED}))), s -> transform(array({_FIRSTS}), "
+    f"f -> transform(array({_ANSWERS}), a -> {_FILL})[0])[0])[0]"
+)
+
 ESCAPES = (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))
 
 
@@ -223,60 +242,30 @@ class TagGrammar:
         return F.when(self.is_valid_pair(query, response), self._fill(query, response))
 
     def _fill(self, query: Column, response: Column) -> Column:
-        def entries(both: Column) -> Column:
-            """Response tags by number, each number's first, and a question mark per query tag behind."""
-            number = lambda r: r["id"].try_cast("int")
-            given = F.transform(
-                both["r"],
-                lambda r, i: F.struct(
-                    F.when(number(r).cast("string") == r["id"], number(r)).alias("id"), F.lit(0).alias("kind"),
-                    i.alias("at"), r["content"].alias("content"),
-                ),
-            )
-            asked = F.transform(
-                both["q"], lambda t, i: F.struct(i.alias("id"), F.lit(1).alias("kind"), i.alias("at"), F.lit(None).cast("string").alias("content"))
-            )
-            numbered = F.filter(given, lambda r: (r["id"] >= 0) & (r["id"] < F.size(both["q"])))
-            return F.array_sort(F.concat(numbered, asked))
-
-        def first_of(x: Column, before: Column) -> Column:
-            return (x["kind"] == 1) | before.isNull() | (before["id"] != x["id"])
-
-        def answers(one: Column) -> Column:
-            """For each query tag whether its number is given, and the content."""
-            with_before = F.transform(one, lambda x, j: F.struct(x.alias("x"), F.get(one, j - 1).alias("before")))
-            asked = F.filter(with_before, lambda p: p["x"]["kind"] == 1)
-
-            def answer(p: Column) -> Column:
-                known = F.coalesce((p["before"]["id"] == p["x"]["id"]) & (p["before"]["kind"] == 0), F.lit(False))
-                return F.struct(known.alias("known"), p["before"]["content"].alias("content"))
-
-            return F.transform(asked, answer)
-
-        def fill_all(v: Column) -> Column:
-            def one(t: Column, i: Column) -> Column:
-                here = F.get(v["r"], i)
-                found = F.get(v["found"], i)
-                positional = F.when(here["id"].isNull(), here["content"])
-                content = F.when(found["known"], found["content"])
-                return F.struct(
-                    i.cast("string").alias("id"),
-                    t["desc"].alias("desc"),
-                    F.coalesce(content, positional).alias("content"),
-                )
-
-            return F.transform(v["q"], one)
-
-        def firsts(sorted_: Column) -> Column:
-            return F.filter(sorted_, lambda x, j: first_of(x, F.get(sorted_, j - 1)))
-
-        both = F.struct(self.tags(query).alias("q"), self.tags(response).alias("r"))
-
-        def filled(b: Column) -> Column:
-            found = let(let(let(b, entries), firsts), answers)
-            return let(F.struct(b["q"].alias("q"), b["r"].alias("r"), found.alias("found")), fill_all)
-
-        return let(both, filled)
+        return self.filled(self.tags(query), self.tags(response))
+
+    def filled(self, query_tags: Column, response_tags: Column) -> Column:
+        """The lenient infill of parsed tags."""
+        return let_sql(F.struct(query_tags.alias("q"), response_tags.alias("r")), _FILLED)
+
+    def is_valid_parsed(self, query: Column, response: Column, query_tags: Column, response_tags: Column) -> Column:
+        """``is_valid_pair`` where both texts' tags are known: their numbers, and that no delimiter is left over."""
+        k = F.size(response_tags)
+        numbered = F.forall(F.transform(response_tags, lambda t, i: t["id"] == i.cast("string")), lambda x: x)
+        agrees = F.forall(F.transform(query_tags, lambda t, i: t["id"].isNull() | (t["id"] == i.cast("string"))), lambda x: x)
+        tokens = F.lit(self.token_pattern)
+        opening, first, last = f"<|{self.tag}", f"<|{self.response_wrap}|>", f"<|/{self.response_wrap}|>"
+        seam = f"{self.close}{opening}"
+        seams = (F.char_length(response) - F.char_length(F.replace(response, F.lit(seam), F.lit("")))) / len(seam)
+        only_tags = F.when(k == 0, response == first + last).otherwise(
+            response.startswith(first + opening) & response.endswith(self.close + last) & (seams == k - 1)
+        )
+        ok = (
+            self._is_wrapped(query, self.query_wrap) & self._is_wrapped(response, self.response_wrap)
+            & (F.size(query_tags) == k) & numbered & agrees & only_tags
+            & (F.regexp_count(response, tokens) == 2 * k + 2) & (F.regexp_count(query, tokens) == 2 * k + 2)
+        )
+        return F.coalesce(ok, F.lit(False))
 
     def restore(self, query: Column, response: Column) -> Column:
         """Text with every mask of the query filled in; null unless the pair is valid."""

@@ -11,104 +11,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillweave.functions.binding import let
 from quillweave.functions.grammar import DEFAULT as DEFAULT_GRAMMAR
 from quillweave.functions.grammar import TagGrammar
+from quillweave.functions.numbers import numerically_equal
 from quillweave.functions.text import strip
 from quillweave.operators.chat import last_message
 from quillweave.operators.gate import pinned
 
 
-# ---- numeric equality of two tag contents ----------------------------------------------
-def plain_number(c: Column) -> Column:
-    """Number text without dollar signs, boxes, digit commas and blanks; ``\\frac`` as a/b."""
-    c = F.regexp_replace(c, r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
-    c = F.regexp_replace(c, r"\\boxed\{([^{}]*)\}", "$1")
-    return F.regexp_replace(c, r"[$,\s]", "")
-
-
-NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)"
-#: digits of one limb of a long product
-LIMB = 6
-
-
-def _number(t: Column) -> Column:
-    """Struct of a decimal of any length: ``neg``, ``digits`` without zeros in front, ``scale``; zero has no digits."""
-    body = F.regexp_replace(t, "^[+-]", "")
-    decimals = F.when(body.contains("."), F.rtrim(F.substring_index(body, ".", -1), F.lit("0"))).otherwise(F.lit(""))
-    digits = F.ltrim(F.concat(F.substring_index(body, ".", 1), decimals), F.lit("0"))
-    return F.struct(
-        (t.startswith("-") & (digits != "")).alias("neg"), digits.alias("digits"),
-        F.when(digits == "", 0).otherwise(F.length(decimals)).alias("scale"),
-    )
-
-
-def _limbs(digits: Column) -> Column:
-    """Limbs of a digit string, the lowest first."""
-    count = F.greatest(F.lit(1), F.ceil(F.length(digits) / LIMB)).cast("int")
-    padded = F.lpad(digits, count * LIMB, F.lit("0"))
-    return F.transform(F.sequence(count, F.lit(1), F.lit(-1)), lambda i: F.substring(padded, (i - 1) * LIMB + 1, F.lit(LIMB)).cast("bigint"))
-
-
-def _product(a: Column, b: Column) -> Column:
-    """Product of two digit strings of any length, without zeros in front."""
-
-    def multiply(v: Column) -> Column:
-        x, y = v["x"], v["y"]
-        sums = F.transform(
-            F.sequence(F.lit(0), F.size(x) + F.size(y) - 1),
-            lambda k: F.aggregate(
-                F.sequence(F.greatest(F.lit(0), k - F.size(y) + 1), F.least(k, F.size(x))),
-                F.lit(0).cast("bigint"),
-                lambda acc, i: acc + F.coalesce(F.get(x, i) * F.get(y, k - i), F.lit(0).cast("bigint")),
-            ),
-        )
-        base = 10**LIMB
-        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<string>").alias("out"))
-
-        def add(acc: Column, s: Column) -> Column:
-            total = acc["carry"] + s
-            limb = F.lpad((total % base).cast("string"), LIMB, "0")
-            return F.struct(F.floor(total / base).cast("bigint").alias("carry"), F.array_append(acc["out"], limb).alias("out"))
-
-        return F.aggregate(
-            sums, start, add, lambda acc: F.ltrim(F.concat(acc["carry"].cast("string"), F.array_join(F.reverse(acc["out"]), "")), F.lit("0"))
-        )
-
-    return let(F.struct(_limbs(a).alias("x"), _limbs(b).alias("y")), multiply)
-
-
-def numerically_equal(a: Column, b: Column) -> Column:
-    """Equal as decimals, or as fractions by cross-multiplying, with any number of digits; never null."""
-    plain, ratio = f"^{NUMBER}$", f"^{NUMBER}/{NUMBER}$"
-
-    def fraction(t: Column) -> Column:
-        bottom = F.when(t.contains("/"), F.substring_index(t, "/", -1)).otherwise(F.lit("1"))
-        return F.struct(_number(F.substring_index(t, "/", 1)).alias("top"), _number(bottom).alias("bottom"))
-
-    def crossed(v: Column) -> Column:
-        p, q = v["p"], v["q"]
-        zeros = lambda n: F.repeat(F.lit("0"), n)
-        left = F.concat(p["top"]["digits"], zeros(q["top"]["scale"] + p["bottom"]["scale"]))
-        right = F.concat(q["top"]["digits"], zeros(p["top"]["scale"] + q["bottom"]["scale"]))
-        sign = (p["top"]["neg"] != p["bottom"]["neg"]) == (q["top"]["neg"] != q["bottom"]["neg"])
-        none = (p["top"]["digits"] == "") | (q["top"]["digits"] == "")
-        same = F.when(none, p["top"]["digits"] == q["top"]["digits"]).otherwise(
-            sign & (_product(left, q["bottom"]["digits"]) == _product(right, p["bottom"]["digits"]))
-        )
-        return (p["bottom"]["digits"] != "") & (q["bottom"]["digits"] != "") & same
-
-    def equal(v: Column) -> Column:
-        x, y = v["x"], v["y"]
-        number_x, number_y = x.rlike(plain), y.rlike(plain)
-        both = F.struct(fraction(x).alias("p"), fraction(y).alias("q"))
-        some_ratio = (number_x | x.rlike(ratio)) & (number_y | y.rlike(ratio))
-        return F.when(number_x & number_y, _number(x) == _number(y)).when(some_ratio, let(both, crossed)).otherwise(False)
-
-    both = F.struct(plain_number(a).alias("x"), plain_number(b).alias("y"))
-    return F.coalesce(let(both, equal), F.lit(False))
-
-
+# ---- matches ------------------------------------------------------------------------
 def loose_match(predicted: Column, wanted: Column) -> Column:
     """Trimmed texts equal, else numerically equal; null on either side is no match."""
     same = (strip(predicted) == strip(wanted)) | numerically_equal(predicted, wanted)
@@ -142,17 +53,21 @@ def stage(
     golden: str = "golden",
 ) -> DataFrame:
     """Add what the rewards share: ``_strict``, ``_lenient``, ``_golden_ok``, tag arrays
-    ``_pred`` and ``_real``, lengths ``_len`` and ``_golden_len``."""
+    ``_pred`` and ``_real``, lengths ``_len`` and ``_golden_len``.  Each text is parsed once."""
     q, c, g = F.col(query), F.col(completion), F.col(golden)
-    return (
-        df.withColumn("_strict", grammar.is_valid_pair(q, c))
-        .withColumn("_lenient", grammar.can_infill(q, c))
-        .withColumn("_golden_ok", grammar.can_infill(q, g))
-        .withColumn("_pred", grammar.infill_lenient(q, c))
-        .withColumn("_real", grammar.infill_lenient(q, g))
-        .withColumn("_len", F.char_length(c))
-        .withColumn("_golden_len", F.char_length(g))
-    )
+    parsed = df.withColumns({f"_tags_{x}": grammar.tags(text) for x, text in (("q", q), ("c", c), ("g", g))})
+    of_q, of_c, of_g = (F.col(f"_tags_{x}") for x in "qcg")
+    return parsed.withColumns(
+        {
+            "_strict": grammar.is_valid_parsed(q, c, of_q, of_c),
+            "_lenient": grammar.can_infill(q, c),
+            "_golden_ok": grammar.can_infill(q, g),
+            "_pred": F.when(grammar.can_infill(q, c), grammar.filled(of_q, of_c)),
+            "_real": F.when(grammar.can_infill(q, g), grammar.filled(of_q, of_g)),
+            "_len": F.char_length(c),
+            "_golden_len": F.char_length(g),
+        }
+    ).drop("_tags_q", "_tags_c", "_tags_g")
 
 
 def _count_matches(match: Callable[[Column, Column], Column]) -> Column:

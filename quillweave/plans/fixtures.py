@@ -56,8 +56,11 @@ def _rollouts() -> str:
     whole = "concat(lang, ' ', source)"
     ratio = "concat('1/', cast(doc_id % 9 + 2 as varchar(9)))"
     same = "concat('2/', cast(2 * (doc_id % 9 + 2) as varchar(9)))"
+    kinds = (("1 2", "12"), ("1,2", "12"), ("2 3/4", "23/4"), (" 1,234.50 ", "1234.5"), ("1e3", "1000"), ("$7$", "7"), ("50%", "50"), ("1,000/2,000", "0.5"))
+    said, meant = (" ".join(f"when {i} then '{pair[side]}'" for i, pair in enumerate(kinds)) for side in (0, 1))
+    said, meant = (f"case cast(floor(doc_id / 12) as int) % 9 {x} else {ratio} end" for x in (said, meant))
     second = (
-        f"case doc_id % 12 when 9 then '-3.141592653589790' when 10 then '10000000000000/20000000000000' else {ratio} end"
+        f"case doc_id % 12 when 2 then {meant} when 9 then '-3.141592653589790' when 10 then '10000000000000/20000000000000' else {ratio} end"
     )
     query = (
         "concat(case when doc_id % 12 = 11 then '' else '<|M_INPUT|>' end, text, '<|MASKED id=\"m_0\"|><|/MASKED|> and "
@@ -66,7 +69,7 @@ def _rollouts() -> str:
     cases = [
         out(tag(0, whole), tag(1, ratio)),
         out(tag(0, f"concat(' ', {whole}, ' ')"), tag(1, same)),
-        out(tag(0, "source"), tag(1, ratio)),
+        out(tag(0, "source"), tag(1, said)),
         out(tag(0, whole)),
         f"concat({tag(0, whole)})",
         out(tag(0, whole), tag(1, f"concat(source, ' ', {whole}, ' ', {whole}, ' ', source)")),

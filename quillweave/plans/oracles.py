@@ -561,19 +561,23 @@ ORACLES["first_rows_training_set"] = (
 
 
 def cleaned(x: str) -> str:
-    x = f"regexp_replace({x}, {lit(chr(92) * 2 + '[dt]?frac' + chr(92) + '{([^{}]*)' + chr(92) + '}' + chr(92) + '{([^{}]*)' + chr(92) + '}')}, '\\1/\\2', 'g')"
-    x = f"regexp_replace({x}, {lit(chr(92) * 2 + 'boxed' + chr(92) + '{([^{}]*)' + chr(92) + '}')}, '\\1', 'g')"
-    return f"regexp_replace({x}, '[$,\\s]', '', 'g')"
+    """Trimmed, without dollar signs at the ends and one box, a fraction command as a/b."""
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    bare = f"trim(trim(trim({x}, {blanks}), '$'), {blanks})"
+    box = chr(92) * 2 + "boxed" + chr(92) + "{"
+    bare = f"case when regexp_matches({bare}, {lit('^' + box)}) and ends_with({bare}, '}}') then trim(trim(trim({bare}[8:-2], {blanks}), '$'), {blanks}) else {bare} end"
+    part = chr(92) + "{" + chr(92) + "s*([^{}" + chr(92) + "s]*)" + chr(92) + "s*" + chr(92) + "}"
+    return f"regexp_replace({bare}, {lit('^([+-]?)' + chr(92) * 2 + '[dt]?frac' + part + part + '$')}, '\\1\\2/\\3')"
 
 
 def numeric_equal(a: str, b: str) -> str:
-    """Decimals of any length by their canonical text; fractions as 128-bit whole numbers."""
-    form = r"[+-]?(?:\d+\.?\d*|\.\d+)"
+    """Decimals of any length by their canonical text; fractions as 128-bit whole numbers; commas only before groups of three."""
+    form = r"[+-]?(?:\d{1,3}(?:,\d{3})*(?:\.\d*)?|\d{4,}(?:\.\d*)?|\.\d+)"
     number, ratio = lit(f"^{form}$"), lit(f"^{form}(?:/{form})?$")
     x, y = cleaned(a), cleaned(b)
 
     def whole(t):
-        return f"ltrim(replace(split_part(ltrim({t}, '+-'), '.', 1) || {decimals(t)}, '.', ''), '0')"
+        return f"ltrim(replace(replace(split_part(ltrim({t}, '+-'), '.', 1), ',', '') || {decimals(t)}, '.', ''), '0')"
 
     def decimals(t):
         return f"rtrim(case when contains({t}, '.') then split_part({t}, '.', 2) else '' end, '0')"

@@ -1,8 +1,12 @@
 import math
+import random
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillweave.functions.grammar import DEFAULT as G
 from quillweave.operators import rewards
 from tests.test_grammar import lenient, tag, valid, wrap_q, wrap_r
 
@@ -84,6 +88,11 @@ def test_unknown_reward(rollouts):
         ("0.1234567/1", "0.1234568", False), ("", "", False), ("3.14159265358979", "3.141592653589790", True), ("1/-2", "-.5", True), ("1.", "1", True),
         ("10000000000000/20000000000000", "1/2", True), ("123456789012345678901234567.0", "123456789012345678901234567", True),
         ("0.1234567", "1234567/10000000", True), ("1" * 60 + "/3", "2" * 60 + "/6", True), ("1" * 60 + "/3", "2" * 59 + "1/6", False),
+        ("1 2", "12", False), ("1,2", "12", False), ("2 3/4", "23/4", False), ("2 3/4", "2 3/4", False), ("1e3", "1000", False), ("50%", "0.5", False),
+        ("1,23", "123", False), ("12,345,678", "12345678", True), ("1234,567", "1234567", False), ("1,000/2,000", ".5", True), (" $ 7 $\n", "7", True),
+        (r"$\boxed{\frac{1}{2}}$", "0.5", True), (r"-\dfrac{ 3 }{4}", "-.75", True), (r"\boxed{1}{2}", "12", False), ("1 /2", "1/2", False),
+        ("7" * 40 + "/" + "3" * 40, "7" * 41 + "/" + "3" * 41, True), ("7" * 40 + "/" + "3" * 40, "7" * 40 + "/" + "3" * 39 + "4", False),
+        ("9" * 45 + "/7", "9" * 44 + ".9/.7", True), ("1" + "0" * 50 + "/3", "1" + "0" * 49 + "/.3", True),
         ("-0", "0", True), ("0/7", "0/9", True), (None, None, False), ("1", None, False),
     ],
 )
@@ -92,6 +101,56 @@ def test_numeric_equality(spark, a, b, same):
     assert df.select(rewards.numerically_equal(F.col("a"), F.col("b"))).first()[0] is same
 
 
+def test_long_numbers_take_linear_time(spark):
+    n = 100_000
+    pairs = [
+        ("7" * n + "/3", "7" * (n - 1) + "8/3"), ("7" * n + "/30", "7" * n + "0/300"), ("1" * n, "1" * n + ".000"),
+        ("7" * n + "/" + "3" * n, "7" * (n - 1) + "8/" + "3" * n), ("7" * n + "/" + "3" * n, "7" * (n + 1) + "/" + "3" * (n + 1)),
+    ]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    began = time.perf_counter()
+    assert [r[0] for r in df.select(rewards.numerically_equal(F.col("a"), F.col("b"))).collect()] == [False, True, True, False, True]
+    assert time.perf_counter() - began < 60
+
+
+def test_ratios_by_fractions(spark):
+    """Random ratios against exact rational numbers, short ones and ones beyond 38 digits."""
+    r, pairs = random.Random(4), []
+    for _ in range(300):
+        size = r.choice([1, 3, 9, 18, 19, 25, 60])
+        top, bottom, factor = r.randint(0, 10**size), r.randint(1, 10**size), r.randint(1, 10 ** r.choice([1, 20]))
+        near = r.choice([0, 0, 1])
+        pairs.append((f"{r.choice(['', '-', '+'])}{top}/{bottom}", f"{r.choice(['', '-'])}{top * factor + near}/{bottom * factor}"))
+    got = spark.createDataFrame(pairs, "a string, b string").select(rewards.numerically_equal(F.col("a"), F.col("b"))).collect()
+    assert [x[0] for x in got] == [Fraction(a) == Fraction(b) for a, b in pairs]
+
+
+def test_each_text_is_parsed_once(rollouts, plan_of):
+    for names in (["loose_length"], list(rewards.REWARDS)):
+        plan = plan_of(rewards.score(rollouts, names))
+        assert plan.count(r"(.*?)<\|/MASKED") == 3  # the pattern of a whole tag: query, completion, golden
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_validity_of_parsed_tags(spark, seed):
+    """The same as the validity of the texts, on sound pairs and broken ones."""
+    r = random.Random(seed)
+    bits = [tag(0, content="a"), tag(1, content="b"), tag(0), tag(), tag(1, content="<|M_INPUT|>"), "<|MASKED", "|>", "<|/MASKED|>", " x ", '<|MASKED id="m_00"|>c<|/MASKED|>', '<|MASKED desc="<|MASKED|>"|>d<|/MASKED|>', "<|M_OUTPUT|>"]
+    rows = [(None, None), (wrap_q(tag()), None)]
+    for _ in range(400):
+        k = r.randint(0, 3)
+        query, response = "z".join(tag(i) if r.random() < 0.5 else tag() for i in range(k)), "".join(tag(i, content="v") for i in range(k))
+        if r.random() < 0.6:
+            query += r.choice(bits)
+        if r.random() < 0.6:
+            response = r.choice([response + r.choice(bits), r.choice(bits) + response, r.choice(bits)])
+        rows.append((wrap_q(query), wrap_r(response) if r.random() < 0.9 else response))
+    q, c = F.col("q"), F.col("c")
+    got = spark.createDataFrame(rows, "q string, c string").select(G.is_valid_pair(q, c), G.is_valid_parsed(q, c, G.tags(q), G.tags(c))).collect()
+    assert [x[0] for x in got] == [x[1] for x in got]
+    assert 50 < sum(x[0] for x in got) < 350
+
+
 def test_loose_match_of_null_is_no_match(spark):
     df = spark.createDataFrame([(None, None), (None, "a"), (" a\n", "a")], "a string, b string")
     assert [r[0] for r in df.select(rewards.loose_match(F.col("a"), F.col("b"))).collect()] == [False, False, True]
