@@ -17,6 +17,7 @@ Keys must be unique within a pool; a null key is a key like any other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -27,10 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillweave.functions.hashing import HASH_BITS, hash60
+from quillweave.sources.writers import scratch_root
 
 BUCKET_BITS = 12
 SMALL_BUCKET = 20_000
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words of a Bloom filter of drawn keys, at most (they are broadcast), and bits a key it is made for
+BLOOM_WORDS, BLOOM_BITS = 1 << 21, 16
+#: bits a key below which a filter would let nearly every row pass
+BLOOM_LEAST_BITS = 3
+#: draws of one row that one task of a join takes at most
+HOT_DRAWS = 100_000
 #: cuts, one row per pool, that are broadcast at most
 BROADCAST_POOLS = 100_000
 WHOLE_NUMBERS = {"tinyint", "smallint", "int", "bigint"}
@@ -420,7 +428,13 @@ def draw_keys(
         bits=counts.bits,
         offsets=counts.offsets(spark),
     )
-    drawn = ranked.join(small_enough(table, sum(draws.values())), ["pool", "rank"])
+    rows = sum(draws.values())
+    pooled = sum(n if replace.get(name) else draws.get(name, 0) for name, n in counts.sizes.items() if draws.get(name, 0) > 0)
+    if pooled < rows and pooled <= BROADCAST_ROWS and fixed_width(ranked, counts.key):
+        ranked = F.broadcast(ranked)  # more draws than rows: the rows go to the draws, and none is a hot key
+    else:
+        table = small_enough(table, rows)
+    drawn = ranked.join(table, ["pool", "rank"])
     return drawn.select("pool", "draw", *counts.key)
 
 
@@ -441,25 +455,74 @@ def _sample(df, key, k, with_replacement, seed) -> DataFrame:
     return attach(df, draw_keys(keys, counts, {"all": k}, replace).drop("pool"), key, k)
 
 
-def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
-    """Fetch the rows of the ``rows`` drawn keys; few draws leave ``df`` where it is.
+def bloom_filter(keys: DataFrame, key: Sequence[str], rows: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``(words, near)``: a Bloom filter of ``rows`` keys, and the rows of a table that it lets pass.
 
-    Fixed-width keys are broadcast themselves.  Of other keys only a 64-bit hash is
-    broadcast: it thins ``df`` to about the drawn rows, and those are joined on the key.
+    The filter is a table of 64-bit words.  A key's hash names its word and the bits it sets there;
+    bits of a word are or-ed, map-side first.  ``near`` looks a row's word up in the broadcast
+    table, so a corpus is thinned where it lies, before any exchange.  Every key of ``keys`` passes.
     """
-    if rows > BROADCAST_ROWS or fixed_width(drawn, key):
-        return _on_key(df, small_enough(drawn, rows), key)
-    hashes = drawn.select(F.xxhash64(*key).alias("_x"))
-    near = df.withColumn("_x", F.xxhash64(*key)).join(F.broadcast(hashes), "_x", "left_semi")
-    return _on_key(near.drop("_x"), drawn, key)
+    words = max(1, min(BLOOM_WORDS, rows * BLOOM_BITS // 64))
+    bits = max(1, min(6, round(0.69 * 64 * words / max(rows, 1))))
+
+    def word(columns: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(words))
+
+    def mask(columns: Sequence[str]) -> Column:
+        own = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.lit(2 + i), *columns), F.lit(64)).cast("int")) for i in range(bits)]
+        return reduce(lambda a, b: a.bitwiseOR(b), own)
+
+    table = keys.select(word(key).alias("_word"), mask(key).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
 
+    def near(df: DataFrame) -> DataFrame:
+        own = df.withColumns({"_at": word(key), "_mask": mask(key)})
+        inside = (F.col("_at") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+        return own.join(F.broadcast(table), inside, "left_semi").drop("_at", "_mask")
 
-def _on_key(df: DataFrame, drawn: DataFrame, key: Sequence[str]) -> DataFrame:
+    return table, near
+
+
+def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Fetch the rows of the ``rows`` drawn keys; texts move only where they were drawn.
+
+    Few fixed-width keys are broadcast themselves.  Of others, and of many, a Bloom filter is
+    broadcast: it thins ``df`` to about the drawn rows, and only those are joined on the key.  A
+    row that is drawn more than ``HOT_DRAWS`` times is dealt to several tasks.  So many draws
+    that a filter of bounded size has fewer than ``BLOOM_LEAST_BITS`` bits for each need a
+    shuffled join of ``df``; that many rows move anyhow.
+    """
+    if rows <= BROADCAST_ROWS and fixed_width(drawn, key):
+        return _on_key(df, F.broadcast(drawn), key)
+    drawn = staged(drawn)
+    if 64 * BLOOM_WORDS >= BLOOM_LEAST_BITS * rows:
+        df = bloom_filter(drawn, key, rows)[1](df)
+    if rows <= HOT_DRAWS:
+        return _on_key(df, drawn, key)
+    # rows drawn very often, at most rows / HOT_DRAWS of them, are copied for each share of their draws
+    often = drawn.groupBy(*key).agg(F.floor((F.count(F.lit(1)) - 1) / HOT_DRAWS).cast("int").alias("_shares")).filter("_shares > 0")
+    often = staged(often)
+    if often.isEmpty():
+        return _on_key(df, drawn, key)
+    number = [c for c in drawn.columns if c not in key]
+    shares = F.coalesce("_shares", F.lit(0))
+    spread = _on_key(drawn, F.broadcast(often), key, "left").withColumn("_share", F.pmod(F.xxhash64(*number), shares + 1).cast("int")).drop("_shares")
+    copied = _on_key(df, F.broadcast(often), key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares))).drop("_shares")
+    return _on_key(copied, spread, [*key, "_share"]).drop("_share")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once and read back, for a small table that is used several times."""
+    path = f"{scratch_root(df.sparkSession)}/sampling-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _on_key(df: DataFrame, drawn: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on the key, a null equal to a null."""
     named = drawn.withColumnsRenamed({k: f"_k_{k}" for k in key})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
     others = [c for c in df.columns if c not in key]
-    return df.join(named, same).select(*key, *others, *[c for c in drawn.columns if c not in key])
+    return df.join(named, same, how).select(*key, *others, *[c for c in drawn.columns if c not in key])
 
 
 def repeat(df: DataFrame, copies: Column, out: str = "copy") -> DataFrame:

@@ -209,3 +209,40 @@ def test_content_keys_see_microseconds_and_nested_nulls(spark):
 def test_repeat(spark):
     rows = sampling.repeat(keys(spark, 4), F.when(F.col("k") == 2, 3).otherwise(1)).collect()
     assert sorted((r["k"], r["copy"]) for r in rows) == [(0, 1), (1, 1), (2, 1), (2, 2), (2, 3), (3, 1)]
+
+
+def test_bloom_filter_passes_every_key_and_few_others(spark):
+    keys = spark.range(20_000).select((F.col("id") * 7).alias("a"), F.when(F.col("id") % 50 > 0, F.concat(F.lit("k"), "id")).alias("b"))
+    others = spark.range(200_000).select((-F.col("id") - 1).alias("a"), F.lit("x").alias("b"))
+    table, near = sampling.bloom_filter(keys, ["a", "b"], 20_000)
+    assert table.count() <= 5000
+    assert near(keys).count() == 20_000
+    assert near(others).count() < 0.05 * 200_000
+
+
+def test_many_draws_thin_the_corpus_before_any_exchange(spark, monkeypatch, plan_of):
+    """Beyond the broadcast bound the filter comes first; the plan exchanges what it lets pass."""
+    df = spark.range(5000).withColumn("text", F.concat(F.lit("t"), "id")).repartition(3)
+    want = sorted(map(tuple, sampling.sample_with_replacement(df, ["id"], 900, seed=4).collect()))
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0)
+    got = sampling.sample_with_replacement(df, ["id"], 900, seed=4)
+    assert sorted(map(tuple, got.collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(sampling.sample_with_replacement(df, ["id"], 900, seed=4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi, BuildRight" in plan and plan.index("LeftSemi") > plan.index("SortMergeJoin")  # below the join, above the table
+    monkeypatch.setattr(sampling, "BLOOM_LEAST_BITS", 1 << 40)  # more draws than a filter can hold
+    assert sorted(map(tuple, sampling.sample_with_replacement(df, ["id"], 900, seed=4).collect())) == want
+
+
+def test_a_row_drawn_very_often_is_no_hot_key(spark, monkeypatch):
+    """Three rows, 5,000 draws: the draws of a row are dealt to shares; the rows are the same."""
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, text string")
+    want = sorted(map(tuple, sampling.sample_with_replacement(df, ["id"], 5000, seed=2).collect()), key=repr)
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sampling, "HOT_DRAWS", 100)
+    got = sampling.sample_with_replacement(df, ["id"], 5000, seed=2)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert len(want) == 5000
