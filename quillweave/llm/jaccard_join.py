@@ -17,14 +17,19 @@ threshold.  Equal sets are one node.  The join over different sets goes in steps
    Sets near the boundary do both.  The boundary is the size at which the cost counted from
    the data, subsets against list entries to scan, is least.
 4. **Stars before pairs.**  A list or subset with many sets is not paired out.  First every set
-   is compared with one hub, the most shared set of its largest list; then, in lists that
-   still hold several components, with the list's hub.  Only sets of one list that are then
-   still in different components are paired; pairs inside a component would not change it.
-   The position at which two sets first meet bounds their overlap, and pairs below the one
-   their sizes need are left out.
-5. Every pair is verified on the whole sets; components are merged by minimum labels.
-
-N-grams are 64-bit hashes; a set is named by a 64-bit hash of its n-grams.
+   is compared with one hub, the most shared set of its largest list.  Then entries go that no
+   other size in their list can answer: where two sets first meet bounds their overlap, and so
+   the sizes that an entry can link to.  The lists' own hubs come next, and lists of one
+   component go.
+5. **Light and heavy lists.**  In a list that is one component but for at most ``LIGHT`` entries,
+   those are paired with all others.  The sets of any other list are compared by what
+   sets them apart from its majority of n-grams: two linked sets either share such a difference or
+   are both linked to the set that differs least (``_differences``), so that one becomes the
+   hub, and the rarest differences that their overlap needs are the next, longer subsets.  Each
+   holds at most half of the list, and is light or heavy again.
+6. Every pair is verified on the whole sets; components are merged by minimum labels.
+
+N-grams are 64-bit hashes; a set is named by a 128-bit hash of its n-grams.
 """
 
 from __future__ import annotations
@@ -49,8 +54,8 @@ WORDS = 5
 PERCENT = 80
 #: bytes of text for one bucket of packed prefixes, and the least number of buckets
 BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 64
-#: keys that are broadcast at most; beyond that the join is a shuffled one
-BROADCAST_ROWS = 1_000_000
+#: keys that are broadcast at most, as bytes of text and 64 for each; beyond that the join is a shuffled one
+BROADCAST_BYTES = 64_000_000
 #: sets smaller than this have lists only: their slack is no two n-grams
 LEAST_PAIRED = 16
 #: what a subset costs, in list entries
@@ -59,7 +64,10 @@ SUBSET_COST = 3
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: owner of an n-gram that several sets of a block have; a block has fewer documents
 ALL = 65535
-BLOCK = 2048
+#: documents of a block at most, and bytes of their texts (one longer text is a block of its own)
+BLOCK, BLOCK_BYTES = 2048, 8_000_000
+#: entries outside a list's largest component that are paired with the others
+LIGHT = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -82,8 +90,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]]
 
 
-def name_of(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def least_common(n, percent: int):
@@ -118,6 +126,17 @@ def _sql(formula, n: str, *args) -> str:
     return texts[formula].format(n=n, p=args[0] if args else "")
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Blocks of a batch of (key, text), by rows and bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, min(start + BLOCK, int(np.searchsorted(ends, before + BLOCK_BYTES, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, whole: bool = False) -> DataFrame:
     """One pass over the texts: a row for each document, and packed n-grams for each block of documents and bucket.
 
@@ -131,8 +150,7 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, who
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
+            for part in _cut(batch):
                 block = next(blocks)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -175,7 +193,7 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, who
         )
 
     fields = {
-        "key": key_type, "n": pa.int64(), "sid": pa.int64(), "block": pa.int64(), "place": pa.int32(), "found": pa.int64(), "whole": pa.list_(pa.int64()),
+        "key": key_type, "n": pa.int64(), "sid": pa.binary(), "block": pa.int64(), "place": pa.int32(), "found": pa.int64(), "whole": pa.list_(pa.int64()),
         "bucket": pa.int32(), "grams": pa.binary(), "owners": pa.binary(), "tally": pa.binary(),
     }
 
@@ -184,7 +202,7 @@ def _scan(docs: DataFrame, buckets: int, percent: int, words: int, key_type, who
         return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
     key = docs.schema["key"].dataType.simpleString()
-    schema = f"key {key}, n bigint, sid bigint, block bigint, place int, found bigint, whole array<bigint>, bucket int, grams binary, owners binary, tally binary"
+    schema = f"key {key}, n bigint, sid binary, block bigint, place int, found bigint, whole array<bigint>, bucket int, grams binary, owners binary, tally binary"
     return docs.mapInArrow(run, schema)
 
 
@@ -224,7 +242,7 @@ def _set_counts(table: pa.Table) -> pa.Table:
 def _rarest(percent: int):
     """For one block of documents: of each set that is shared enough, the n-grams by which it can meet others."""
     names = ["sid", "n", "gram", "df", "at", "listed", "rank"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.float64()]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.float64()]
 
     def run(sets: pa.Table, packed: pa.Table) -> pa.Table:
         if not (sets.num_rows and packed.num_rows):
@@ -251,10 +269,11 @@ def _rarest(percent: int):
         at = np.arange(len(owner)) - start[owner]
         spare = (size - need)[owner]
         keep_it = (df > 1) & (shared >= need)[owner] & (at <= spare + 1)
-        sid = np.zeros(65536, np.int64)
-        sid[sets.column("place").to_numpy()] = sets.column("sid").to_numpy()
+        row_of = np.zeros(65536, np.int64)
+        row_of[sets.column("place").to_numpy()] = np.arange(sets.num_rows)
         of = owner[keep_it]
-        columns = [sid[of], size[of], gram[keep_it], df[keep_it], at[keep_it], (at <= spare)[keep_it], shared[of] / np.maximum(size[of], 1)]
+        sid = sets.column("sid").combine_chunks().cast(pa.binary()).take(pa.array(row_of[of]))
+        columns = [sid, size[of], gram[keep_it], df[keep_it], at[keep_it], (at <= spare)[keep_it], shared[of] / np.maximum(size[of], 1)]
         return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, types)})
 
     return run
@@ -269,11 +288,15 @@ def _shared(scanned: DataFrame, enough: str) -> DataFrame:
     return rows.filter(f"n > 0 and found + coalesce(elsewhere, 0) >= {enough}")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """One column of keys, to be broadcast if its bytes, counted first, allow it."""
+    size = F.octet_length(F.col(keys.columns[0]).cast("string"))
+    return F.broadcast(keys) if (keys.agg(F.sum(F.coalesce(size, F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES else keys
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Documents whose key is in ``wanted``; null keys are equal."""
-    keys = wanted.select(F.col("key").alias("_key"))
-    if wanted.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = _small(wanted.select(F.col("key").alias("_key")))
     return docs.join(keys, docs["key"].eqNullSafe(F.col("_key")), "left_semi").select("key", "text")
 
 
@@ -359,29 +382,126 @@ def _star_pairs(keys: DataFrame, percent: int, positions: bool = True) -> DataFr
     return met.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
-def _pairs_left(keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all sets of one key that are in different components."""
-    open_keys = keys.groupBy("meet").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    left = keys.join(open_keys.select("meet"), "meet", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") < F.col("b.comp")) & _possible("a", "b", percent))
+def _alive(keys: DataFrame, percent: int) -> DataFrame:
+    """Entries of keys that hold several components and a size that the entry can link to.
+
+    An entry that meets at ``at`` has ``n - at`` left and links to sizes up to ``most``; in its key
+    something must be as small, and something must take its own size.
+    """
+    most = F.expr(f"least(n * 100 div {percent}, (100 * n - {100 + percent} * at) div {percent})")
+    left = keys.withColumn("most", most)
+    for _ in range(2):
+        ends = left.groupBy("meet").agg(F.min("n").alias("lowest"), F.max("most").alias("reach"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        ends = ends.filter("low < high").select(F.col("meet").alias("_meet"), "lowest", "reach")
+        fits = (F.col("meet") == F.col("_meet")) & (F.col("most") >= F.col("lowest")) & (F.col("n") <= F.col("reach"))
+        left = left.join(ends, fits).select("meet", "sid", "n", "rank", "at", "comp", "most")
+    return keep(left.drop("most"), "join-alive")
+
+
+def _weighed(keys: DataFrame) -> DataFrame:
+    """(meet, hub, main, outside): each open key's most shared set, its largest component and the entries outside that."""
+    by_comp = keys.groupBy("meet", "comp").agg(F.count("*").alias("c"), F.max(F.struct("rank", "n", "sid")).alias("hub"))
+    by_key = by_comp.groupBy("meet").agg(F.sum("c").alias("entries"), F.max(F.struct("c", "comp")).alias("main"), F.max("hub").alias("hub"))
+    return by_key.filter("entries > main.c").select("meet", F.col("hub.sid").alias("hub"), F.col("main.comp").alias("main"), (F.col("entries") - F.col("main.c")).alias("outside"))
+
+
+def _across(keys: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the entries outside a light key's largest component with all that are in other components."""
+    few = keys.join(light.select(F.col("meet").alias("_meet"), "main"), (F.col("meet") == F.col("_meet")) & (F.col("comp") != F.col("main")))
+    a, b = few.select("meet", "sid", "n", "at", "comp").alias("a"), keys.alias("b")
+    pairs = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent))
     return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
 
 
+def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(meet, sid, n, tokens, phi): how the sets of a key differ from its majority of n-grams R; ``center`` is one of them.
+
+    Let X be a set's differences from R (n-grams of R that it lacks, and its own that R lacks), t the threshold and
+    phi(A) = |X_A| - |A| * (1 - t) / (1 + t).  A and B link if |X_A| + |X_B| - 2 |X_A & X_B| is at most
+    (|A| + |B|) * (1 - t) / (1 + t), that is if they share (phi(A) + phi(B)) / 2 differences.  If linked
+    sets share none, phi(A) + phi(B) <= 0, and the set M of least phi links to both: |X_A| + |X_M| bounds
+    how far A and M differ, and phi(A) + phi(M) <= phi(A) + phi(B) <= 0.  That holds for any R; taking the
+    majority keeps each difference to half of the key's sets.  ``phi`` is scaled to whole numbers.
+    """
+    centers = sets.select(F.col("sid").alias("center"), F.col("grams").alias("about"))
+    both = group.join(centers, "center").join(sets.select("sid", "grams"), "sid")
+
+    def apart(about: Column) -> Column:
+        lacks = F.transform(F.array_except(about, "grams"), lambda x: F.struct(x.alias("gram"), F.lit(False).alias("own")))
+        owns = F.transform(F.array_except("grams", about), lambda x: F.struct(x.alias("gram"), F.lit(True).alias("own")))
+        return F.concat(lacks, owns)
+
+    many = group.groupBy("meet").agg(F.count("*").alias("entries"))
+    usual = both.select("meet", F.explode(apart(F.col("about"))).alias("x")).groupBy("meet", "x").agg(F.count("*").alias("c"))
+    usual = usual.join(many, "meet").filter("2 * c > entries").groupBy("meet").agg(
+        F.collect_list(F.when(F.col("x.own"), F.col("x.gram"))).alias("more"), F.collect_list(F.when(~F.col("x.own"), F.col("x.gram"))).alias("less")
+    )
+    none = F.array().cast("array<bigint>")
+    majority = F.array_union(F.array_except("about", F.coalesce("less", none)), F.coalesce("more", none))
+    both = both.join(usual, "meet", "left").withColumn("about", majority)
+    tokens = F.transform(apart(F.col("about")), lambda x: F.xxhash64(x["gram"], x["own"]))
+    told = both.select("meet", "sid", "n", tokens.alias("tokens"))
+    return keep(told.withColumn("phi", F.size("tokens").cast("bigint") * (100 + percent) - F.col("n") * (100 - percent)), "join-differences")
+
+
+def _longer_keys(told: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(meet, sid, n, rank, at): sets by the rarest differences that they must share with what they link to."""
+    each = told.join(hubs, "meet").select("meet", "sid", "n", "phi", "least", F.explode("tokens").alias("token"))
+    shared = each.groupBy("meet", "token").agg(F.count("*").alias("c")).filter("c > 1")
+    each = each.join(shared, ["meet", "token"])
+    mine = Window.partitionBy("meet", "sid")
+    need = F.greatest(F.lit(1), F.ceil((F.col("phi") + F.col("least")) / (2 * (100 + percent))))
+    each = each.withColumn("have", F.count("*").over(mine)).withColumn("place", F.row_number().over(mine.orderBy("c", "token")))
+    each = each.filter(F.col("place") <= F.col("have") - need + 1)
+    return each.select(F.xxhash64("meet", "token").alias("meet"), "sid", "n", (-F.col("phi")).cast("double").alias("rank"), F.lit(0).cast("bigint").alias("at"))
+
+
+class _Linker:
+    """The links found so far and their components."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links: DataFrame | None = None
+        self.comp: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> None:
+        found = keep(_verified(pairs, self.sets, self.percent), "join-links")
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.comp = components(self.links)
+
+    def placed(self, keys: DataFrame) -> DataFrame:
+        keys = keys.drop("comp")
+        if self.comp is None:
+            return keys.withColumn("comp", F.col("sid"))
+        return keys.join(self.comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+
+
 def _links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame | None:
-    """(sid, comp): stars on each set's largest list, stars on open lists, then the pairs left over."""
-    now = keys.withColumn("comp", F.col("sid"))
+    """(sid, comp): stars on each set's largest list, stars on what is open, then light and heavy keys until none is open."""
+    linker = _Linker(sets, percent)
+    now = linker.placed(keys)
     largest = now.groupBy("sid").agg(F.max(F.struct("df", "meet", "n", "rank", "comp", "at")).alias("k")).select("sid", "k.*")
-    links = comp = None
-    rounds = (lambda: _star_pairs(largest, percent, positions=False), lambda: _star_pairs(now, percent), lambda: _pairs_left(now, percent))
-    for pairs in rounds:
-        found = keep(_verified(pairs(), sets, percent), "join-links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        comp = components(links)
-        now = keys.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    return comp
+    linker.verify(_star_pairs(largest, percent, positions=False))
+    now = _alive(linker.placed(keys), percent)
+    linker.verify(_star_pairs(now, percent))
+    now, shared_hubs = _alive(linker.placed(now), percent), True
+    while True:
+        weighed = keep(_weighed(now), "join-weighed")
+        heavy = weighed.filter(F.col("outside") > LIGHT).select("meet", F.col("hub").alias("center"))
+        linker.verify(_across(now, weighed.filter(F.col("outside") <= LIGHT), percent))
+        if heavy.isEmpty():
+            return linker.comp
+        group = now.join(heavy, "meet").select("meet", "center", "sid", "n")
+        if shared_hubs:  # the many subsets by which the same sets meet have one hub, and are one group
+            group = group.withColumn("meet", F.xxhash64("center")).distinct()
+            shared_hubs = False
+        told = _differences(keep(group, "join-group"), sets, percent)
+        hubs = told.groupBy("meet").agg(F.min(F.struct("phi", "sid")).alias("m")).select("meet", F.col("m.phi").alias("least"), F.col("m.sid").alias("hub"))
+        stars = linker.placed(told.select("meet", "sid")).join(linker.placed(hubs.select("meet", F.col("hub").alias("sid"))).select("meet", F.col("sid").alias("hub"), F.col("comp").alias("of_hub")), "meet")
+        stars = stars.filter(F.col("comp") != F.col("of_hub"))
+        linker.verify(stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct())
+        now = keep(linker.placed(keep(_longer_keys(told, hubs, percent), "join-longer")), "join-open")
 
 
 def linked(
@@ -412,7 +532,7 @@ def linked(
     dealt = dealt.groupBy("bucket").applyInArrow(_set_counts, "bucket int, block bigint, grams binary, owners binary, counts binary")
     stayed = packed.filter("tally is null").select("bucket", "block", "grams", "owners", F.lit(None).cast("binary").alias("counts"))
     both = named.select("block", "place", "sid").groupBy("block").cogroup(dealt.unionByName(stayed).groupBy("block"))
-    kept = both.applyInArrow(_rarest(percent), "sid bigint, n bigint, gram bigint, df int, at bigint, listed boolean, rank double")
+    kept = both.applyInArrow(_rarest(percent), "sid binary, n bigint, gram bigint, df int, at bigint, listed boolean, rank double")
     kept = keep(kept.distinct(), "join-rarest")
     sets = keep(named.select("sid", "n", "grams").join(kept.select("sid").distinct(), "sid", "left_semi"), "join-sets")
     comp = _links(sets, _candidate_keys(kept, percent), percent)
@@ -439,11 +559,8 @@ def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", words
     gone = groups.filter(F.col("_row") != F.col("component")).select("_row").distinct()
     again = groups.filter((F.col("_row") == F.col("component")) & (F.col("n_shingles") > 0)).groupBy("_row").count().filter("count > 1").select("_row")
 
-    def small(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-    single = named.join(small(keep(gone.unionByName(again), "gone")), "_row", "left_anti")
-    twice = named.join(small(again), "_row", "left_semi").dropDuplicates(["_row"])
+    single = named.join(_small(keep(gone.unionByName(again), "gone")), "_row", "left_anti")
+    twice = named.join(_small(again), "_row", "left_semi").dropDuplicates(["_row"])
     return single.unionByName(twice).select(*df.columns)
 
 

@@ -80,6 +80,60 @@ def test_any_boundary_is_right(spark, monkeypatch, boundary):
     assert as_rows(jaccard_join.linked(df)) == brute(rows)
 
 
+def apart(n, words, changed, seed, vocabulary=None):
+    """Texts of one base with some words changed: few of them link, all share most n-grams."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        near = list(base)
+        for k in range(changed):
+            near[r.randrange(words)] = r.choice(vocabulary) if vocabulary else f"x{i}.{k}"
+        rows.append((i, " ".join(near)))
+    return rows
+
+
+def verified(monkeypatch):
+    """The number of pairs that are compared from now on, as a list of counts."""
+    counts, old = [], jaccard_join._verified
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return old(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    return counts
+
+
+@pytest.mark.parametrize("light", [2])
+def test_heavy_lists_by_differences(spark, monkeypatch, light):
+    """With nearly every open list heavy, the differences give the same links."""
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
+    calls, old = [], jaccard_join._differences
+    monkeypatch.setattr(jaccard_join, "_differences", lambda *a: calls.append(1) or old(*a))
+    r = random.Random(light)
+    rows = [(1000 + k, t) for k, t in corpus(4, 25)]
+    rows += [(k, t) for k, t in apart(40, 60, 1, 3)] + [(100 + k, t + " " + " ".join(f"z{k}.{j}" for j in range(r.randint(0, 9)))) for k, t in apart(40, 40, 1, 5)]
+    rows += [(200 + k, t) for k, t in apart(40, 90, 2, 7, vocabulary=["u", "v", "w"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert as_rows(jaccard_join.linked(df)) == brute(rows)
+    assert calls
+
+
+@pytest.mark.parametrize("words, changed", [(60, 1), (60, 3)])
+def test_compared_pairs_grow_in_proportion(spark, monkeypatch, words, changed):
+    """A base that ever more texts share: pairs to compare grow with the texts, not with their square."""
+    vocabulary = [f"v{i}" for i in range(3000)]
+    most = []
+    for n in (200, 400):
+        counts = verified(monkeypatch)
+        rows = apart(n, words, changed, n, vocabulary)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+        assert as_rows(jaccard_join.linked(df)) == brute(rows)
+        most.append(sum(counts))
+    assert most[1] <= 2.6 * most[0] + 100, most
+
+
 def test_large_group_of_near_copies(spark):
     """One group with most rows: hubs link it without pairing it out."""
     r = random.Random(5)
