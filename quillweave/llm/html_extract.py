@@ -10,6 +10,10 @@ table of hashed cues, and added up map-side.
 
 Inside the region, what stands in something that is never content is left out.  It doesn't end
 the region inside content, nor anywhere on a page whose ``article`` or ``main`` holds no words.
+An element is taken for such by its tag or by a whole class, id or role (``site-footer``, but not
+``tag-search``); other names only are cues.  ``article`` and ``main`` never are by their names, and an
+element around most of the page's content, or of its words if nothing is marked as content, is
+spared.  Where a page would be left without text, names count for nothing.
 """
 
 from __future__ import annotations
@@ -31,27 +35,35 @@ SLOTS = 4096
 MOST = 4.0
 #: score of a word that nothing is known about
 PLAIN = 0.25
+#: cost of a tag, at most, inside what a page marks as content; a word there scores at least ``PLAIN``
+MARKED_COST = 0.02
 CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: contents are no text of the page
-SKIPPED = frozenset("script style noscript template iframe svg canvas object math title textarea select option head video audio".split())
+SKIPPED = frozenset("script style template iframe svg canvas title textarea select option head video audio annotation annotation-xml".split())
 #: contents are raw: nothing in them is a tag but their own end
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder munderover mspace mpadded semantics object noscript "
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input button".split()
 )
 #: never content: elements, and words of class, id and role
 NEVER_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+#: those of them that some pages put around everything
+AROUND_TAGS = frozenset("form fieldset aside".split())
 NEVER_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary
     consent contentinfo cookie cookies dialog disqus footer form login menu modal nav navbar navigation newsletter notice
     notices pager pagination popup promo related reply replies respond search share sharing sidebar signup social sponsor
     sponsored subscribe toolbar widget""".split()
 )
+#: parts of a name that only say what kind of box it is on (comment-list, site-footer, ad-slot)
+BOXES = frozenset(
+    """area bar block body bottom box column container group inner item items left line links list main menu outer page panel post posts right
+    row section site slot top unit wrap wrapper zone""".split()
+)
 #: only outside of content
 PAGE_NAMES = frozenset("header masthead".split())
-#: a name with one of these parts is about the layout of what it's on (no-sidebar, has-header, content-sidebar-wrap, ad-free)
-LAYOUT = frozenset("no not non without with has is content free".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -65,11 +77,27 @@ def _slot(cue: str) -> int:
     return zlib.crc32(cue.encode()) % SLOTS
 
 
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of class, id and role, and the words of those names that say nothing else."""
+    words: set[str] = set()
+    said: set[str] = set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.findall(r"[a-z]+", token)
+            words.update(parts)
+            telling = [p for p in parts if p not in BOXES or p in NEVER_NAMES]
+            if all(p in NEVER_NAMES or p in PAGE_NAMES for p in telling):
+                said.update(telling)
+    return words, said
+
+
 class Walk:
-    """Items of a page in order: ``(kind, value, cues, content, never)``.
+    """Items of a page in order: ``(kind, value, cues, content, vetoes)``.
 
     ``kind`` is ``"words"`` (value: the raw text) or ``"tag"`` (value: its name); ``cues`` are
-    the distinct hashed cues around words; ``content`` and ``never`` tell what surrounds them.
+    the distinct hashed cues around words; ``content`` tells whether content surrounds them, and
+    ``vetoes`` which of the elements that are never content: numbers into ``kinds``, which tells of each
+    whether it is so by its tag, and whether it may be around the content.
     """
 
     def __init__(self, page: str):
@@ -78,23 +106,20 @@ class Walk:
         self.names: dict[str, int] = {}
         self.cues: dict[int, int] = {}
         self.content = 0
-        self.never = 0
+        self.vetoes: tuple[int, ...] = ()
+        self.kinds: list[tuple[bool, bool]] = []
 
     def _push(self, name: str, attributes: str) -> None:
-        words: set[str] = set()
-        said: set[str] = set()
-        for m in _NAMED.finditer(attributes) if attributes else ():
-            for token in (m[2] or m[3] or m[4] or "").lower().split():
-                parts = re.findall(r"[a-z]+", token)
-                words.update(parts)
-                if LAYOUT.isdisjoint(parts):
-                    said.update(parts)
-        content = name in CONTENT and not said & NEVER_NAMES
-        never = name in NEVER_TAGS or bool(said & NEVER_NAMES)
-        if not self.content and (name == "header" or said & PAGE_NAMES):
-            never = True
-        if name in ("html", "body"):
-            never = False  # a class of the whole page says nothing
+        words, said = _names(attributes) if attributes else (set(), set())
+        content = name in CONTENT and not (self.content and said & NEVER_NAMES)  # a comment's article is none
+        by_name = bool(said & NEVER_NAMES) or not self.content and bool(said & PAGE_NAMES)
+        by_tag = name in NEVER_TAGS or not self.content and name == "header"
+        # a class of the whole page says nothing, nor does one of what holds its content
+        never = (by_tag or by_name) and not content and name not in ("html", "body")
+        if never:
+            self.vetoes += (len(self.kinds),)
+            by_tag = by_tag and name not in AROUND_TAGS
+            self.kinds.append((by_tag, not by_tag and not self.content))
         # a named element says what its name says; the plain tag's odds are those of plain ones
         cues = tuple({_slot(f".{w}") for w in words} or {_slot(name)})
         self.open.append((name, cues, content, never))
@@ -102,7 +127,6 @@ class Walk:
         for c in cues:
             self.cues[c] = self.cues.get(c, 0) + 1
         self.content += content
-        self.never += never
 
     def _pop(self) -> str:
         name, cues, content, never = self.open.pop()
@@ -112,7 +136,8 @@ class Walk:
             if not self.cues[c]:
                 del self.cues[c]
         self.content -= content
-        self.never -= never
+        if never:
+            self.vetoes = self.vetoes[:-1]
         return name
 
     def _close(self, name: str) -> None:
@@ -135,14 +160,14 @@ class Walk:
                 if at not in INLINE and at != "p":
                     break
 
-    def __iter__(self) -> Iterator[tuple[str, str, tuple[int, ...], bool, bool]]:
+    def __iter__(self) -> Iterator[tuple[str, str, tuple[int, ...], bool, tuple[int, ...]]]:
         page, at = self.page, 0
         while at < len(page):
             opens = page.find("<", at)
             if opens < 0:
                 opens = len(page)
             if opens > at:
-                yield "words", page[at:opens], tuple(self.cues), self.content > 0, self.never > 0
+                yield "words", page[at:opens], tuple(self.cues), self.content > 0, self.vetoes
             if opens == len(page):
                 return
             if page.startswith("<!--", opens):
@@ -151,7 +176,7 @@ class Walk:
                 continue
             m = _TAG.match(page, opens)
             if not m:
-                yield "words", "<", tuple(self.cues), self.content > 0, self.never > 0
+                yield "words", "<", tuple(self.cues), self.content > 0, self.vetoes
                 at = opens + 1
                 continue
             at = m.end()
@@ -161,7 +186,7 @@ class Walk:
             name = name.lower()
             if end_tag:
                 self._close(name)
-                yield "tag", name, (), self.content > 0, self.never > 0
+                yield "tag", name, (), self.content > 0, self.vetoes
                 continue
             if name in SKIPPED:
                 at = self._skip(name, at, attributes)
@@ -169,7 +194,7 @@ class Walk:
             self._imply(name)
             if name not in VOID:
                 self._push(name, attributes)
-            yield "tag", name, (), self.content > 0, self.never > 0
+            yield "tag", name, (), self.content > 0, self.vetoes
 
     def _skip(self, name: str, at: int, attributes: str) -> int:
         """Past the end tag of an element without text; ``head`` also ends where the body begins."""
@@ -189,9 +214,39 @@ class Walk:
         return end.end() if end else (len(self.page) if name in RAW else at)
 
 
+Item = tuple[str, str, tuple[int, ...], bool, bool]
+
+
+def items_of(page: str) -> tuple[list[Item], list[Item] | None]:
+    """A page's items with one flag in place of the vetoes: whether one stands that nothing spares.
+
+    Also the same with vetoes by tag only, where those by name may have left nothing.
+    """
+    walk = Walk(page)
+    items = list(walk)
+    held = [[0, 0] for _ in walk.kinds]
+    total = [0, 0]
+    for kind, value, _, content, vetoes in items:
+        if kind == "words":
+            n = len(value.split())
+            total[content] += n
+            for v in vetoes:
+                held[v][content] += n
+    marked = total[1] > 0
+    # around most of what is marked as content, or, where nothing is, of all words
+    spared = {v for v, (_, around) in enumerate(walk.kinds) if around and 2 * held[v][marked] > total[marked]}
+    by_name = {v for v, (by_tag, _) in enumerate(walk.kinds) if not by_tag}
+
+    def flagged(free: set[int]) -> list[Item]:
+        return [(kind, value, cues, content, bool(vetoes) and not free.issuperset(vetoes)) for kind, value, cues, content, vetoes in items]
+
+    bare = marked or not any(kind == "tag" and value in CONTENT for kind, value, *_ in items)
+    return flagged(spared), flagged(by_name) if bare and by_name - spared else None
+
+
 def count_cues(page: str, table: np.ndarray) -> None:
     """Adds a labelled page's words and tags to ``table``: [words around cue, words, tags] x [outside, content]."""
-    items = list(Walk(page))
+    items, _ = items_of(page)
     if not any(i[3] and not i[4] for i in items):
         return
     for kind, value, cues, content, never in items:
@@ -242,7 +297,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best region, one a line, white space inside them brought to one space."""
-    items = list(Walk(page))
+    items, without_names = items_of(page)
+    text = _region_text(items, weights)
+    return text if text or without_names is None else _region_text(without_names, weights)
+
+
+def _region_text(items: list[Item], weights: Weights) -> str:
     known: dict[tuple, float] = {}
     labelled = any(kind == "words" and content and not never and not value.isspace() for kind, value, _, content, never in items)
     scores = []
@@ -251,11 +311,13 @@ def main_text(page: str, weights: Weights) -> str:
             scores.append(0.0)  # passed over: neither content nor a reason to end it
             continue
         if kind == "tag":
-            scores.append(-float(weights.cost[_slot(value)]))
+            cost = float(weights.cost[_slot(value)])
+            scores.append(-min(cost, MARKED_COST) if content and labelled else -cost)
             continue
         if (cues, never) not in known:
             known[cues, never] = weights.word(cues, never)
-        scores.append(len(value.split()) * known[cues, never])
+        score = known[cues, never]
+        scores.append(len(value.split()) * (max(score, PLAIN) if content and labelled else score))
     first, last = best_region(scores)
     blocks: list[str] = []
     held: list[str] = []
@@ -302,7 +364,9 @@ def extract(pages: DataFrame, *, page: str = "html", carry: tuple[str, ...] = ("
     """The ``carry`` columns and ``text`` of every page's whole html.
 
     Null and empty pages, and pages without a positive region, have an empty text.  Repeated
-    rows and null keys are extracted like any other; an empty table gives no rows.
+    rows and null keys are extracted like any other, pages of any length whole, one at a time; of
+    regions with equal sums the first is taken; other columns, whatever their names, play no part;
+    an empty table gives no rows.
     """
     weights = learn(pages, page)
     fields = pages.select(*carry).schema
