@@ -17,7 +17,6 @@ Keys must be unique within a pool; a null key is a key like any other.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillweave.functions.hashing import HASH_BITS, hash60
-from quillweave.sources.writers import scratch_root
+from quillweave.sources.writers import staged
 
 BUCKET_BITS = 12
 SMALL_BUCKET = 20_000
@@ -277,30 +276,34 @@ def first_rows(
 ) -> tuple[DataFrame, Column]:
     """``df`` with helper columns, and whether a row is among the first ``amount(size)`` of its pool.
 
-    Rows per (pool, leading digit) are counted map-side; running sums per pool, at most
+    Rows per (pool, leading digit) are counted map-side and kept; running sums per pool, at most
     ``2**BUCKET_BITS`` rows each, give the cell of the last row wanted, and a row number
     inside that cell the row itself.  The cuts, one row per pool, are joined by pool:
     broadcast if there are few, else shuffled.  Any number of pools; null is one of them.
-    Raises ``SampleTooLarge`` where more is wanted than there is.
+    Raises ``SampleTooLarge`` where more is wanted than there is.  The key columns of ``df`` are
+    read twice and its rows once: stage what is costly to compute (``staged``).
     """
     row_key = [F.col(c) for c in key]
     h = hash60(seed, salt, *row_key)
     thin = df.select(pool.alias("_p"), h.alias("_h"), *row_key).withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
-    cells = thin.groupBy("_p", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cells = staged(thin.groupBy("_p", "_b").agg(F.count(F.lit(1)).alias("_n")))
     own = Window.partitionBy("_p")
     summed = cells.select(
         "_p", "_b", "_n", F.sum("_n").over(own).alias("_size"),
         F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
     ).withColumn("_k", amount(F.col("_size")).cast("bigint"))
-    if not summed.filter(F.col("_k") > F.col("_size")).isEmpty():
+    by_pool = summed.filter("_upto = _size").agg(F.coalesce(F.max(F.col("_k") > F.col("_size")), F.lit(False)), F.count_if(F.col("_k") > 0))
+    too_much, pools = by_pool.first()  # two numbers
+    if too_much:
         raise SampleTooLarge("more rows wanted than a pool holds")
     last = summed.filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
     last = last.select(F.col("_p").alias("_lp"), F.col("_b").alias("_lb"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_nth"))
+    if pools <= BROADCAST_POOLS:
+        last = F.broadcast(last)
     inside = thin.join(last, F.col("_p").eqNullSafe(F.col("_lp")) & (F.col("_b") == F.col("_lb")))
     nth = Window.partitionBy("_p", "_b").orderBy("_h", *key)
     cuts = inside.withColumn("_rn", F.row_number().over(nth)).filter("_rn = _nth")
     cuts = cuts.select(F.col("_p").alias("_cp"), F.col("_h").alias("_ch"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(key)])
-    pools = summed.filter("_k > 0").select("_p").distinct().count()  # one number
     if pools <= BROADCAST_POOLS:
         cuts = F.broadcast(cuts)
     joined = df.withColumn("_pool", pool).join(cuts, F.col("_pool").eqNullSafe(F.col("_cp")), "left")
@@ -510,13 +513,6 @@ def attach(df: DataFrame, drawn: DataFrame, key: Sequence[str], rows: int) -> Da
     return _on_key(copied, spread, [*key, "_share"]).drop("_share")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once and read back, for a small table that is used several times."""
-    path = f"{scratch_root(df.sparkSession)}/sampling-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _on_key(df: DataFrame, drawn: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on the key, a null equal to a null."""
     named = drawn.withColumnsRenamed({k: f"_k_{k}" for k in key})

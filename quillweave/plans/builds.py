@@ -13,6 +13,7 @@ from quillweave.operators.gate import pinned, with_validity
 from quillweave.operators.masking import MASKERS
 from quillweave.operators.qa import QA_BUILDERS
 from quillweave.operators.sampling import split_by_share
+from quillweave.sources.writers import staged
 
 
 def chosen(registry: Mapping[str, object], subsets: Iterable[str] | None) -> list[str]:
@@ -56,7 +57,11 @@ def build_qa(
     percent: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """Question/answer rows of the chosen corpora with ``subset`` and ``split`` (train/test)."""
+    """Question/answer rows of the chosen corpora with ``subset`` and ``split`` (train/test).
+
+    The builders run once: their rows are written to the shared folder, the pools are counted
+    and cut on the stored keys, and the split is taken while the rows are read back.
+    """
     parts = []
     for name in chosen(QA_BUILDERS, corpora if subsets is None else subsets):
         rows = QA_BUILDERS[name](corpora[name], key)
@@ -64,5 +69,5 @@ def build_qa(
             rows = rows.withColumn("pair", F.lit(0))
         parts.append(rows.withColumn("subset", F.lit(name)))
     return split_by_share(
-        _together(parts), (*key, "pair"), pool=F.col("subset"), percent=percent, seed=seed
+        staged(_together(parts)), (*key, "pair"), pool=F.col("subset"), percent=percent, seed=seed
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,23 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="quillweave-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """``df`` written to the shared folder once and read back; the folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(stored)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "errorifexists") -> str:
     """Raw UTF-8 JSON lines; null fields are written."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
