@@ -60,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
@@ -70,10 +70,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and no executor's loss undoes it."""
+    """Write ``df`` to the shared folder and read it back: computed once, and no executor's loss undoes it.
+
+    What was written goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(stored)
     return spark.read.schema(df.schema).parquet(path)
 
 
