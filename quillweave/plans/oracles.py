@@ -688,6 +688,15 @@ ORACLES["jsonl_roundtrip"] = (
 )
 ORACLES["jsonl_quarantine"] = """select doc_id, case when doc_id % 10 <> 3 then text end as text,
   case when doc_id % 10 = 3 then 'quarantine' else 'row' end as status from documents where doc_id % 10 not in (5, 7)"""
+ORACLES["jsonl_statuses"] = """select case doc_id % 10 when 3 then 'broken' when 8 then 'byte_order_mark' when 9 then 'not_utf8' else 'row' end as status,
+  doc_id, case when doc_id % 10 not in (3, 8, 9) then length(text) end as chars from documents where doc_id % 10 not in (5, 7)"""
+ORACLES["publish_replace"] = """select subset, split, count(*) as n, sum(length(text))::BIGINT as chars, count(*) as manifest_rows, false as wrong
+from (select source as subset, 'train' as split, case when source = 'src1' then 'new ' || text else text end as text
+  from documents where source <> 'src1' or doc_id % 3 = 0) group by subset, split"""
+ORACLES["split_shards"] = """select doc_id, length(text) as chars from documents where doc_id % 10 = 0
+union all select -1, count(*) from documents where doc_id % 10 = 0"""
+ORACLES["shuffled_files"] = f"""select rank // 1000 as block, min(rank) as first, max(rank) as last, count(*) as n, arg_min(doc_id, rank) as first_doc, arg_max(doc_id, rank) as last_doc
+from (select doc_id, {ranked(42, 'order')} as rank from documents) group by rank // 1000"""
 ORACLES["publish_layout"] = f"""select source as subset, split, count(*) as n, sum(length(text))::BIGINT as chars
 from (select *, {SPLIT} from documents) group by source, split"""
 

@@ -661,6 +661,66 @@ def publish_layout(spark, sf):
     )
 
 
+@query
+def publish_replace(spark, sf):
+    """One subset published again with other rows: it is replaced, the others are as they were, and the manifest agrees."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("subset"), F.lit("train").alias("split"))
+    root = writers.republish(docs, _scratch(spark, "republished"))
+    writers.write_manifest(docs, root)
+    again = docs.filter("subset = 'src1' and doc_id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    writers.write_manifest(again, writers.republish(again, root))
+    whole = spark.read.schema("doc_id bigint, text string, subset string, split string").parquet(root)
+    kept = whole.groupBy("subset", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    said = spark.read.parquet(f"{root}/_manifest").select(F.col("subset"), "split", F.col("rows").alias("manifest_rows"))
+    wrong = writers.unlike_manifest(spark, root).select("subset", "split", F.lit(True).alias("wrong"))
+    return kept.join(said, ["subset", "split"], "full").join(wrong, ["subset", "split"], "left").withColumn("wrong", F.coalesce("wrong", F.lit(False)))
+
+
+@query
+def split_shards(spark, sf):
+    """Two splits written as numbered shards into one folder, and one of them read by its name."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    root = _scratch(spark, "shards")
+    for split, rows in (("test", docs.filter("doc_id % 10 = 0")), ("train", docs.filter("doc_id % 10 <> 0 or doc_id is null"))):
+        writers.write_split_shards(rows, root, split, 4)
+    read = readers.read_split_shards(spark, root, "test", "doc_id bigint, text string")
+    index = spark.read.schema("file string, rows bigint").json(f"{root}/_shards/test")
+    return read.select("doc_id", F.char_length("text").alias("chars")).unionByName(index.agg(F.lit(-1).cast("bigint").alias("doc_id"), F.sum("rows").cast("int").alias("chars")))
+
+
+@query
+def shuffled_files(spark, sf):
+    """Rows written in shuffled order, a thousand ranks a block: what each block holds, and that its files are sorted."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ranked = sampling.hash_rank(docs, ["doc_id"], seed=42)
+    root = writers.write_in_order(ranked, _scratch(spark, "ordered"), rows_per_file=1000)
+    back = spark.read.schema("doc_id bigint, text string, rank bigint, block bigint").parquet(root)
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
+    placed = back.select("block", "rank", "doc_id", at.alias("at"))
+    return placed.groupBy("block").agg(
+        F.min("rank").alias("first"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("n"), F.min_by("doc_id", "at").alias("first_doc"), F.max_by("doc_id", "at").alias("last_doc")
+    )
+
+
+@query
+def jsonl_statuses(spark, sf):
+    """Lines with all sorts of damage, parsed once and written by status."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    line = F.to_json(F.struct("doc_id", "text"))
+    shape = F.col("doc_id") % 10
+    damaged = (
+        F.when(shape == 3, F.concat(F.lit("x"), line).cast("binary")).when(shape == 5, F.lit("null").cast("binary")).when(shape == 7, F.lit("  ").cast("binary"))
+        .when(shape == 8, F.concat(F.lit("\ufeff"), line).cast("binary")).when(shape == 9, F.concat(line.cast("binary"), F.unhex(F.lit("FF"))))
+        .otherwise(F.concat(F.lit(" "), line, F.lit(" ")).cast("binary"))
+    )
+    path = _scratch(spark, "lines")
+    docs.select(damaged.cast("string").alias("value")).write.text(path)
+    root = writers.sort_jsonl(spark, path, "doc_id bigint, text string", _scratch(spark, "statuses"))
+    told = spark.read.schema("file string, line binary, row struct<doc_id: bigint, text: string>, status string").parquet(root)
+    number = F.regexp_extract(F.decode(F.substring("line", 1, 60), "ISO-8859-1"), r'"doc_id":(\d+)', 1).try_cast("bigint")
+    return told.select("status", F.coalesce("row.doc_id", number).alias("doc_id"), F.char_length("row.text").alias("chars"))
+
+
 def _published(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("subset"))
     labelled = sampling.split_by_share(docs, ["doc_id"], pool=F.col("subset"))

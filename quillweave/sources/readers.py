@@ -63,7 +63,7 @@ def read_subset(
 
 
 def read_split_shards(spark: SparkSession, root: str, split: str, schema: str | None = None) -> DataFrame:
-    """All ``<split>-*.parquet`` files anywhere under ``root``; none is an error."""
+    """All ``<split>-*.parquet`` files anywhere under ``root``; none, or a missing one of ``-i-of-n``, is an error."""
     require_paths(spark, root)
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{split}-*.parquet")
     if schema is not None:
@@ -75,8 +75,16 @@ def read_split_shards(spark: SparkSession, root: str, split: str, schema: str |
             raise FileNotFoundError(f"no parquet files of split {split!r} under {root}") from problem
         raise
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{split}-*.parquet")
-    if files.load(root).select("path").isEmpty():
+    names = files.load(root).select("path")
+    # by folder and number of shards: how many of them there are
+    number = [F.regexp_extract("path", r"^(.*)/[^/]*-(\d+)-of-(\d+)\.parquet$", i) for i in (1, 2, 3)]
+    shards = names.select(number[0].alias("folder"), number[1].try_cast("int").alias("shard"), number[2].try_cast("int").alias("shards"))
+    told = shards.groupBy("folder", "shards").agg(F.count_distinct("shard").alias("there"), F.max("shard").alias("last")).collect()
+    if not told:
         raise FileNotFoundError(f"no parquet files of split {split!r} under {root}")
+    for r in told:
+        if r["shards"] is not None and (r["there"] != r["shards"] or r["last"] != r["shards"] - 1):
+            raise FileNotFoundError(f"{r['there']} of {r['shards']} shards of split {split!r} in {r['folder']}")
     return df
 
 

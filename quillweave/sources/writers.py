@@ -88,3 +88,112 @@ def publish(
         .parquet(root)
     )
     return root
+
+
+# ---- split shards ------------------------------------------------------------------------
+def write_split_shards(df: DataFrame, root: str, split: str, shards: int) -> str:
+    """Rows dealt evenly over ``<root>/<split>-<i>-of-<n>.parquet``, with an index of the shards' rows.
+
+    The job writes to a staging folder; its ``shards`` files are then renamed, and the index
+    ``<root>/_shards/<split>`` comes last, so shards without an index are a write that did not end.
+    """
+    spark = df.sparkSession
+    folder = f"{root}/_staging-{uuid.uuid4().hex}"
+    df.repartition(shards).write.option("parquet.enable.summary-metadata", "false").parquet(folder)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(str(x.getPath().getName()) for x in files.listStatus(paths(folder)) if x.getPath().getName().startswith("part-"))
+    rows = {r["f"]: r["count"] for r in spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()}
+    index = []
+    for i in range(shards):
+        name = f"{split}-{i:05d}-of-{shards:05d}.parquet"
+        if i < len(parts):
+            files.rename(paths(f"{folder}/{parts[i]}"), paths(f"{root}/{name}"))
+        else:  # fewer rows than shards
+            empty = f"{folder}-{i}"
+            df.limit(0).coalesce(1).write.parquet(empty)
+            (part,) = [x.getPath() for x in files.listStatus(paths(empty)) if x.getPath().getName().startswith("part-")]
+            files.rename(part, paths(f"{root}/{name}"))
+            files.delete(paths(empty), True)
+        index.append((name, i, shards, rows.get(parts[i], 0) if i < len(parts) else 0))
+    files.delete(paths(folder), True)
+    spark.createDataFrame(index, "file string, shard int, shards int, rows bigint").coalesce(1).write.mode("overwrite").json(f"{root}/_shards/{split}")
+    return root
+
+
+# ---- replacing a part of what is published ------------------------------------------------
+def republish(df: DataFrame, root: str, *, rows_per_file: int = 1_000_000) -> str:
+    """Replace just the subsets and splits that ``df`` holds; all others stay as they are.
+
+    Spark stages the files and moves them at the end of the job, partition by partition (dynamic
+    partition overwrite): a job that fails leaves the old rows.  Can be run again.
+    """
+    (
+        df.hint("rebalance", F.col("subset"), F.col("split"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("subset", "split").parquet(root)
+    )
+    return root
+
+
+def _digests(df: DataFrame) -> DataFrame:
+    """Rows and an order-free digest of each subset and split."""
+    others = sorted(c for c in df.columns if c not in ("subset", "split"))
+    return df.groupBy("subset", "split").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*others)).alias("digest"))
+
+
+def write_manifest(df: DataFrame, root: str) -> str:
+    """What ``df`` published, as rows and digests of its subsets and splits, beside the table; replaces the entries of just those."""
+    (
+        _digests(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("subset", "split").parquet(f"{root}/_manifest")
+    )
+    return root
+
+
+def unlike_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Subsets and splits whose rows are not what the manifest says: ``subset``, ``split``, ``rows``, ``rows_there``."""
+    there = _digests(spark.read.option("basePath", root).parquet(root)).withColumnsRenamed({"rows": "rows_there", "digest": "digest_there"})
+    said = spark.read.parquet(f"{root}/_manifest")
+    both = said.join(there, ["subset", "split"], "full")
+    same = F.col("rows").eqNullSafe(F.col("rows_there")) & F.col("digest").eqNullSafe(F.col("digest_there"))
+    return both.filter(~same).select("subset", "split", "rows", "rows_there")
+
+
+# ---- shuffled order ----------------------------------------------------------------------
+def write_in_order(ranked: DataFrame, root: str, *, rank: str = "rank", rows_per_file: int = 1_000_000) -> str:
+    """A table in the order of its dense 0-based ``rank``: folder ``block=i`` holds ranks i*B to (i+1)*B-1, sorted.
+
+    The rank itself says where a row belongs, so no pass samples bounds; rows are sorted inside blocks only.
+    """
+    placed = ranked.withColumn("block", F.floor(F.col(rank) / rows_per_file).cast("bigint"))
+    placed.repartition("block").sortWithinPartitions("block", rank).write.partitionBy("block").parquet(root)
+    return root
+
+
+# ---- lines of JSON, good and bad ----------------------------------------------------------
+def sort_jsonl(spark: SparkSession, path: str, schema: str, root: str) -> str:
+    """Every line of JSON files once, by ``status``: rows that parse, and what is wrong with the others.
+
+    One parse and one write, partitioned by ``status``: ``row`` (the fields), ``broken`` (no JSON of the
+    schema), ``not_utf8``, ``byte_order_mark``; ``file`` and, for all but rows, the raw ``line`` (bytes) are kept.
+    Blank lines and ``null`` are nothing.
+    """
+    from quillweave.functions.text import strip
+
+    broken = "_broken"
+    lines = spark.read.text(path).select(F.col("value"), strip(F.col("value")).alias("line"), F.col("_metadata.file_name").alias("file"))
+    lines = lines.filter("line <> '' and line <> 'null'")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    parsed = lines.select("value", "file", F.from_json("line", f"{schema}, {broken} string", options).alias("_row"))
+    status = (
+        F.when(~F.call_function("is_valid_utf8", "value"), "not_utf8")
+        .when(F.col("value").startswith("\ufeff"), "byte_order_mark")
+        .when(F.col("_row").isNull() | F.col(f"_row.{broken}").isNotNull(), "broken")
+        .otherwise("row")
+    )
+    told = parsed.select(status.alias("status"), "file", "value", "_row").select(
+        "status", "file", F.when(F.col("status") != "row", F.col("value").cast("binary")).alias("line"), F.when(F.col("status") == "row", F.col("_row").dropFields(broken)).alias("row")
+    )
+    told.write.partitionBy("status").parquet(root)
+    return root

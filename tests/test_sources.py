@@ -139,3 +139,32 @@ def test_masking_a_stream_equals_the_batch(spark, tmp_path):
         job.awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(out).collect()))
     assert got == sorted(map(tuple, masking.mask_cnn_daily_mail(df).collect()))
+
+
+def test_missing_shard_is_an_error(spark, tmp_path):
+    root = str(tmp_path / "shards")
+    writers.write_split_shards(spark.range(2), root, "train", 3)  # one shard has no rows
+    writers.write_split_shards(spark.range(100), root, "test", 2)
+    assert readers.read_split_shards(spark, root, "train", "id bigint").count() == 2
+    assert sorted(p.name for p in tmp_path.glob("shards/*.parquet")) == [f"test-0000{i}-of-00002.parquet" for i in (0, 1)] + [f"train-0000{i}-of-00003.parquet" for i in (0, 1, 2)]
+    index = spark.read.json(f"{root}/_shards/test").collect()
+    assert sum(r["rows"] for r in index) == 100 and max(r["rows"] for r in index) <= 51
+    (tmp_path / "shards" / "train-00001-of-00003.parquet").unlink()
+    with pytest.raises(FileNotFoundError, match="2 of 3"):
+        readers.read_split_shards(spark, root, "train", "id bigint")
+    assert readers.read_split_shards(spark, root, "test", "id bigint").count() == 100
+
+
+def test_failed_republish_leaves_the_old_rows(spark, tmp_path):
+    root = str(tmp_path / "published")
+    rows = spark.range(90).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("subset"), F.lit("train").alias("split"))
+    writers.write_manifest(rows, writers.republish(rows, root))
+    bad = rows.filter("subset = 's1'").withColumn("id", F.when(F.col("id") > 50, F.raise_error(F.lit("no"))).otherwise(F.col("id") + 1000).cast("bigint"))
+    with pytest.raises(Exception):
+        writers.republish(bad, root)
+    read = lambda: spark.read.schema("id bigint, subset string, split string").parquet(root)
+    assert sorted(map(tuple, read().collect())) == sorted(map(tuple, rows.collect()))
+    assert writers.unlike_manifest(spark, root).isEmpty()
+    writers.republish(rows.filter("subset = 's2' and id > 60"), root)
+    assert [tuple(r) for r in writers.unlike_manifest(spark, root).collect()] == [("s2", "train", 30, 10)]
+    assert read().filter("subset <> 's2'").count() == 60
