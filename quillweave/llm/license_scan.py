@@ -14,9 +14,10 @@ exact set-similarity join of templates and windows:
 
 Base phrases (places where words stand consecutively) are found beside it and keep their labels.
 
-Labels are those of all templates contained so far, not the license that holds: templates that
-differ in a word are not told apart (CC BY-NC lines are also labelled cc-by, the long CC BY
-sentence also cc-by-nc), and of a license only the parts that are templates are found.
+Licenses that differ in a word (CC BY, BY-NC, BY-SA, BY-ND, ...) are told apart by that word: from
+a word that begins the template to where its window has enough words, itself no distinguishing one,
+no such word of the family may stand but the template's own, and each of those must.  Templates are the paragraphs of a
+license, so a text that holds only a later one, such as the warranty, is found too.
 """
 
 from __future__ import annotations
@@ -36,25 +37,42 @@ CONTAINMENT = 0.9
 SLACK = 1.25
 #: phrase -> label
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label -> templates
+#: label -> templates, a paragraph of the license or a usual notice each (fixed values)
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     ),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "cc-by": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    "cc-by-nc-nd": ("licensed under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    "cc-by-nc-sa": ("licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    "cc-by-nd": ("licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    "cc-by-sa": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     ),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "mit": (
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     ),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
 }
+#: words that tell licenses of a family apart -> what they say (fixed values); a label is of the family that it begins with
+MARKS: dict[str, dict[str, str]] = {
+    "cc-": {"nc": "noncommercial", "noncommercial": "noncommercial", "nd": "noderivatives", "noderivs": "noderivatives", "noderivatives": "noderivatives", "sa": "sharealike", "sharealike": "sharealike"},
+}
 
 #: capitals to small letters, everything that is no word character to space; bytes beyond ASCII are word characters
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -71,9 +89,27 @@ class Template:
         self.words = frozenset(words)
         self.need = math.ceil(containment * len(self.words) - 1e-9)
         self.window = math.ceil(SLACK * len(words))
+        family = next((m for f, m in MARKS.items() if label.startswith(f)), {})
+        self.marks = {w.encode(): what for w, what in family.items()}
+        self.own = frozenset(self.marks[w] for w in self.words if w in self.marks)
+        # as many words as may be missing can't all be the first that is there
+        self.first = frozenset(list(dict.fromkeys(words))[: len(self.words) - self.need + 1]) - self.marks.keys() if self.marks else self.words
         order = sorted(self.words, key=lambda w: (seen.get(w, 0), w))
         self.rare = tuple(order[: len(order) - self.need + 1])
 
+    def _marked(self, words: list[bytes], hits: list[tuple[int, bytes]]) -> bool:
+        """Whether the words up to the ``need``-th distinct template word hold the template's marks and no others."""
+        if not self.marks:
+            return True
+        seen: set[bytes] = set()
+        for end, word in hits:
+            seen.add(word)
+            if len(seen) == self.need:
+                break
+        if hits[0][1] not in self.first or word in self.marks:
+            return False
+        return {self.marks[w] for w in words[hits[0][0] : end + 1] if w in self.marks} == self.own
+
     def blocks(self, folded: bytes, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(start, end, containment) of the unions of overlapping windows that match."""
         if len(words) < self.need or not any(w in folded for w in self.rare):
@@ -97,7 +133,7 @@ class Template:
                     held[hits[last][1]] += 1
                     last += 1
                 share = len(held) / len(self.words)
-                if len(held) >= self.need:
+                if len(held) >= self.need and self._marked(words, hits[first:last]):
                     end = hits[last - 1][0] + 1
                     if found and start < found[1]:
                         found = (found[0], max(found[1], end), max(found[2], share))
@@ -210,7 +246,12 @@ def scan_sql(templates: Mapping[str, Sequence[str]] = TEMPLATES, base: Mapping[s
     rows = []
     for n, (label, text) in enumerate((label, t) for label, ts in sorted(templates.items()) for t in ts):
         made = Template(label, text, containment, {})
-        rows += [f"({n}, '{label}', {made.window}, {made.need}, {len(made.words)}, '{w.decode()}')" for w in sorted(made.words)]
+        rows += [f"({n}, '{label}', {made.window}, {made.need}, {len(made.words)}, '{w.decode()}', {w in made.first})" for w in sorted(made.words)]
+    own, marks = [], []
+    for n, (label, text) in enumerate((label, t) for label, ts in sorted(templates.items()) for t in ts):
+        made = Template(label, text, containment, {})
+        own += [f"({n}, '{what}')" for what in sorted(made.own)]
+        marks += [f"({n}, '{w.decode()}', '{what}')" for w, what in sorted(made.marks.items())]
     phrases = []
     for phrase, label in base.items():
         parts = phrase.split()
@@ -222,14 +263,27 @@ with split_words as (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
   from documents),
-template (t, label, reach, need, size, word) as (values {", ".join(rows)}),
+template (t, label, reach, need, size, word, begins) as (values {", ".join(rows)}),
 spots as (select row_no, unnest(w) as word, unnest(range(0, len(w))) as pos from split_words),
-hits as (select row_no, t, label, reach, need, size, pos, spots.word from spots join template using (word)),
-windows as (
-  select a.row_no, a.t, a.label, a.need, a.size, a.pos, count(distinct b.word) as held
+hits as (select row_no, t, label, reach, need, size, pos, spots.word, begins from spots join template using (word)),
+mark (t, word, what) as (values {", ".join(marks or ["(-1, '', '')"])}),
+own (t, what) as (values {", ".join(own or ["(-1, '')"])}),
+firsts as (
+  select a.row_no, a.t, a.label, a.need, a.size, a.pos, b.word, min(b.pos) as spot
   from hits a join hits b on a.row_no = b.row_no and a.t = b.t and b.pos >= a.pos and b.pos < a.pos + a.reach
-  group by a.row_no, a.t, a.label, a.need, a.size, a.pos
-  having count(distinct b.word) >= a.need),
+  where a.begins group by a.row_no, a.t, a.label, a.need, a.size, a.pos, b.word),
+enough as (
+  select row_no, t, label, need, size, pos, count(*) as held, list_sort(list(spot))[need] as until
+  from firsts group by row_no, t, label, need, size, pos having count(*) >= need),
+said as (
+  select e.row_no, e.t, e.pos, list_sort(list(distinct m.what)) as whats
+  from enough e join mark m on m.t = e.t join spots s on s.row_no = e.row_no and s.word = m.word and s.pos between e.pos and e.until
+  group by e.row_no, e.t, e.pos),
+meant as (select t, list_sort(list(what)) as whats from own group by t),
+windows as (
+  select e.* from enough e left join said d on d.row_no = e.row_no and d.t = e.t and d.pos = e.pos left join meant o on o.t = e.t
+  where coalesce(d.whats, []) = coalesce(o.whats, []) and not exists (
+    select 1 from mark m join spots s on s.word = m.word where m.t = e.t and s.row_no = e.row_no and s.pos = e.until)),
 contained as (select row_no, list(distinct label) as labels, max(held::double / size) as score from windows group by row_no),
 places as ({" union all ".join(phrases)}),
 based as (

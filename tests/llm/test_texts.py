@@ -89,9 +89,15 @@ def windows(text, label_of):
         for t in ts:
             parts = t.split()
             size, width = len(set(parts)), -(-len(parts) * 5 // 4)
+            need = next(n for n in range(size + 1) if n / size >= license_scan.CONTAINMENT - 1e-12)
+            marks = license_scan.MARKS["cc-"] if label.startswith("cc-") else {}
             for i in range(len(words)):
                 share = len(set(words[i : i + width]) & set(parts)) / size
-                if share >= license_scan.CONTAINMENT - 1e-12:
+                if share >= license_scan.CONTAINMENT - 1e-12 and words[i] in parts:
+                    end = next(e for e in range(i, i + width) if len(set(words[i : e + 1]) & set(parts)) == need)
+                    begin = list(dict.fromkeys(parts))[: size - need + 1] if marks else parts
+                    if words[i] in marks or words[i] not in begin or words[end] in marks or {marks[w] for w in words[i : end + 1] if w in marks} != {marks[w] for w in parts if w in marks}:
+                        continue
                     labels.add(label)
                     top = max(top, share)
     places = [(i, lab) for i in range(len(words) - 1) for p, lab in license_scan.BASE.items() if words[i : i + len(p.split())] == p.split()]
@@ -120,6 +126,29 @@ def test_licenses_by_brute_force(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((k, *windows(t or "", None))) for k, t in rows)
 
 
+@pytest.mark.parametrize("kind, long", [("", ""), ("-nc", "-NonCommercial"), ("-sa", "-ShareAlike"), ("-nd", "-NoDerivatives"), ("-nc-sa", "-NonCommercial-ShareAlike"), ("-nc-nd", "-NonCommercial-NoDerivs")])
+def test_close_licenses_have_one_label(spark, kind, long):
+    """Short and long notices, with words that could be marks of another license next to them."""
+    short = f"Licensed under CC BY{kind.upper()} 4.0."
+    full = f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License."
+    texts = [short, full, f"nd sa {short} Nd nc sa the and", f"sa nd nc {full} ND, SA and more", short * 2 + " words between, a few of them, so that they stand apart " + full]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.summary(license_scan.scan(df)).collect()}
+    assert set(got.values()) == {f"cc-by{kind}"}
+
+
+def test_later_paragraphs(spark):
+    """A license's warranty alone, with a word changed and some missing."""
+    texts = {
+        "mit": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE",
+        "gpl": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU license for more details.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.summary(license_scan.scan(df)).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_blocks_and_places(spark):
     df = spark.createDataFrame([(1, "x y\nReleased under the MIT License.\n" * 2)], "doc_id bigint, text string")
     (row,) = license_scan.scan(df).collect()
