@@ -75,7 +75,9 @@ def features(text: str, stated: int | None) -> tuple[np.ndarray, np.ndarray]:
         bins.append(at + (BINS - 1 if x is None else min(BINS - 2, int(2 * np.log2(1 + x)))))
         at += BINS
     of_words = np.fromiter([zlib.crc32(w.encode()) % WORD_SLOTS for w in counts], np.int32, len(counts))
-    weights = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
+    # words that share a slot are one feature: a row has at most SLOTS entries, and no pair of a slot with itself
+    of_words, same = np.unique(of_words, return_inverse=True)
+    weights = np.bincount(same, weights=np.log1p(np.fromiter(counts.values(), np.float64, len(counts))), minlength=len(of_words)).astype(np.float32)
     weights *= WORD_SCALE / max(float(np.sqrt((weights * weights).sum())), 1e-6)
     return (
         np.concatenate([np.array(bins, np.int32), of_words]),
@@ -125,7 +127,6 @@ class FactorisationMachine:
                     continue
                 grad_w = slope * values + 1e-5 * self.weight[slots]
                 grad_v = slope * (x * total - v * x * x) + 1e-4 * v
-                # slots that two words share get both steps' size from the last; the machine tolerates that
                 seen_w[slots] += grad_w * grad_w
                 seen_v[slots] += grad_v * grad_v
                 self.weight[slots] -= rate * grad_w / np.sqrt(seen_w[slots])
@@ -205,8 +206,9 @@ def score(
 ) -> DataFrame:
     """``key``, ``score`` (double, 0 to 1) and ``predicted`` of every whole text.
 
-    Null texts count as empty and are scored like any other; an absent or null stated length
-    has a bin of its own; repeated rows score alike; an empty table gives no rows.
+    Null texts count as empty and are scored like any other, texts of any length whole; an absent or
+    null stated length has a bin of its own; repeated rows and ties score alike; other columns,
+    whatever their names, play no part; an empty table gives no rows.
     """
     scored = _scored(docs, machine, [key], text, stated, 0.0)
     return scored.select(F.col("c0").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -81,6 +81,15 @@ def test_quality_of_odd_rows(odd_documents, no_documents, labelled):
     assert {r["predicted"] for r in fm_quality.score(odd_documents, unlabelled).collect()} == {1}
 
 
+def test_slots_of_a_row_are_distinct(monkeypatch):
+    """Words that share a slot are summed, so the pair sum holds no pair of a slot with itself."""
+    monkeypatch.setattr(fm_quality, "WORD_SLOTS", 7)
+    slots, values = fm_quality.features(" ".join(f"w{i}" for i in range(100)), 5)
+    assert len(set(slots.tolist())) == len(slots) == len(values)
+    words = values[slots < 7]
+    assert len(words) <= 7 and float((words**2).sum()) == pytest.approx(fm_quality.WORD_SCALE**2, rel=1e-3)
+
+
 def windows(text, label_of):
     """Every window counted, the plain way."""
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
