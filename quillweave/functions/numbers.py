@@ -97,7 +97,9 @@ def _equal() -> str:
     ratios = _let("p", _ratio("x"), _let("q", _ratio("y"), _same_ratios()))
     numbers = f"x rlike {plain} and y rlike {plain} then {_number('x')} = {_number('y')}"
     decided = f"case when {numbers} when x rlike {ratio} and y rlike {ratio} then {ratios} else false end"
-    return _let("x", _plain("v.a"), _let("y", _plain("v.b"), decided))
+    # texts that can't begin a number are told at once
+    begins = r"r'^[\s$]*[\\+\-.\d]'"
+    return f"if(v.a rlike {begins} and v.b rlike {begins}, {_let('x', _plain('v.a'), _let('y', _plain('v.b'), decided))}, false)"
 
 
 _EQUAL = f"v -> coalesce({_equal()}, false)"
