@@ -227,6 +227,42 @@ class TagGrammar:
         )
         return F.coalesce(ok, F.lit(False))
 
+    def trouble(self, query: Column, response: Column) -> Column:
+        """Why a pair is refused: struct ``reason`` and ``at`` (0-based character of the text concerned), null for a valid pair.
+
+        One fold over each text's delimiters, in order; the first rule that fails is named, the query's
+        before the response's.  Agrees with ``is_valid_pair``.
+        """
+
+        def one(text: Column, wrap: str, name: str, numbered: bool) -> Column:
+            """Struct: the text's own trouble, and its number of tags."""
+            first, last, head = f"<|{wrap}|>", f"<|/{wrap}|>", f"<|{self.tag}"
+            own = f"""concat('{head} id="{self.id_prefix}', string(i div 2), '"')"""
+            anonymous = "false" if numbered else f"not startswith(t, '{head} id=')"
+            kind = (
+                f"case when i = 0 then if(t = '{first}', 0, 1) when i = size(v.tokens) - 1 then if(t = '{last}', 0, 1) "
+                f"when i % 2 = 0 then if(t = '{self.close}', 0, 1) when not startswith(t, '{head}') or not endswith(t, '|>') then 1 "
+                f"when startswith(t, {own}) or {anonymous} then 0 else 2 end"
+            )
+            # text before each delimiter, and what is wrong with each: 1 out of place, 2 a wrong number, 3 text before a tag
+            between = "3" if numbered else "0"
+            wrong = f"transform(v.tokens, (t, i) -> transform(array({kind}), k -> if(k = 0 and i % 2 = 1 and get(v.parts, i) <> '', {between}, k))[0])"
+            tail = f"if(get(v.parts, size(v.tokens) - 1) <> '' and size(v.tokens) > 2, {between}, 0)"
+            place = "bigint(aggregate(slice(v.parts, 1, p + 1), 0, (n, x) -> n + length(x)) + aggregate(slice(v.tokens, 1, p), 0, (n, x) -> n + length(x)))"
+            named = f"struct(concat('{name}: ', element_at(array('delimiter out of place', 'tag number out of order', 'text between tags'), get(f, p))) as reason, {place} as at)"
+            first_wrong = f"transform(array(array_position(transform(f, k -> k > 0), true) - 1), p -> if(p < 0, null, {named}))[0]"
+            missing = f"when v.text is null then struct('{name}: missing' as reason, cast(null as bigint) as at)"
+            bare = f"when not (startswith(v.text, '{first}') and endswith(v.text, '{last}') and length(v.text) >= {len(first) + len(last)}) then struct('{name}: not wrapped' as reason, 0L as at)"
+            odd = f"when size(v.tokens) % 2 = 1 and get(f, size(v.tokens) - 1) = 0 and not exists(f, k -> k > 0) then struct('{name}: delimiter out of place' as reason, bigint(length(v.text)) as at)"
+            fixed = f"transform({wrong}, (k, i) -> if(i = size(v.tokens) - 1 and k = 0, {tail}, k))"
+            body = f"v -> transform(array({fixed}), f -> struct(case {missing} {bare} {odd} else {first_wrong} end as own, size(v.tokens) div 2 - 1 as tags))[0]"
+            tokens = F.regexp_extract_all(text, F.lit(self.token_pattern), F.lit(0))
+            return let_sql(F.struct(text.alias("text"), tokens.alias("tokens"), F.split(text, self.token_pattern, -1).alias("parts")), body)
+
+        sides = F.struct(one(query, self.query_wrap, "query", False).alias("q"), one(response, self.response_wrap, "response", True).alias("r"))
+        counts = "struct('response: another number of tags' as reason, cast(null as bigint) as at)"
+        return let_sql(sides, f"s -> coalesce(s.q.own, s.r.own, if(s.q.tags <> s.r.tags, {counts}, null))")
+
     def can_infill(self, query: Column, response: Column) -> Column:
         """Whether a lenient infill gives a result: the query is a wrapped text."""
         ok = self._is_wrapped(query, self.query_wrap) & response.isNotNull()

@@ -688,6 +688,51 @@ ORACLES["jsonl_roundtrip"] = (
 )
 ORACLES["jsonl_quarantine"] = """select doc_id, case when doc_id % 10 <> 3 then text end as text,
   case when doc_id % 10 = 3 then 'quarantine' else 'row' end as status from documents where doc_id % 10 not in (5, 7)"""
+_TOKEN = lit(r'<\|/?(?:MASKED|M_INPUT|M_OUTPUT)(?: id="m_\d+")?(?: desc="[^"]*")?(?:\|>)?')
+
+
+def _side(name: str, wrap: str, numbered: bool) -> str:
+    """The first fault among a text's delimiters, by row: its kind and place."""
+    anonymous = "false" if numbered else "not starts_with(tok, '<|MASKED id=')"
+    between = "i > 0 and (i % 2 = 1 or i = n - 1) and before <> '' and n > 2" if numbered else "false"
+    return f"""
+{name}_tokens as (
+  select row_id, {name} as body, unnest(regexp_extract_all({name}, {_TOKEN})) as tok, unnest(string_split_regex({name}, {_TOKEN})[:-2]) as before,
+    unnest(range(0, len(regexp_extract_all({name}, {_TOKEN})))) as i, len(regexp_extract_all({name}, {_TOKEN})) as n from damaged),
+{name}_faults as (
+  select row_id, i, sum(length(before)) over w + coalesce(sum(length(tok)) over (partition by row_id order by i rows between unbounded preceding and 1 preceding), 0) as place,
+    case when i = 0 then (case when tok = '<|{wrap}|>' then 0 else 1 end)
+      when i = n - 1 then (case when tok <> '<|/{wrap}|>' then 1 when {between} then 3 else 0 end)
+      when i % 2 = 0 then (case when tok = '<|/MASKED|>' then 0 else 1 end)
+      when not starts_with(tok, '<|MASKED') or not ends_with(tok, '|>') then 1
+      when not (starts_with(tok, '<|MASKED id="m_' || (i // 2) || '"') or {anonymous}) then 2
+      when {between} then 3 else 0 end as kind
+  from {name}_tokens window w as (partition by row_id order by i)),
+{name}_first as (select row_id, arg_min(kind, i) as kind, arg_min(place, i)::BIGINT as place from {name}_faults where kind > 0 group by row_id)"""
+
+
+def _fault(name: str, wrap: str) -> tuple[str, str]:
+    bare = f"not (starts_with({name}, '<|{wrap}|>') and ends_with({name}, '<|/{wrap}|>') and length({name}) >= {len(wrap) * 2 + 9})"
+    count = f"len(regexp_extract_all({name}, {_TOKEN}))"
+    reason = (
+        f"when {name} is null then '{name}: missing' when {bare} then '{name}: not wrapped' when {name}_first.kind is not null then '{name}: ' || "
+        f"['delimiter out of place', 'tag number out of order', 'text between tags'][{name}_first.kind] when {count} % 2 = 1 then '{name}: delimiter out of place'"
+    )
+    place = f"when {name} is null then null when {bare} then 0 when {name}_first.kind is not null then {name}_first.place when {count} % 2 = 1 then length({name})"
+    return reason, place
+
+
+_FAULTS = [_fault("query", "M_INPUT"), _fault("response", "M_OUTPUT")]
+_OTHER = f"len(regexp_extract_all(query, {_TOKEN})) <> len(regexp_extract_all(response, {_TOKEN}))"
+ORACLES["gate_reasons"] = f"""with rollouts as ({view_sql('rollouts')}),
+damaged as (
+  select row_id,
+    case doc_kind when 1 then replace(query, ' desc="', ' id="m_3" desc="') when 2 then query || '<|/MASKED|>' else query end as query,
+    case doc_kind when 3 then replace(completion, '<|/MASKED|>', '<|/MASKED|> ') when 4 then replace(completion, '<|/MASKED|>', '<|M_INPUT') else completion end as response
+  from (select *, row_id // 12 % 5 as doc_kind from rollouts)),{_side('query', 'M_INPUT', False)},{_side('response', 'M_OUTPUT', True)}
+select row_id, case {_FAULTS[0][0]} {_FAULTS[1][0]} when {_OTHER} then 'response: another number of tags' end as reason,
+  (case {_FAULTS[0][1]} {_FAULTS[1][1]} end)::BIGINT as at
+from damaged left join query_first using (row_id) left join response_first using (row_id)"""
 ORACLES["jsonl_statuses"] = """select case doc_id % 10 when 3 then 'broken' when 8 then 'byte_order_mark' when 9 then 'not_utf8' else 'row' end as status,
   doc_id, case when doc_id % 10 not in (3, 8, 9) then length(text) end as chars from documents where doc_id % 10 not in (5, 7)"""
 ORACLES["publish_replace"] = """select subset, split, count(*) as n, sum(length(text))::BIGINT as chars, count(*) as manifest_rows, false as wrong

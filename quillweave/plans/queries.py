@@ -661,6 +661,18 @@ def publish_layout(spark, sf):
     )
 
 
+@query
+def gate_reasons(spark, sf):
+    """Why and where each pair is refused; the rollouts, with more kinds of damage."""
+    rows = view(spark, sf, "rollouts").select("row_id", "query", F.col("completion").alias("response"))
+    kind = F.floor(F.col("row_id") / 12) % 5
+    query = F.when(kind == 1, F.replace("query", F.lit(' desc="'), F.lit(' id="m_3" desc="'))).when(kind == 2, F.concat("query", F.lit("<|/MASKED|>"))).otherwise(F.col("query"))
+    response = F.when(kind == 3, F.replace("response", F.lit("<|/MASKED|>"), F.lit("<|/MASKED|> "))).when(kind == 4, F.replace("response", F.lit("<|/MASKED|>"), F.lit("<|M_INPUT")))
+    damaged = rows.select("row_id", query.alias("query"), response.otherwise(F.col("response")).alias("response"))
+    told = damaged.select("row_id", G.trouble(F.col("query"), F.col("response")).alias("t"))
+    return told.select("row_id", "t.reason", "t.at")
+
+
 @query
 def publish_replace(spark, sf):
     """One subset published again with other rows: it is replaced, the others are as they were, and the manifest agrees."""

@@ -131,6 +131,22 @@ def test_each_text_is_parsed_once(rollouts, plan_of):
         assert plan.count(r"(.*?)<\|/MASKED") == 3  # the pattern of a whole tag: query, completion, golden
 
 
+@pytest.mark.parametrize(
+    "query,response,reason,at",
+    [
+        (wrap_q("x " + tag(0)), wrap_r(tag(0, content="a")), None, None),
+        (None, wrap_r(""), "query: missing", None), (wrap_q(""), None, "response: missing", None), ("x", wrap_r(""), "query: not wrapped", 0),
+        (wrap_q("ab" + tag(1)), wrap_r(tag(0, content="a")), "query: tag number out of order", 13), (wrap_q("ab<|M_OUTPUT|>"), wrap_r(""), "query: delimiter out of place", 13),
+        (wrap_q(tag()), wrap_r(tag(0, content="a") + " " + tag(1, content="b")), "response: text between tags", 44),
+        (wrap_q(tag()), wrap_r(tag(0, content="a") + "."), "response: text between tags", 44), (wrap_q(tag()), wrap_r(tag(content="a")), "response: tag number out of order", 12),
+        (wrap_q(tag()), wrap_r(""), "response: another number of tags", None),
+    ],
+)
+def test_trouble_is_named(spark, query, response, reason, at):
+    row = spark.createDataFrame([(query, response)], "q string, c string").select(G.trouble(F.col("q"), F.col("c")).alias("t")).first()["t"]
+    assert (row and row["reason"], row and row["at"]) == (reason, at)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_validity_of_parsed_tags(spark, seed):
     """The same as the validity of the texts, on sound pairs and broken ones."""
@@ -146,8 +162,9 @@ def test_validity_of_parsed_tags(spark, seed):
             response = r.choice([response + r.choice(bits), r.choice(bits) + response, r.choice(bits)])
         rows.append((wrap_q(query), wrap_r(response) if r.random() < 0.9 else response))
     q, c = F.col("q"), F.col("c")
-    got = spark.createDataFrame(rows, "q string, c string").select(G.is_valid_pair(q, c), G.is_valid_parsed(q, c, G.tags(q), G.tags(c))).collect()
+    got = spark.createDataFrame(rows, "q string, c string").select(G.is_valid_pair(q, c), G.is_valid_parsed(q, c, G.tags(q), G.tags(c)), G.trouble(q, c)).collect()
     assert [x[0] for x in got] == [x[1] for x in got]
+    assert [(row, x[2]) for row, x in zip(rows, got) if x[0] != (x[2] is None)] == []
     assert 50 < sum(x[0] for x in got) < 350
 
 
