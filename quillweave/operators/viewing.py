@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillweave.functions.text import optional
-from quillweave.operators.sampling import bucketed_rank
+from quillweave.operators.sampling import bucketed_rank, dense_position
 
 PAGE_CELLS = 4096
 #: rows that a range may have without being counted in finer cells
@@ -69,6 +69,39 @@ def page(df: DataFrame, key: str, start: int, size: int) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank") + before).filter(F.col("rank").between(start, start + size - 1))
 
 
+#: rows of the table for one row of a page index
+INDEX_STEP = 4096
+
+
+def write_page_index(df: DataFrame, key: str, path: str, *, step: int = INDEX_STEP) -> str:
+    """Every ``step``-th key with its rank, by a whole-number key; rows without a key are not numbered.
+
+    One pass over the key column.  Pages are then found by ``indexed_page`` without counting.
+    """
+    ranked = dense_position(df.select(key).filter(F.col(key).isNotNull()), [], key, out="rank", span=step)
+    marks = ranked.filter(F.col("rank") % step == 0).select(F.col(key).cast("bigint").alias("key"), "rank")
+    marks.repartitionByRange("rank").sortWithinPartitions("rank").write.parquet(path)
+    return path
+
+
+def indexed_page(df: DataFrame, key: str, index: str, start: int, size: int) -> DataFrame:
+    """As ``page``, from a stored index: the marks around the page bound the keys that are read.
+
+    The index is searched by rank (pushed into its scan); of the table only the rows between two
+    marks are read and numbered, at most ``size`` and two steps of them.
+    """
+    if start < 0 or size < 0:
+        raise ValueError("start and size must not be negative")
+    marks = df.sparkSession.read.schema("key bigint, rank bigint").parquet(index)
+    low, before = marks.filter(F.col("rank") <= start).agg(F.max("key"), F.max("rank")).first()
+    if size == 0 or low is None:
+        return df.limit(0).withColumn("rank", F.lit(0).cast("bigint"))
+    (high,) = marks.filter(F.col("rank") >= start + size).agg(F.min("key")).first()
+    inside = df.filter((F.col(key) >= low) & (F.col(key) < high if high is not None else F.lit(True)))
+    ranked = dense_position(inside, [], key, out="rank", span=INDEX_STEP)
+    return ranked.withColumn("rank", F.col("rank") + before).filter(F.col("rank").between(start, start + size - 1))
+
+
 def display_text(c: Column, latex: bool = False) -> Column:
     """Angle brackets and line ends as HTML; outside LaTeX mode the four LaTeX delimiters
     become a dollar sign."""

@@ -674,6 +674,10 @@ ORACLES["page_n"] = (
     "select doc_id, source, text, rank from (select doc_id, source, text, row_number() over (order by doc_id) - 1 as rank "
     f"from documents) where rank >= {N} // 2 and rank < {N} // 2 + 25"
 )
+ORACLES["page_indexed"] = (
+    "select doc_id, source, rank from (select doc_id, source, row_number() over (order by doc_id) - 1 as rank from documents) "
+    f"where rank < 25 or (rank >= {N} // 2 and rank < {N} // 2 + 25) or rank >= {N} - 7"
+)
 SHOWN = "'\\(<b>\\) \\[x\\] ' || text"
 ESCAPED = f"replace(replace(replace({SHOWN}, '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')"
 ORACLES["display_escape"] = (

@@ -593,6 +593,15 @@ def page_n(spark, sf):
     return viewing.page(docs, "doc_id", docs.count() // 2, 25)
 
 
+@query
+def page_indexed(spark, sf):
+    """The first, a middle and the last page, by one stored index."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    rows, index = docs.count(), viewing.write_page_index(docs, "doc_id", _scratch(spark, "pages"), step=100)
+    first, middle, last = (viewing.indexed_page(docs, "doc_id", index, start, 25) for start in (0, rows // 2, rows - 7))
+    return first.unionByName(middle).unionByName(last)
+
+
 @query
 def display_escape(spark, sf):
     shown = F.concat(F.lit("\\(<b>\\) \\[x\\] "), F.col("text"))

@@ -54,3 +54,20 @@ def test_message_blocks(spark):
     )
     got = sorted(tuple(r) for r in viewing.message_blocks(df, ["k"]).collect())
     assert got == [(0, 0, "USER", "a"), (0, 1, "ASSISTANT", "b")]
+
+
+def test_indexed_pages(spark, tmp_path):
+    """Keys with gaps, outliers and nulls; every page equals the counted one, and is bounded by keys in its scan."""
+    keys = [*range(0, 3000, 7), -(10**15), 10**15, 5_000_001]
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys] + [(None, "x")], "k long, t string").repartition(3)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    index = viewing.write_page_index(stored, "k", str(tmp_path / "index"), step=50)
+    want = sorted(keys)
+    for start, size in ((0, 10), (49, 2), (50, 100), (len(keys) - 3, 20), (len(keys), 5), (10, 0)):
+        rows = sorted((r["rank"], r["k"]) for r in viewing.indexed_page(stored, "k", index, start, size).collect())
+        assert rows == [(i, want[i]) for i in range(start, min(start + size, len(want)))]
+    with pytest.raises(ValueError):
+        viewing.indexed_page(stored, "k", index, -1, 2)
+    empty = viewing.write_page_index(stored.filter("false"), "k", str(tmp_path / "none"))
+    assert viewing.indexed_page(stored.filter("false"), "k", empty, 0, 5).count() == 0
