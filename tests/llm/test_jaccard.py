@@ -160,6 +160,16 @@ def test_repeated_row_alone_in_two_partitions(spark):
     assert [r["doc_id"] for r in jaccard_join.one_of_each(df).collect()] == [3]
 
 
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    """A long text is a block of its own; small blocks and large keys give the same groups."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
+    long = " ".join(f"w{i % 97}.{i % 89}" for i in range(3000))
+    rows = corpus(6, 12) + [(5001, long), (5002, long + " more"), (5003, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert as_rows(jaccard_join.linked(df)) == brute(rows)
+
+
 def test_linked_odd_rows(odd_documents, no_documents):
     assert as_rows(jaccard_join.linked(odd_documents)) == brute(TEXTS)
     assert jaccard_join.linked(no_documents).collect() == []

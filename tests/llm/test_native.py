@@ -1,5 +1,7 @@
 """Mixing and sharding: brute force, laws, plans without Python."""
 
+import math
+import random
 import zlib
 
 import pytest
@@ -71,6 +73,55 @@ def test_curve_visits_neighbours(spark):
         assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for (_, p), (_, q) in zip(rows, rows[1:]))
 
 
+def placed_by_hand(spark, rows, shards, law, bits=hilbert.BITS):
+    """(key, shard, slot) by sorting in Python: cells from minimum to maximum, then curve, run, hash, key."""
+    made = [(key, lang, source, len((text or "").encode()) + 1, zlib.crc32((text or "").encode())) for key, text, lang, source in rows]
+    top = (1 << bits) - 1
+
+    def cells(values):
+        known = [v for v in values if v is not None]
+        low, high = min(known, default=None), max(known, default=None)
+        out = []
+        for v in values:
+            if v is None:
+                out.append(0)
+            elif low == high:
+                out.append(1)
+            elif isinstance(v, str):
+                a, b, x = low.encode(), high.encode(), v.encode()
+                skip = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+                a, b, x = (int.from_bytes(t[skip : skip + 6].ljust(6, b"\0"), "big") for t in (a, b, x))
+                out.append(max(1, min(top, math.floor((x - a) / max(b - a, 1e-9) * top) + 1)))
+            else:
+                out.append(max(1, min(top, math.floor(math.log1p(v - low) / math.log1p(high - low) * top) + 1)))
+        return out
+
+    by_dim = [cells([r[i] for r in made]) for i in (1, 2, 3)]
+    table = [(i, *c, r[0], r[4], r[3]) for i, (c, r) in enumerate(zip(zip(*by_dim), made))]
+    df = spark.createDataFrame(table, "i int, a int, b int, c int, key long, text_crc32 long, size long")
+    run_bits = max(0, math.ceil(math.log2(max(len(rows), 1) / hilbert.RUN_ROWS + 1)))
+    spread = F.xxhash64("key", "text_crc32", "size")
+    got = df.select("i", hilbert.curve_index([F.col(x) for x in "abc"], bits), F.pmod(spread, F.lit(1 << run_bits)), spread).collect()
+    order = sorted((tuple(g)[1:], (made[g[0]][0] is not None, made[g[0]][0] or 0, made[g[0]][3], made[g[0]][4])) for g in got)
+    n, total, before, out, slots = len(rows), sum(r[3] for r in made), 0, [], {}
+    for place, (_, (some, key, size, crc)) in enumerate(order):
+        at = place * shards // n if law == "rows" else min(shards - 1, (before + size // 2) * shards // total)
+        before += size
+        slots[at] = slots.get(at, -1) + 1
+        out.append((key if some else None, size, crc, at, slots[at]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_placement_by_hand(spark, law):
+    r = random.Random(6)
+    rows = [(i, "y" * r.choice([0, 3, 80, 900]) + "é" * r.randint(0, 9), r.choice(["en", "de", "fr", None]), f"src{r.randint(0, 19)}") for i in range(900)]
+    rows += [(None, None, None, None), (900, None, "en", "src3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = [(x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"]) for x in hilbert.shard(df, 8, law=law).collect()]
+    assert sorted(got, key=repr) == placed_by_hand(spark, rows, 8, law)
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards_of_odd_rows(odd_documents, no_documents, law):
     rows = hilbert.shard(odd_documents, 4, law=law).collect()
