@@ -53,7 +53,8 @@ def stage(
     golden: str = "golden",
 ) -> DataFrame:
     """Add what the rewards share: ``_strict``, ``_lenient``, ``_golden_ok``, tag arrays
-    ``_pred`` and ``_real``, lengths ``_len`` and ``_golden_len``.  Each text is parsed once."""
+    ``_pred`` and ``_real`` and their matches ``_exact`` and ``_loose``, lengths ``_len`` and
+    ``_golden_len``.  Each text is parsed once; what no reward asks for is not computed."""
     q, c, g = F.col(query), F.col(completion), F.col(golden)
     parsed = df.withColumns({f"_tags_{x}": grammar.tags(text) for x, text in (("q", q), ("c", c), ("g", g))})
     of_q, of_c, of_g = (F.col(f"_tags_{x}") for x in "qcg")
@@ -67,18 +68,20 @@ def stage(
             "_len": F.char_length(c),
             "_golden_len": F.char_length(g),
         }
-    ).drop("_tags_q", "_tags_c", "_tags_g")
+    ).drop("_tags_q", "_tags_c", "_tags_g").withColumns({"_exact": _matches(exact_match), "_loose": _matches(loose_match)})
 
 
-def _count_matches(match: Callable[[Column, Column], Column]) -> Column:
+def _matches(match: Callable[[Column, Column], Column]) -> Column:
+    """Matching tags, place by place; null where an infill failed."""
     hits = F.zip_with("_pred", "_real", lambda p, r: match(p["content"], r["content"]))
-    return F.size(F.filter(hits, lambda x: x))
+    both = F.col("_pred").isNotNull() & F.col("_real").isNotNull()
+    return F.when(both, F.size(F.filter(hits, lambda x: x)))
 
 
 def correct_tags(match=exact_match) -> Column:
-    """Matching tags, place by place; null where an infill failed."""
-    both = F.col("_pred").isNotNull() & F.col("_real").isNotNull()
-    return F.when(both, _count_matches(match))
+    """Matching tags, place by place; null where an infill failed.  The usual matches are staged."""
+    staged = {exact_match: "_exact", loose_match: "_loose"}.get(match)
+    return F.col(staged) if staged else _matches(match)
 
 
 def length_ratio() -> Column:
