@@ -183,7 +183,8 @@ def _scored(docs: DataFrame, machine: FactorisationMachine, carried: list[str],
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SLOTS * (RANK + 1) numbers
     taken = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]
-    inputs = docs.select(*taken, *_inputs(docs, text, stated))
+    own = carried.index(text) if text in carried else None  # a text that is carried isn't sent twice
+    inputs = docs.select(*taken, *_inputs(docs, text, stated)[own is not None :])
     fields = inputs.select(*[f"c{i}" for i in range(len(carried))]).schema
     types = [to_arrow_type(f.dataType) for f in fields]
     schema = fields.add("score", DoubleType(), False)
@@ -192,8 +193,8 @@ def _scored(docs: DataFrame, machine: FactorisationMachine, carried: list[str],
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts, stated = (part.column(len(types) + i).to_pylist() for i in range(2))
-                scores = shared.value.scores([features(t, s) for t, s in zip(texts, stated)])
+                texts = part.column(len(types) if own is None else own).to_pylist()
+                scores = shared.value.scores([features(t or "", s) for t, s in zip(texts, part.columns[-1].to_pylist())])
                 columns = [part.column(i).cast(t) for i, t in enumerate(types)]
                 out = pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
                 yield out.filter(pa.array(scores >= low))
