@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +124,60 @@ def read_jsonl_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
+def _marked_files(spark: SparkSession, files: list[str]) -> list[str]:
+    """Those of ``files`` (URLs) that begin with a byte order mark: three bytes of each are read."""
+    java = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    codecs = java.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def marked(url: str) -> bool:
+        place = java.org.apache.hadoop.fs.Path(java.java.net.URI(url))
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = codecs.getCodec(place)
+            stream = stream if codec is None else codec.createInputStream(stream)
+            return all(stream.read() == byte for byte in BYTE_ORDER_MARK)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return [url for url, yes in zip(files, pool.map(marked, files)) if yes]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, ``file``: every line of text files with all of its bytes.
+
+    Spark's text reader drops a byte order mark at the start of a file; here the first line of
+    such a file gets it back.  Files without one are read as ever; a file of nothing else has no line.
+    """
+    text = spark.read.text(path)
+    marked = _marked_files(spark, text.inputFiles())
+    name = F.col("_metadata.file_name").alias("file")
+    if not marked:
+        return text.select("value", name)
+    at = F.col("_metadata.file_path")
+    # Spark writes local files in both ways
+    marked += ["file:/" + url.removeprefix("file:///") for url in marked if url.startswith("file:///")]
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines of a part of a file lie together and in order, and part 0 begins the file."""
+        before = None
+        for batch in batches:
+            first = []
+            for part in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                first.append(part != before and part[1] == 0)
+                before = part
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.bool_())], names=["value", "file", "first"])
+
+    parts = text.filter(at.isin(marked)).select(F.col("value").cast("binary"), name, at.alias("at"), F.col("_metadata.file_block_start").alias("start"))
+    told = parts.mapInArrow(firsts, "value binary, file string, first boolean")
+    whole = F.when(F.col("first"), F.concat(F.unhex(F.lit(BYTE_ORDER_MARK.hex())), "value")).otherwise(F.col("value"))
+    return text.filter(~at.isin(marked)).select("value", name).unionByName(told.select(whole.cast("string").alias("value"), "file"))
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, quarantine)``: lines that parse, and the raw lines that do not.
 

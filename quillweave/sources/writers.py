@@ -180,9 +180,10 @@ def sort_jsonl(spark: SparkSession, path: str, schema: str, root: str) -> str:
     Blank lines and ``null`` are nothing.
     """
     from quillweave.functions.text import strip
+    from quillweave.sources.readers import read_lines
 
     broken = "_broken"
-    lines = spark.read.text(path).select(F.col("value"), strip(F.col("value")).alias("line"), F.col("_metadata.file_name").alias("file"))
+    lines = read_lines(spark, path).select("value", strip(F.col("value")).alias("line"), "file")
     lines = lines.filter("line <> '' and line <> 'null'")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
     parsed = lines.select("value", "file", F.from_json("line", f"{schema}, {broken} string", options).alias("_row"))

@@ -1,3 +1,4 @@
+import gzip
 import json
 from types import SimpleNamespace
 
@@ -168,3 +169,28 @@ def test_failed_republish_leaves_the_old_rows(spark, tmp_path):
     writers.republish(rows.filter("subset = 's2' and id > 60"), root)
     assert [tuple(r) for r in writers.unlike_manifest(spark, root).collect()] == [("s2", "train", 30, 10)]
     assert read().filter("subset <> 's2'").count() == 60
+
+
+def test_byte_order_mark_at_the_start_of_a_file(spark, tmp_path):
+    mark = b"\xef\xbb\xbf"
+    folder = tmp_path / "in put+ü%41"
+    folder.mkdir()
+    (folder / "a b.jsonl").write_bytes(mark + b'{"id": 1}\n' + mark + b'{"id": 2}\n{"id": 3}\nx\xff\n')
+    (folder / "c.jsonl").write_bytes(b'{"id": 4}\n' + mark + b'{"id": 5}\n')
+    (folder / "d.jsonl").write_bytes(mark)  # no line at all
+    (folder / "e.jsonl").write_bytes(b"")
+    (folder / "f.jsonl.gz").write_bytes(gzip.compress(mark + b'{"id": 6}\n{"id": 7}\n'))
+    lines = [mark + b'{"id": %d}' % i + b" " * 90 for i in range(10, 20)]  # read in several parts
+    (folder / "g.jsonl").write_bytes(b"\n".join([lines[0], *[x[3:] for x in lines[1:]]]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        got = spark.read.parquet(writers.sort_jsonl(spark, str(folder), "id int", str(tmp_path / "out"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["row"]["id"] for r in got if r["status"] == "row") == [3, 4, 7, *range(11, 20)]
+    raw = sorted((r["file"], bytes(r["line"])) for r in got if r["status"] == "byte_order_mark")
+    assert raw == sorted([
+        ("a%20b.jsonl", mark + b'{"id": 1}'), ("a%20b.jsonl", mark + b'{"id": 2}'), ("c.jsonl", mark + b'{"id": 5}'),
+        ("f.jsonl.gz", mark + b'{"id": 6}'), ("g.jsonl", lines[0]),
+    ])
+    assert [bytes(r["line"]) for r in got if r["status"] == "not_utf8"] == [b"x\xff"]
