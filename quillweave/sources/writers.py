@@ -91,17 +91,26 @@ def publish(
 
 
 # ---- split shards ------------------------------------------------------------------------
-def write_split_shards(df: DataFrame, root: str, split: str, shards: int) -> str:
+#: bytes of Parquet that a shard holds on average at most
+SHARD_BYTES = 64 << 20
+
+
+def write_split_shards(df: DataFrame, root: str, split: str, shards: int, *, shard_bytes: int = SHARD_BYTES) -> str:
     """Rows dealt evenly over ``<root>/<split>-<i>-of-<n>.parquet``, with an index of the shards' rows.
 
-    The job writes to a staging folder; its ``shards`` files are then renamed, and the index
+    A shard is one file and so one task's work: ``n`` is ``shards``, or more where they would hold over
+    ``shard_bytes`` each.  The rows are written as they come, which tells their bytes, and dealt out from
+    there, so the input is computed once.  The files are then renamed, and the index
     ``<root>/_shards/<split>`` comes last, so shards without an index are a write that did not end.
     """
     spark = df.sparkSession
-    folder = f"{root}/_staging-{uuid.uuid4().hex}"
-    df.repartition(shards).write.option("parquet.enable.summary-metadata", "false").parquet(folder)
     paths = spark._jvm.org.apache.hadoop.fs.Path
-    files = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = paths(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    loose, folder = (f"{root}/_staging-{uuid.uuid4().hex}" for _ in range(2))
+    df.write.parquet(loose)
+    shards = max(shards, -(-files.getContentSummary(paths(loose)).getLength() // shard_bytes))
+    spark.read.schema(df.schema).parquet(loose).repartition(shards).write.option("parquet.enable.summary-metadata", "false").parquet(folder)
+    files.delete(paths(loose), True)
     parts = sorted(str(x.getPath().getName()) for x in files.listStatus(paths(folder)) if x.getPath().getName().startswith("part-"))
     rows = {r["f"]: r["count"] for r in spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()}
     index = []

@@ -194,3 +194,15 @@ def test_byte_order_mark_at_the_start_of_a_file(spark, tmp_path):
         ("f.jsonl.gz", mark + b'{"id": 6}'), ("g.jsonl", lines[0]),
     ])
     assert [bytes(r["line"]) for r in got if r["status"] == "not_utf8"] == [b"x\xff"]
+
+
+def test_shards_are_cut_by_bytes(spark, tmp_path):
+    root = str(tmp_path / "shards")
+    rows = spark.range(2000, numPartitions=3).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    writers.write_split_shards(rows, root, "test", 2, shard_bytes=20_000)  # some 80 bytes a row
+    index = [r.asDict() for r in spark.read.json(f"{root}/_shards/test").collect()]
+    assert len(index) > 5 and {r["shards"] for r in index} == {len(index)} and sum(r["rows"] for r in index) == 2000
+    assert max(r["rows"] for r in index) <= 2000 / len(index) + 20
+    assert sorted(p.name for p in tmp_path.glob("shards/*.parquet")) == sorted(r["file"] for r in index)
+    assert sorted(p.name for p in tmp_path.glob("shards/_staging*")) == []
+    assert sorted(map(tuple, readers.read_split_shards(spark, root, "test").collect())) == sorted(map(tuple, rows.collect()))
