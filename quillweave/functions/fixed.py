@@ -69,4 +69,6 @@ PYTHON_SPACE = (
 # --- opening / closing brackets accepted around a reasoning tag -----------------
 TAG_OPEN = "[<‹]"
 TAG_END = "[>›]"
+#: ``TAG_OPEN`` or ``TAG_CLOSE``, a name and ``TAG_END``, in a form that the matcher leaves at once at any other character
+TAG_TOKEN = r"(?U)[<‹](?:/|(?<=<)/›)?\w+[>›]"
 TAG_CLOSE = "(?:</|‹/|</›)"

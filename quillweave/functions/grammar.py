@@ -133,9 +133,15 @@ class TagGrammar:
         return (
             c.startswith(F.lit(first))
             & c.endswith(F.lit(last))
-            & (F.char_length(c) >= len(first) + len(last))
+            & (F.octet_length(c) >= len(f"{first}{last}".encode()))
         )
 
+    def _seams(self, c: Column) -> Column:
+        """How often a tag's end meets the next tag's head.  Lengths in bytes, which a text knows; characters are counted."""
+        seam = f"{self.close}<|{self.tag}"
+        left = F.octet_length(F.replace(c, F.lit(seam), F.lit("")))
+        return (F.octet_length(c) - left) / len(seam.encode())
+
     def _body(self, c: Column, name: str) -> Column:
         first, last = f"<|{name}|>", f"<|/{name}|>"
         size = F.greatest(F.char_length(c) - (len(first) + len(last)), F.lit(0))
@@ -200,13 +206,10 @@ class TagGrammar:
             return F.forall(F.transform(tokens, right), lambda x: x)
 
         def only_tags(k: Column) -> Column:
-            seam = f"{self.close}{opening}"
-            left = F.char_length(F.replace(response, F.lit(seam), F.lit("")))
-            seams = (F.char_length(response) - left) / len(seam)
             return F.when(k == 0, response == F.lit(first + last)).otherwise(
                 response.startswith(F.lit(first + opening))
                 & response.endswith(F.lit(self.close + last))
-                & (seams == k - 1)
+                & (self._seams(response) == k - 1)
             )
 
         def agree(both: Column) -> Column:
@@ -291,10 +294,8 @@ class TagGrammar:
         agrees = F.forall(F.transform(query_tags, lambda t, i: t["id"].isNull() | (t["id"] == i.cast("string"))), lambda x: x)
         tokens = F.lit(self.token_pattern)
         opening, first, last = f"<|{self.tag}", f"<|{self.response_wrap}|>", f"<|/{self.response_wrap}|>"
-        seam = f"{self.close}{opening}"
-        seams = (F.char_length(response) - F.char_length(F.replace(response, F.lit(seam), F.lit("")))) / len(seam)
         only_tags = F.when(k == 0, response == first + last).otherwise(
-            response.startswith(first + opening) & response.endswith(self.close + last) & (seams == k - 1)
+            response.startswith(first + opening) & response.endswith(self.close + last) & (self._seams(response) == k - 1)
         )
         ok = (
             self._is_wrapped(query, self.query_wrap) & self._is_wrapped(response, self.response_wrap)

@@ -138,21 +138,24 @@ def extract_tags(c: Column, names: Sequence[str] = fixed.REASONING_TAGS) -> Colu
     Then one pass over the list keeps where each wanted name's last contents lie, so unclosed
     tags cost nothing extra.
     """
-    token = rf"(?U){fixed.TAG_OPEN}\w+{fixed.TAG_END}|{fixed.TAG_CLOSE}\w+{fixed.TAG_END}"
     source = F.coalesce(c, F.lit(""))
     nowhere = F.lit(None).cast("int")
 
     def listed(t: Column) -> Column:
-        tokens = F.regexp_extract_all(t, F.lit(token), F.lit(0))
-        gaps = F.split(t, token, -1)
-        return F.zip_with(
-            tokens,
-            F.slice(gaps, 1, F.size(tokens)),
-            lambda x, gap: F.struct(
-                F.regexp_extract(x, r"(?U)(\w+)", 1).alias("name"), x.rlike(f"^{fixed.TAG_CLOSE}").alias("closes"),
-                F.char_length(gap).alias("gap"), F.char_length(x).alias("long"),
-            ),
-        )
+        tokens = F.regexp_extract_all(t, F.lit(fixed.TAG_TOKEN), F.lit(0))
+        gaps = F.split(t, fixed.TAG_TOKEN, -1)
+
+        def paired(v: Column) -> Column:
+            return F.zip_with(
+                v["tokens"],
+                F.slice(v["gaps"], 1, F.size(v["tokens"])),
+                lambda x, gap: F.struct(
+                    F.regexp_extract(x, r"(?U)(\w+)", 1).alias("name"), x.rlike(f"^{fixed.TAG_CLOSE}").alias("closes"),
+                    F.char_length(gap).alias("gap"), F.char_length(x).alias("long"),
+                ),
+            )
+
+        return let(F.struct(tokens.alias("tokens"), gaps.alias("gaps")), paired)
 
     def marked(tokens: Column) -> Column:
         """Tokens with whether an opening one is closed later."""

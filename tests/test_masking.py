@@ -264,3 +264,17 @@ def test_unclosed_tags_do_not_swallow(spark):
     cases = {"<a><output>x</output>": "x", "</a><a><output>x</output>": "x", "<a><output>x</output></a>": "", "<output>1</output><a><output>2</output>": "2"}
     df = spark.createDataFrame(list(cases.items()), "t string, w string")
     assert all(r[0]["output"] == r[1] for r in df.select(masking.extract_tags(F.col("t")), "w").collect())
+
+
+def test_a_text_is_scanned_once_for_its_tags(spark):
+    tags = masking.extract_tags(F.col("t"))
+    df = spark.createDataFrame([("<a>x</a>‹output›y‹/output› <thinking>1</›thinking› ‹/›a› <output>z</output›é",), ("none",), (None,)], "t string")
+    text = df.select(tags.alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("regexp_extract_all(") == 1 and text.count("split(") == 1
+    assert [(r["g"]["thinking"], r["g"]["output"]) for r in df.select(tags.alias("g")).collect()] == [("1", "z"), ("", ""), ("", "")]
+
+
+def test_validity_counts_no_characters(spark):
+    df = spark.createDataFrame([("<|M_INPUT|>é<|MASKED|><|/MASKED|><|/M_INPUT|>", '<|M_OUTPUT|><|MASKED id="m_0"|>é<|/MASKED|><|/M_OUTPUT|>')], "query string, response string")
+    checked = gate.with_validity(df)
+    assert checked.first()["is_valid"] and "char_length(" not in checked._jdf.queryExecution().analyzed().toString()
